@@ -39,7 +39,9 @@ def assemble_features(feats: DataFrame, names: list[str], extra: list[DataFrame]
 def slice_features(df: DataFrame, indices: list[int], col: str = "features",
                    out: str = "selected") -> DataFrame:
     """Keep the selected positions of a vector (or array) column."""
-    src = df if df.schema[col].dataType.typeName() == "vector" else df.withColumn(col, array_to_vector(col))
+    from pyspark.ml.linalg import VectorUDT
+    is_vec = isinstance(df.schema[col].dataType, VectorUDT)
+    src = df if is_vec else df.withColumn(col, array_to_vector(col))
     return VectorSlicer(inputCol=col, outputCol=out, indices=list(indices)).transform(src)
 
 

@@ -1 +1,263 @@
-"""Model-fitting queries (registered without an oracle; property-tested)."""
+"""Model-fitting queries (registered without an oracle; property-tested).
+
+They read the same tables as the SQL-checked queries and run the reference's
+model stages on the hourly design matrix: baselines per family and series,
+importance-based selection, tuning over expanding folds, refits, stacking,
+reduction and clustering.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import V1, V2
+from ..operators import (cluster, correlation, ensemble, evaluate, linear, models, profile, reshape,
+                         select, split, tune)
+from ..sources import sinks
+from . import common as C
+from .design import build_design
+from .queries import register
+
+CFG = V2
+VAL = F.col("split") == "val"
+TRAIN = F.col("split") == "train"
+
+
+def _design(spark, base):
+    return build_design(spark, base, CFG)
+
+
+def _val_r2(d, fitted):
+    preds = models.predict_series(fitted, d.X, d.labels, VAL)
+    return models.r2_table(preds)
+
+
+LINEAR = {"LinearRegression": 0.0, "Ridge": 1.0, "Lasso": 0.1}  # reference default alphas
+
+
+def _linear_preds(d, fits, rows=VAL, X=None):
+    """Fit [(name, family, alpha)] for every series from one Gram pass on the
+    train rows and predict ``rows``."""
+    X = X if X is not None else d.X
+    st = linear.gram_stats(X, d.labels, d.sids, TRAIN)
+    coefs = linear.fit_linear(X.sparkSession, st, fits)
+    return linear.predict_linear(X, d.labels, coefs, rows)
+
+
+def _tree_query(family):
+    def fn(spark, base):
+        d = _design(spark, base)
+        fitted = models.train_all_series(d.X, d.labels, [family], d.sids, CFG, TRAIN)
+        return _val_r2(d, fitted)
+    fn.__doc__ = f"{family} per series on the train rows; validation R^2."
+    return fn
+
+
+def _linear_query(family):
+    def fn(spark, base):
+        d = _design(spark, base)
+        return models.r2_table(_linear_preds(d, [(family, family, LINEAR[family])]))
+    fn.__doc__ = f"{family} for every series from one Gram pass; validation R^2."
+    return fn
+
+
+for _q, _fam in [("fit_ols", "LinearRegression"), ("fit_ridge", "Ridge"), ("fit_lasso", "Lasso")]:
+    register(_q)(_linear_query(_fam))
+for _q, _fam in [("fit_random_forest", "RandomForest"), ("fit_gbt", "GradientBoosting"),
+                 ("fit_gbt_hist", "XGBoost")]:
+    register(_q)(_tree_query(_fam))
+
+
+@register("svd_reduce")
+def q_svd(spark, base):
+    """SVD scores of the standardized inputs, exploded (t, j, score)."""
+    d = _design(spark, base)
+    return d.scores.select("t", F.posexplode("x").alias("j", "score"))
+
+
+@register("explained_variance")
+def q_explained_variance(spark, base):
+    """A8."""
+    from ..operators import reduce
+    d = _design(spark, base)
+    return reduce.explained_variance(d.scores, d.inputs)
+
+
+@register("kmeans_groups")
+def q_kmeans(spark, base):
+    """K-means on the monthly series features, k = max(3, min(5, n // 3)), 10 restarts."""
+    m = C.monthly(spark, base)
+    feats = profile.cluster_features(m)
+    n = feats.count()
+    groups, _ = cluster.kmeans_groups(feats, cluster.n_clusters(n, CFG.n_station_clusters), CFG.seed,
+                                      CFG.kmeans_restarts)
+    return groups
+
+
+@register("train_all_series")
+def q_train_all(spark, base):
+    """M7: every v1 family for every series (linear ones from one Gram pass,
+    trees as Spark ML fits on a bounded thread pool); validation R^2."""
+    d = _design(spark, base)
+    lin = [f for f in V1.families if f in LINEAR]
+    trees = [f for f in V1.families if f not in LINEAR]
+    preds = _linear_preds(d, [(f, f, LINEAR[f]) for f in lin])
+    r2 = models.r2_table(preds)
+    if trees:
+        fitted = models.train_all_series(d.X, d.labels, trees, d.sids, CFG, TRAIN)
+        r2 = r2.unionByName(_val_r2(d, fitted))
+    return r2
+
+
+@register("predict_series")
+def q_predict(spark, base):
+    """M8: Ridge predictions on validation and test rows."""
+    d = _design(spark, base)
+    return _linear_preds(d, [("Ridge", "Ridge", 1.0)], F.col("split").isin("val", "test"))
+
+
+def _importances(spark, base):
+    d = _design(spark, base)
+    ref = d.sids[0]
+    fitted = models.train_all_series(d.X, d.labels, ["RandomForest"], [ref], CFG, TRAIN)
+    imp = spark.createDataFrame(models.feature_importance(fitted, "RandomForest", ref), "idx int, importance double")
+    return d, imp
+
+
+@register("feature_importance")
+def q_feature_importance(spark, base):
+    """RandomForest importances of the reference series with names and groups."""
+    d, imp = _importances(spark, base)
+    return imp.join(d.dictionary, "idx")
+
+
+@register("slice_features")
+def q_slice(spark, base):
+    """Design matrix restricted to the features selected by X2 (0.80 / 20)."""
+    d, imp = _importances(spark, base)
+    sel = select.select_by_importance(imp, CFG.importance_threshold, CFG.min_features)
+    idx = sorted(r["idx"] for r in sel.select("idx").collect())
+    out = select.slice_features(d.X, idx)
+    from pyspark.ml.functions import vector_to_array
+    return out.select("t", F.lit(len(idx)).cast("bigint").alias("n_selected"),
+                      vector_to_array("selected").alias("selected"))
+
+
+def _tune(d, sids, grid_name, family="Ridge", grids=None, X=None):
+    """G2 for a linear family: expanding folds of the train rows, least mean
+    MSE per series (first grid point on ties)."""
+    grids = grids or models.GRIDS_V2
+    fb = split.fold_bounds(d.labels.select("sid", "t").distinct(), CFG)
+    folds = [(r["fold"], r["train_lo"], r["test_lo"], r["test_hi"]) for r in fb.collect()]
+    cv = linear.linear_grid_cv(X if X is not None else d.X, d.labels, sids, folds, family,
+                               grids[family]["alpha"])
+    best = tune.best_params(cv)
+    return [(r["sid"], float(r["alpha"]), float(r["cv_mse"])) for r in best.collect()]
+
+
+@register("tune_first_k")
+def q_tune_first_k(spark, base):
+    """G3 (v1): tune the first 3 series (Ridge grid of v1) over expanding folds."""
+    d = _design(spark, base)
+    rows = _tune(d, d.sids[:V1.tune_first_k], "v1", grids=models.GRIDS_V1)
+    return spark.createDataFrame(rows, "sid string, alpha double, cv_mse double")
+
+
+def _groups_hourly(spark, base):
+    h = C.hourly(spark, base)
+    feats = profile.cluster_features(h)
+    n = feats.count()
+    g, _ = cluster.kmeans_groups(feats, cluster.n_clusters(n, CFG.n_station_clusters), CFG.seed,
+                                 CFG.kmeans_restarts)
+    return g
+
+
+@register("tune_per_group")
+def q_tune_per_group(spark, base):
+    """G4 (v2): tune each K-means group's representative, give it to the group."""
+    d = _design(spark, base)
+    g = _groups_hourly(spark, base)
+    reps = cluster.group_representative(g)
+    rep_ids = [r["representative"] for r in reps.collect()]
+    rows = _tune(d, rep_ids, "v2")
+    params = spark.createDataFrame(rows, "sid string, alpha double, cv_mse double")
+    members = g.join(reps.select("group_id", "representative"), "group_id")
+    return tune.broadcast_group_params(members, params)
+
+
+@register("tune_sampled")
+def q_tune_sampled(spark, base):
+    """G5 (v2 without clusters): tune 5 seeded-random series; the others take
+    the parameters of their most correlated sampled series (J5)."""
+    d = _design(spark, base)
+    h = C.hourly(spark, base)
+    sampled = reshape.sample_series(h, CFG.tune_sample, CFG.seed).select("sid").distinct()
+    ids = sorted(r["sid"] for r in sampled.collect())
+    params = spark.createDataFrame(_tune(d, ids, "v2"), "sid string, alpha double, cv_mse double")
+    near = correlation.nearest_series(correlation.corr_matrix(h), sampled)
+    others = near.join(params.withColumnRenamed("sid", "nearest"), "nearest").select("sid", "alpha", "cv_mse")
+    return params.unionByName(others)
+
+
+@register("train_tuned")
+def q_train_tuned(spark, base):
+    """Ridge refit per series with its tuned alpha on the selected features."""
+    d, imp = _importances(spark, base)
+    sel = select.select_by_importance(imp, CFG.importance_threshold, CFG.min_features)
+    idx = sorted(r["idx"] for r in sel.select("idx").collect())
+    Xs = select.slice_features(d.X, idx).select("t", F.col("selected").alias("features")).cache()
+    tuned = {s: a for s, a, _ in _tune(d, d.sids, "v2", X=Xs)}
+    st = linear.gram_stats(Xs, d.labels, d.sids, TRAIN)
+    rows = []
+    for alpha in sorted(set(tuned.values())):
+        rows += [("Optimized", s, b0, c) for s, b0, c in linear.solve(st, "Ridge", alpha) if tuned[s] == alpha]
+    coefs = spark.createDataFrame(rows, linear.COEF_SCHEMA)
+    return models.r2_table(linear.predict_linear(Xs, d.labels, coefs, VAL))
+
+
+@register("stacking_ensemble")
+def q_stacking(spark, base):
+    """Per-series ridge (alpha 0.1) on the positive forecasters' validation
+    predictions, applied to the test rows."""
+    s, _ = C.scored(spark, base)
+    cands = [r["family"] for r in C.candidates(spark, base).collect()]
+    if len(cands) < 2:
+        return s.limit(0).select("sid", "t", "y", "yhat")
+    fit = ensemble.stack_fit(s.filter(VAL).filter(F.col("family").isin(cands)), cands, models.STACK_ALPHA)
+    return ensemble.stack_predict(s.filter(F.col("split") == "test").filter(F.col("family").isin(cands)),
+                                  fit, cands).select("sid", "t", "y", "yhat")
+
+
+@register("write_reports")
+def q_write_reports(spark, base):
+    """Selected features, model summary and difficult series written as
+    Parquet and read back (selected features shown)."""
+    s, _ = C.scored(spark, base)
+    r2 = evaluate.series_r2(s.filter(VAL))
+    from . import queries as Q
+    imp = Q._importance(spark, base)
+    sel = select.select_by_importance(imp, CFG.importance_threshold, CFG.min_features)
+    root = sinks.write_reports(spark, spark.sparkContext.getCheckpointDir() + "/reports", {
+        "selected_features": sel.orderBy(F.desc("importance")),
+        "model_summary": evaluate.model_comparison(s.filter(F.col("split") == "test")),
+        "difficult_series": evaluate.difficult_series(r2)})
+    return spark.read.parquet(root["selected_features"])
+
+
+@register("save_model")
+def q_save_model(spark, base):
+    """Per-series Ridge models (coefficient table), scaler, feature
+    dictionary and config saved; the model is reloaded and its predictions
+    compared with the in-memory ones (max |diff| per series)."""
+    d = _design(spark, base)
+    st = linear.gram_stats(d.X, d.labels, d.sids, TRAIN)
+    coefs = linear.fit_linear(spark, st, [("Ridge", "Ridge", 1.0)])
+    root = spark.sparkContext.getCheckpointDir() + "/saved_model"
+    sinks.save_model(spark, root, {}, {"coefficients": coefs, "scaler": d.stats, "dictionary": d.dictionary},
+                     {"n_lags": CFG.n_lags, "families": ["Ridge"], "alpha": 1.0})
+    loaded = spark.read.parquet(f"{root}/tables/coefficients")
+    rows = F.col("split").isin("val", "test")
+    a = linear.predict_linear(d.X, d.labels, coefs, rows).select("sid", "t", F.col("yhat").alias("p1"))
+    b = linear.predict_linear(d.X, d.labels, loaded, rows).select("sid", "t", F.col("yhat").alias("p2"))
+    return a.join(b, ["sid", "t"]).groupBy("sid").agg(
+        F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
