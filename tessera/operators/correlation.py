@@ -72,16 +72,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 50,
     """
     und = edges.select(F.col("sid_a").alias("src"), F.col("sid_b").alias("dst")).unionByName(
         edges.select(F.col("sid_b").alias("src"), F.col("sid_a").alias("dst")))
-    labels = nodes.select("sid", F.col("sid").alias("component"))
+    labels = nodes.select("sid", F.col("sid").alias("component")).cache()
     for i in range(max_iter):
         prop = und.join(labels.withColumnRenamed("sid", "src"), "src").groupBy("dst").agg(
             F.min("component").alias("_m")).withColumnRenamed("dst", "sid")
         new = labels.join(prop, "sid", "left").select(
             "sid", F.least("component", F.coalesce("_m", "component")).alias("component"))
-        if (i + 1) % checkpoint_every == 0:
-            new = new.checkpoint()
+        new = new.checkpoint() if (i + 1) % checkpoint_every == 0 else new.cache()
         changed = new.join(labels.withColumnRenamed("component", "_old"), "sid").filter(
             F.col("component") != F.col("_old")).limit(1).count()
+        labels.unpersist()
         labels = new
         if changed == 0:
             break

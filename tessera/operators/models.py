@@ -115,6 +115,9 @@ def estimator(family: str, params: dict | None = None, n: int | None = None,
                         maxMemoryInMB=tree_mb, seed=seed, **common)
 
 
+ROWS_PER_PARTITION = 200_000
+
+
 def series_frame(X: DataFrame, labels: DataFrame, sid, rows=None) -> DataFrame:
     """One series' training rows: X joined 1:1 on t with its labels."""
     lab = labels.filter(F.col("sid") == sid)
@@ -123,6 +126,16 @@ def series_frame(X: DataFrame, labels: DataFrame, sid, rows=None) -> DataFrame:
     return X.join(lab.select("t", F.col("label").cast("double").alias("label")), "t")
 
 
+def sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[DataFrame, int]:
+    """Repartition an iterative learner's input to ~``rows_per_partition``
+    rows per task and cache it: boosting runs several jobs per round, so a
+    small frame spread over many shuffle partitions pays scheduling cost on
+    every job, while a large one keeps one task per block of rows."""
+    n = df.count()
+    parts = max(1, -(-n // rows_per_partition))
+    return df.repartition(parts).cache(), n
+
+
 def _label_stats(labels: DataFrame, rows) -> dict:
     src = labels.filter(rows) if rows is not None else labels
     return {r["sid"]: (int(r["n"]), float(r["sd"] or 0.0)) for r in src.groupBy("sid").agg(
@@ -146,7 +159,11 @@ def train_all_series(X: DataFrame, labels: DataFrame, families, sids, cfg: Panel
             p = params.get(task, params.get(s))
         n, sd = stats.get(s, (1, 1.0))
         est = estimator(f, p, n, sd, cfg.seed, features, mb)
-        return task, est.fit(series_frame(X, labels, s, rows))
+        data, _ = sized(series_frame(X, labels, s, rows))
+        try:
+            return task, est.fit(data)
+        finally:
+            data.unpersist()
 
     with ThreadPoolExecutor(max_workers=par) as pool:
         return dict(pool.map(fit, tasks))
@@ -192,7 +209,7 @@ def grid_search(X: DataFrame, labels: DataFrame, family: str, sid, folds: DataFr
     reduced in one aggregation. Returns (best params, best MSE, table)."""
     points = grid_points(grid)
     fb = [(r["fold"], r["train_lo"], r["test_lo"], r["test_hi"]) for r in folds.collect()]
-    data = series_frame(X, labels, sid).cache()
+    data, _ = sized(series_frame(X, labels, sid))
     stats = {}
 
     def run(job):
