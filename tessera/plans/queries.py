@@ -874,3 +874,17 @@ def q_grid_search(spark, base):
     z, _ = C.scaled(C.hourly(spark, base))
     fs = C.feat_split(z, CFG).filter(F.col("split") == "train")
     return tune.best_params(tune.ridge1_grid_cv(fs, CFG, C.RIDGE_ALPHAS, bounds_from=z))
+
+
+# =================================================================== streaming
+@register("stream_panel_chunks", O.sql("SELECT sid, t, v FROM cells", ["sid", "t", "v"], ["v"]))
+def q_stream_panel(spark, base):
+    """U1 (streaming form): hourly cells built incrementally from the events files."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..streaming import chunks
+    run = uuid.uuid4().hex[:8]
+    path = chunks.stream_hourly_cells(spark, base, scratch_path(spark, f"stream_cells_{run}"),
+                                      scratch_path(spark, f"stream_ckpt_{run}"))
+    return chunks.cells_to_panel(spark, path)
