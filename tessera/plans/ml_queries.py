@@ -19,8 +19,8 @@ from .design import build_design
 from .queries import register
 
 CFG = V2
-VAL = F.col("split") == "val"
-TRAIN = F.col("split") == "train"
+def _is(split_name):
+    return F.col("split") == split_name
 
 
 def _design(spark, base):
@@ -28,18 +28,19 @@ def _design(spark, base):
 
 
 def _val_r2(d, fitted):
-    preds = models.predict_series(fitted, d.X, d.labels, VAL)
+    preds = models.predict_series(fitted, d.X, d.labels, _is("val"))
     return models.r2_table(preds)
 
 
 LINEAR = {"LinearRegression": 0.0, "Ridge": 1.0, "Lasso": 0.1}  # reference default alphas
 
 
-def _linear_preds(d, fits, rows=VAL, X=None):
+def _linear_preds(d, fits, rows=None, X=None):
     """Fit [(name, family, alpha)] for every series from one Gram pass on the
     train rows and predict ``rows``."""
     X = X if X is not None else d.X
-    st = linear.gram_stats(X, d.labels, d.sids, TRAIN)
+    rows = rows if rows is not None else _is("val")
+    st = linear.gram_stats(X, d.labels, d.sids, _is("train"))
     coefs = linear.fit_linear(X.sparkSession, st, fits)
     return linear.predict_linear(X, d.labels, coefs, rows)
 
@@ -47,7 +48,7 @@ def _linear_preds(d, fits, rows=VAL, X=None):
 def _tree_query(family):
     def fn(spark, base):
         d = _design(spark, base)
-        fitted = models.train_all_series(d.X, d.labels, [family], d.sids, CFG, TRAIN)
+        fitted = models.train_all_series(d.X, d.labels, [family], d.sids, CFG, _is("train"))
         return _val_r2(d, fitted)
     fn.__doc__ = f"{family} per series on the train rows; validation R^2."
     return fn
@@ -104,7 +105,7 @@ def q_train_all(spark, base):
     preds = _linear_preds(d, [(f, f, LINEAR[f]) for f in lin])
     r2 = models.r2_table(preds)
     if trees:
-        fitted = models.train_all_series(d.X, d.labels, trees, d.sids, CFG, TRAIN)
+        fitted = models.train_all_series(d.X, d.labels, trees, d.sids, CFG, _is("train"))
         r2 = r2.unionByName(_val_r2(d, fitted))
     return r2
 
@@ -119,7 +120,7 @@ def q_predict(spark, base):
 def _importances(spark, base):
     d = _design(spark, base)
     ref = d.sids[0]
-    fitted = models.train_all_series(d.X, d.labels, ["RandomForest"], [ref], CFG, TRAIN)
+    fitted = models.train_all_series(d.X, d.labels, ["RandomForest"], [ref], CFG, _is("train"))
     imp = spark.createDataFrame(models.feature_importance(fitted, "RandomForest", ref), "idx int, importance double")
     return d, imp
 
@@ -207,12 +208,12 @@ def q_train_tuned(spark, base):
     idx = sorted(r["idx"] for r in sel.select("idx").collect())
     Xs = select.slice_features(d.X, idx).select("t", F.col("selected").alias("features")).cache()
     tuned = {s: a for s, a, _ in _tune(d, d.sids, "v2", X=Xs)}
-    st = linear.gram_stats(Xs, d.labels, d.sids, TRAIN)
+    st = linear.gram_stats(Xs, d.labels, d.sids, _is("train"))
     rows = []
     for alpha in sorted(set(tuned.values())):
         rows += [("Optimized", s, b0, c) for s, b0, c in linear.solve(st, "Ridge", alpha) if tuned[s] == alpha]
     coefs = spark.createDataFrame(rows, linear.COEF_SCHEMA)
-    return models.r2_table(linear.predict_linear(Xs, d.labels, coefs, VAL))
+    return models.r2_table(linear.predict_linear(Xs, d.labels, coefs, _is("val")))
 
 
 @register("stacking_ensemble")
@@ -223,7 +224,7 @@ def q_stacking(spark, base):
     cands = [r["family"] for r in C.candidates(spark, base).collect()]
     if len(cands) < 2:
         return s.limit(0).select("sid", "t", "y", "yhat")
-    fit = ensemble.stack_fit(s.filter(VAL).filter(F.col("family").isin(cands)), cands, models.STACK_ALPHA)
+    fit = ensemble.stack_fit(s.filter(_is("val")).filter(F.col("family").isin(cands)), cands, models.STACK_ALPHA)
     return ensemble.stack_predict(s.filter(F.col("split") == "test").filter(F.col("family").isin(cands)),
                                   fit, cands).select("sid", "t", "y", "yhat")
 
@@ -233,7 +234,7 @@ def q_write_reports(spark, base):
     """Selected features, model summary and difficult series written as
     Parquet and read back (selected features shown)."""
     s, _ = C.scored(spark, base)
-    r2 = evaluate.series_r2(s.filter(VAL))
+    r2 = evaluate.series_r2(s.filter(_is("val")))
     from . import queries as Q
     imp = Q._importance(spark, base)
     sel = select.select_by_importance(imp, CFG.importance_threshold, CFG.min_features)
@@ -250,7 +251,7 @@ def q_save_model(spark, base):
     dictionary and config saved; the model is reloaded and its predictions
     compared with the in-memory ones (max |diff| per series)."""
     d = _design(spark, base)
-    st = linear.gram_stats(d.X, d.labels, d.sids, TRAIN)
+    st = linear.gram_stats(d.X, d.labels, d.sids, _is("train"))
     coefs = linear.fit_linear(spark, st, [("Ridge", "Ridge", 1.0)])
     root = spark.sparkContext.getCheckpointDir() + "/saved_model"
     sinks.save_model(spark, root, {}, {"coefficients": coefs, "scaler": d.stats, "dictionary": d.dictionary},

@@ -47,3 +47,14 @@ def test_entry_smoke(spark):
 def test_every_sql_query_is_registered():
     import __spark_entry__ as E
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_registry_imports_without_a_session():
+    """The driver may read the SQL before it starts Spark."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); import __spark_entry__ as E; "
+            "q = E.queries(); o = E.oracle_sql(); assert set(o) <= set(q); print(len(q), len(o))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
