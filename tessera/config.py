@@ -50,7 +50,7 @@ class PanelConfig:
     tune_strategy: str = "groups"  # "first_k" (v1), "groups" (v2), "sampled" (v2 without clusters)
     tune_first_k: int = 3
     tune_sample: int = 5
-    fit_parallelism: int = 4
+    fit_parallelism: int = 8
     # physical layout of time windows: rows of one series are split in blocks of
     # ``block_size`` steps so a hot (very long) series is spread over many tasks.
     block_size: int = 512

@@ -73,8 +73,9 @@ def heap_mb(spark) -> int:
 
 def tree_memory_mb(spark, parallelism: int) -> int:
     """Split-statistics budget per task: Spark's default (256 MB) when the
-    heap allows it, smaller on a small local heap so concurrent fits fit."""
-    tasks = max(1, spark.sparkContext.defaultParallelism) * max(1, parallelism)
+    heap allows it, smaller on a small local heap so concurrent fits fit
+    (inputs are sized, so a small fit runs one task at a time)."""
+    tasks = max(1, parallelism, spark.sparkContext.defaultParallelism)
     return int(max(32, min(256, heap_mb(spark) // (4 * tasks))))
 
 
