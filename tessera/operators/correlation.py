@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import threshold_pred
+from ..session import materialize
 
 
 def series_order(panel: DataFrame) -> list[str]:
@@ -78,7 +79,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 50,
             F.min("component").alias("_m")).withColumnRenamed("dst", "sid")
         new = labels.join(prop, "sid", "left").select(
             "sid", F.least("component", F.coalesce("_m", "component")).alias("component"))
-        new = new.checkpoint() if (i + 1) % checkpoint_every == 0 else new.cache()
+        new = materialize(new) if (i + 1) % checkpoint_every == 0 else new.cache()
         changed = new.join(labels.withColumnRenamed("component", "_old"), "sid").filter(
             F.col("component") != F.col("_old")).limit(1).count()
         labels.unpersist()

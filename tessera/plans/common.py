@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..config import V2, PanelConfig
 from ..operators import ensemble, evaluate, reshape, split, windows
+from ..session import materialize
 from ..sources import panels
 
 FAMILIES = list(ensemble.FORECASTERS)  # persist, rollmean3, ewm5
@@ -60,8 +61,8 @@ def scored(spark: SparkSession, base: str, cfg: PanelConfig = V2) -> tuple[DataF
     if hit is not None:
         return hit
     z, st = scaled(hourly(spark, base))
-    s = ensemble.forecaster_predictions(feat_split(z, cfg)).checkpoint(eager=True)
-    st = st.checkpoint(eager=True)
+    s = materialize(ensemble.forecaster_predictions(feat_split(z, cfg)))
+    st = materialize(st)
     _SCORED[key] = (s, st)
     return s, st
 

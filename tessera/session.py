@@ -62,3 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared folder, computing
+    the plan once (cache first, so the checkpoint job reads the cache)."""
+    cached = df.cache()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
