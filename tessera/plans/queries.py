@@ -426,19 +426,27 @@ def q_best_model_distribution(spark, base):
     return evaluate.best_model_distribution(_r2(spark, base, "val"), C.FAMILIES)
 
 
+_IMP: dict = {}
+
+
 def _importance(spark, base):
-    """Stand-in importances of the reference series on the train rows."""
-    a, z = _assembled(spark, base)
-    fs = C.feat_split(z, CFG)
-    ref = C.reference_sid(z)
-    lab = fs.filter((F.col("sid") == ref) & (F.col("split") == "train")).select("t", F.col("v").alias("y"))
-    return select.stand_in_importance(a, lab)
+    """Stand-in importances of the reference series on the train rows
+    (materialised once per session and base: six queries read it)."""
+    from ..session import materialize
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _IMP:
+        a, z = _assembled(spark, base)
+        fs = C.feat_split(z, CFG)
+        ref = C.reference_sid(z)
+        lab = fs.filter((F.col("sid") == ref) & (F.col("split") == "train")).select("t", F.col("v").alias("y"))
+        _IMP[key] = materialize(select.stand_in_importance(a, lab))
+    return _IMP[key]
 
 
 IMP_CTES = [SORD,
             "asm AS (" + _assembled_sql() + ")",
             "lab AS (SELECT t, v AS y FROM fs WHERE split = 'train' AND sid = (SELECT min(sid) FROM scaled))",
-            f"impr AS (SELECT idx::INTEGER AS idx, coalesce(power({O.corr_expr('a.value', 'l.y')}, 2), 0.0) AS r2 "
+            f"impr AS (SELECT idx::BIGINT AS idx, coalesce(power({O.corr_expr('a.value', 'l.y')}, 2), 0.0) AS r2 "
             "FROM asm a JOIN lab l USING (t) GROUP BY idx)",
             "imp AS (SELECT idx, CASE WHEN sum(r2) OVER () > 0 THEN r2 / sum(r2) OVER () ELSE 0.0 END AS importance "
             "FROM impr)",
@@ -459,12 +467,12 @@ def _group_case():
 def _names_sql():
     parts = []
     for pos, name in enumerate(FEATS):
-        parts.append(f"SELECT ({pos} * ns + so)::INTEGER AS idx, '{name}_output' || so AS name FROM sord")
+        parts.append(f"SELECT ({pos} * ns + so)::BIGINT AS idx, '{name}_output' || so AS name FROM sord")
     nf = len(FEATS)
     k = 0
     for p in CFG.fourier_periods:
         for fn in ("sin", "cos"):
-            parts.append(f"SELECT ({nf} * (SELECT max(ns) FROM sord) + {k})::INTEGER, '{fn}_period{p}'")
+            parts.append(f"SELECT ({nf} * (SELECT max(ns) FROM sord) + {k})::BIGINT, '{fn}_period{p}'")
             k += 1
     return " UNION ALL ".join(parts)
 

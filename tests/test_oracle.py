@@ -10,7 +10,8 @@ from conftest import SF_SMALL
 SUBSET = ["scan_panel", "row_index", "series_stats", "corr_matrix", "series_shape", "autocorr_lags",
           "correlogram", "corr_groups", "ewm_mean", "rolling_std", "chronological_split", "expanding_folds",
           "model_comparison", "weighted_predictions", "final_summary", "grid_search_cv", "select_by_importance",
-          "r2_histogram", "nearest_series", "standardize_wide", "assemble_features"]
+          "r2_histogram", "nearest_series", "standardize_wide", "assemble_features", "importance_rank",
+          "group_importance", "param_mode", "broadcast_group_params", "stream_panel_chunks"]
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,9 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(E.oracle_sql()[name])
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    types = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER"}
+    st = {f.name: types.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert st == dict(zip(rel.columns, [str(t) for t in rel.types]))
     assert len(srows) == len(drows)
     assert digest(df.columns, srows) == digest(rel.columns, drows)
 
