@@ -101,12 +101,15 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
                                                            else None)
     selected = None
     if sel_family is not None:
-        m = fitted.get((sel_family, ref))
-        if m is None:
-            m = models.train_all_series(d.X, d.labels, [sel_family], [ref], cfg,
-                                        F.col("split") == "train")[(sel_family, ref)]
-        imp = spark.createDataFrame(models.feature_importance({(sel_family, ref): m}, sel_family, ref),
-                                    "idx int, importance double")
+        # compat (T8): the first series' model decides for all; "mean" averages every series
+        owners = [ref] if cfg.importance_source == "first" else list(d.sids)
+        missing = [s for s in owners if (sel_family, s) not in fitted]
+        if missing:
+            fitted.update(models.train_all_series(d.X, d.labels, [sel_family], missing, cfg,
+                                                  F.col("split") == "train"))
+        rows = [(s, i, v) for s in owners for i, v in models.feature_importance(fitted, sel_family, s)]
+        imp = spark.createDataFrame(rows, "sid string, idx int, importance double").groupBy("idx").agg(
+            F.avg("importance").alias("importance"))
         sel = select.select_by_importance(imp, cfg.importance_threshold, cfg.min_features)
         selected = sorted(r["idx"] for r in sel.select("idx").collect())
         res["selected_features"] = sel.join(d.dictionary, "idx")
