@@ -23,8 +23,15 @@ def _is(split_name):
     return F.col("split") == split_name
 
 
+_DESIGN: dict = {}
+
+
 def _design(spark, base):
-    return build_design(spark, base, CFG)
+    """The shared design matrix, built (SVD included) once per session and base."""
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _DESIGN:
+        _DESIGN[key] = build_design(spark, base, CFG)
+    return _DESIGN[key]
 
 
 def _val_r2(d, fitted):
@@ -117,11 +124,19 @@ def q_predict(spark, base):
     return _linear_preds(d, [("Ridge", "Ridge", 1.0)], F.col("split").isin("val", "test"))
 
 
+_RF_IMP: dict = {}
+
+
 def _importances(spark, base):
+    """RandomForest importances of the reference series (T8); the fit is
+    shared by the selection queries of one session and base."""
     d = _design(spark, base)
-    ref = d.sids[0]
-    fitted = models.train_all_series(d.X, d.labels, ["RandomForest"], [ref], CFG, _is("train"))
-    imp = spark.createDataFrame(models.feature_importance(fitted, "RandomForest", ref), "idx int, importance double")
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _RF_IMP:
+        ref = d.sids[0]
+        fitted = models.train_all_series(d.X, d.labels, ["RandomForest"], [ref], CFG, _is("train"))
+        _RF_IMP[key] = models.feature_importance(fitted, "RandomForest", ref)
+    imp = spark.createDataFrame(_RF_IMP[key], "idx int, importance double")
     return d, imp
 
 
