@@ -15,6 +15,8 @@ from ..operators import (cluster, correlation, ensemble, evaluate, linear, model
                          select, split, tune)
 from ..sources import sinks
 from . import common as C
+from . import oracle as O
+from . import queries as Q
 from .design import build_design
 from .queries import register
 
@@ -244,13 +246,12 @@ def q_stacking(spark, base):
                                   fit, cands).select("sid", "t", "y", "yhat")
 
 
-@register("write_reports")
+@register("write_reports", Q.ORACLE["select_by_importance"])
 def q_write_reports(spark, base):
     """Selected features, model summary and difficult series written as
     Parquet and read back (selected features shown)."""
     s, _ = C.scored(spark, base)
     r2 = evaluate.series_r2(s.filter(_is("val")))
-    from . import queries as Q
     imp = Q._importance(spark, base)
     sel = select.select_by_importance(imp, CFG.importance_threshold, CFG.min_features)
     root = sinks.write_reports(spark, spark.sparkContext.getCheckpointDir() + "/reports", {
@@ -260,7 +261,8 @@ def q_write_reports(spark, base):
     return spark.read.parquet(root["selected_features"])
 
 
-@register("save_model")
+@register("save_model", O.sql("SELECT DISTINCT sid, 0.0 AS max_abs_diff FROM hourly", ["sid", "max_abs_diff"],
+                              ["max_abs_diff"]))
 def q_save_model(spark, base):
     """Per-series Ridge models (coefficient table), scaler, feature
     dictionary and config saved; the model is reloaded and its predictions
