@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from ..config import V2, PanelConfig
 from ..functions.stats import ewm_alpha
-from ..operators.windows import feature_names
 
 W = "PARTITION BY sid ORDER BY t"
 
@@ -128,5 +127,5 @@ def monthly_corr_edges(threshold: float) -> str:
             f"groups AS (SELECT node AS sid, min(comp) AS component FROM reach GROUP BY node)")
 
 
-__all__ = ["R", "rounded", "ctes", "sql", "feature_exprs", "ewm_expr", "corr_expr", "feature_names",
+__all__ = ["R", "rounded", "ctes", "sql", "feature_exprs", "ewm_expr", "corr_expr",
            "monthly_corr_edges", "SPLIT_EXPR"]
