@@ -150,6 +150,16 @@ def lead_target(panel: DataFrame, horizon: int = 1, block: int = 512) -> DataFra
 
 
 # ---------------------------------------------------------------- EWM
+def ewm_block_limit(spans, block: int) -> int:
+    """Largest block for which the in-block weights q^-o stay far inside the
+    double range (q^-block <= 1e300) for every span."""
+    limit = block
+    for s in spans:
+        q = 1.0 - ewm_alpha(s)
+        limit = min(limit, int(300 / -math.log10(q)))
+    return max(1, limit)
+
+
 def _ewm_block_exprs(spans, block: int, v: str = "v"):
     """Per span: the in-block running sum of v*q^-o (halo rows excluded)."""
     o = F.col("t") - F.col(BLK) * block
@@ -197,7 +207,7 @@ def _ewm_finish(df: DataFrame, spans, block: int, shift_causal: bool = False) ->
 
 def ewm_mean(panel: DataFrame, spans=(5, 10, 20), block: int = 512) -> DataFrame:
     """W8 on its own: pandas ``ewm(span).mean()`` with adjust=True."""
-    lay, block = block_layout(panel, block, 0, 0)
+    lay, block = block_layout(panel, ewm_block_limit(spans, block), 0, 0)
     local = lay.select(*panel.columns, BLK, HALO, *_ewm_block_exprs(spans, block))
     core = local.filter(~F.col(HALO))
     carries = _ewm_carries(core, spans, block)
@@ -228,7 +238,7 @@ def series_features(panel: DataFrame, cfg: PanelConfig) -> DataFrame:
     stats = ("mean", "std", "min", "max") if cfg.rolling_minmax else ("mean", "std")
     sh = 1 if cfg.causal else 0
     back = cfg.max_lookback
-    lay, block = block_layout(panel, cfg.block_size, back, 0)
+    lay, block = block_layout(panel, ewm_block_limit(cfg.ewm_spans, cfg.block_size), back, 0)
 
     def build(w):
         cols = lag_cols(w, range(1, cfg.n_lags + 1))
