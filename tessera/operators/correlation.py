@@ -72,8 +72,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 50,
     reliable checkpoint (shared ``spark.checkpoint.dir``) every few rounds.
     """
     und = edges.select(F.col("sid_a").alias("src"), F.col("sid_b").alias("dst")).unionByName(
-        edges.select(F.col("sid_b").alias("src"), F.col("sid_a").alias("dst")))
+        edges.select(F.col("sid_b").alias("src"), F.col("sid_a").alias("dst"))).cache()
     labels = nodes.select("sid", F.col("sid").alias("component")).cache()
+    labels.count()  # materialise the node set once; every round reuses it
     for i in range(max_iter):
         prop = und.join(labels.withColumnRenamed("sid", "src"), "src").groupBy("dst").agg(
             F.min("component").alias("_m")).withColumnRenamed("dst", "sid")
@@ -86,6 +87,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 50,
         labels = new
         if changed == 0:
             break
+    und.unpersist()
     return labels
 
 
