@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import threshold_pred
-from ..session import materialize
+from .components import component_labels
 
 
 def series_order(panel: DataFrame) -> list[str]:
@@ -64,31 +64,12 @@ def series_pairs(panel: DataFrame, value: str = "v") -> DataFrame:
     return j.select("sid_a", "sid_b", F.col("n").cast("bigint").alias("n_common"), cov.alias("cov"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 50,
-                         checkpoint_every: int = 4) -> DataFrame:
-    """Min-label propagation: (sid, component = smallest sid reachable).
-
-    Each round is two joins over the edge list; lineage is cut with a
-    reliable checkpoint (shared ``spark.checkpoint.dir``) every few rounds.
-    """
-    und = edges.select(F.col("sid_a").alias("src"), F.col("sid_b").alias("dst")).unionByName(
-        edges.select(F.col("sid_b").alias("src"), F.col("sid_a").alias("dst"))).cache()
-    labels = nodes.select("sid", F.col("sid").alias("component")).cache()
-    labels.count()  # materialise the node set once; every round reuses it
-    for i in range(max_iter):
-        prop = und.join(labels.withColumnRenamed("sid", "src"), "src").groupBy("dst").agg(
-            F.min("component").alias("_m")).withColumnRenamed("dst", "sid")
-        new = labels.join(prop, "sid", "left").select(
-            "sid", F.least("component", F.coalesce("_m", "component")).alias("component"))
-        new = materialize(new) if (i + 1) % checkpoint_every == 0 else new.cache()
-        changed = new.join(labels.withColumnRenamed("component", "_old"), "sid").filter(
-            F.col("component") != F.col("_old")).limit(1).count()
-        labels.unpersist()
-        labels = new
-        if changed == 0:
-            break
-    und.unpersist()
-    return labels
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sid, component = smallest sid reachable) for every node, run until the
+    edge set stops changing (``operators.components``)."""
+    found = component_labels(edges, "sid_a", "sid_b").withColumnRenamed("node", "sid")
+    return nodes.join(found, "sid", "left").select(
+        "sid", F.coalesce("component", "sid").alias("component"))
 
 
 def corr_groups(panel: DataFrame, threshold: float = 0.8, upper: float = 1.0,

@@ -7,10 +7,10 @@ fresh scratch folder when that setting is absent, as in tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -45,7 +45,11 @@ def build_session(master: str | None = None, app: str = "tessera",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    A scratch folder is made only where the setting is absent and the master
+    is local (tests); on a cluster a missing setting is an error, because a
+    driver-local folder is not visible to the executors."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -53,18 +57,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    """A fresh path for an intermediate table inside the shared checkpoint
+    folder; every call gives another one, so runs never share a table."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and read it
+    back: cuts lineage, survives lost executors, and keeps nothing in memory."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df):
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder, computing
     the plan once (cache first, so the checkpoint job reads the cache)."""
     cached = df.cache()
