@@ -9,21 +9,21 @@ bands make candidates; every link is confirmed on the full shingle sets.
 
 Plan
 1. One pass over the texts: set size, digest of the sorted set, bands, and one
-   byte of each signature value. No text is shuffled.
+   byte of each signature value.
 2. Documents with equal sets form a class (partial aggregation, so a set that
    a third of all rows share costs one row per task); only the smallest id of
    a class goes on.
-3. Stars: every bucket proposes (smallest member, other member), never all
+3. The full sets of documents that share a bucket are written once.
+4. Stars: every bucket proposes (smallest member, other member), never all
    pairs. The signature bytes drop hopeless pairs; the rest is verified on
    full sets with ``array_intersect``.
-4. Components of the verified links. Buckets whose members are not all in one
-   component are looked at again in blocks: a member outside the bucket's main
-   component is compared, on signature bytes, with every member of another
-   component, and its best untested partners are verified. The number of
-   partners taken grows from round to round until nothing is left out, so no
-   link between different sets is lost, while members that are already
-   connected are never compared.
-5. Class membership and components give one row per input row.
+5. Buckets whose members are not all in one component yet are finished in
+   blocks: a task holds two blocks of members with their sets, and counts the
+   common shingles of each member outside the main component with all others
+   through an inverted index. It emits only links that join two components, at
+   most one row per component, so nothing grows with the square of a group,
+   and no link between different sets is lost.
+6. Class membership and components give one row per input row.
 
 With 16 bands of 5 values a pair of similarity 0.85 is missed with
 probability (1 - 0.85**5)**16 = 8e-5, one of 0.9 with 3e-7. A pair is dropped
@@ -52,13 +52,17 @@ from ..operators.components import component_labels
 from ..session import stored
 from .common import SPACED_WORDS, batches, mix64, words
 
+
 SHINGLE = 5
 PERMUTATIONS = 40
 BANDS = 16
 MIN_AGREEMENT = 0.6
-BLOCK = 512
-#: partners verified per member and round; the last round takes all
-QUOTAS = (2, 32, None)
+BLOCK = 256
+#: members of neighbouring buckets are finished together up to this number;
+#: beyond it every bucket is a unit of its own
+UNIT_ROWS = 8192
+#: pairs that may be broadcast (16 bytes each)
+SMALL_PAIRS = 250_000
 WORD_CACHE = 1 << 19
 
 _RNG = np.random.default_rng(20240917)
@@ -150,58 +154,85 @@ def _similar_sizes(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets satisfy 100 * |A & B| >= percent * |A | B|."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    one = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(one.mapInArrow(_sets, "id long, s array<long>"), "sets")
-    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-                 .join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"))
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets satisfy 100 * |A & B| >= percent * |A | B|.
+    Each pair fetches its two sets; a set that many pairs want is no hot key,
+    because the halves meet on the pair."""
+    few = pairs.count() <= SMALL_PAIRS
+    side = lambda c: (F.broadcast(pairs) if few else pairs.hint("merge")).join(
+        sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")), c)
+    both = side("a").hint("merge").join(side("b"), ["a", "b"])
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common * 100 >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _partners(quota: int | None):
-    """Of one block pair of a bucket: for each member outside the main
-    component, its best partners in other components by signature bytes."""
+def join_components(percent: int):
+    """For one unit's pair of blocks: links that join different components."""
     def find(p: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(p.sig), np.uint8).reshape(len(p), -1)
-        ids, comp, n, asks = p.id.to_numpy(), p.comp.to_numpy(), p.n.to_numpy(), np.flatnonzero(p.asks.to_numpy())
-        data = np.flatnonzero(~p.asks.to_numpy())
-        out: list[tuple[int, int, bool]] = []
-        for i in asks:
-            agree = (sig[data] == sig[i]).mean(1)
-            ok = (agree >= MIN_AGREEMENT) & (comp[data] != comp[i])
-            ok &= (n[data] * 100 >= n[i] * 85) & (n[i] * 100 >= n[data] * 85)
-            hit = np.flatnonzero(ok)
-            more = quota is not None and len(hit) > quota
-            if more:
-                hit = hit[np.argsort(-agree[hit], kind="stable")[:quota]]
-            out += [(min(ids[i], x), max(ids[i], x), more) for x in ids[data[hit]]]
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
-    return find
-
-
-def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, quota: int | None) -> DataFrame:
-    """Candidate pairs between different components of one bucket."""
-    m = (members.join(labels.select(F.col("node").alias("id"), F.col("component")), "id", "left")
-                .select("band", "id", F.coalesce("component", "id").alias("comp")))
-    per = m.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = (per.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"),
-                                    F.count(F.lit(1)).alias("comps"))
-               .filter("comps > 1").select("band", F.col("top.comp").alias("main"), "size",
-                                           (F.col("size") - F.col("top.k")).alias("apart")))
-    rows = m.join(main, "band").join(reps.select(F.col("rep").alias("id"), "sig", F.col("n_shingles").alias("n")), "id")
+        ids, comp = p.id.to_numpy(), p.comp.to_numpy()
+        size = p.s.map(len).to_numpy()
+        asks = p.asks.to_numpy()
+        root = {c: c for c in comp.tolist()}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        _, column = np.unique(np.concatenate(p.s.to_list()), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        data = np.flatnonzero(~asks)
+        where = np.concatenate([column[begin[k]:begin[k + 1]] for k in data])
+        edge = np.concatenate([[0], np.cumsum(size[data])])[:-1]
+        mark = np.zeros(column.max() + 1, np.int64)
+        out = []
+        for i in np.flatnonzero(asks):
+            own = column[begin[i]:begin[i + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[where], edge)
+            mark[own] = 0
+            for k in data[100 * common >= percent * (size[data] + size[i] - common)]:
+                a, b = top(comp[i]), top(comp[k])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[k]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        if p.asks.all() or not p.asks.any():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        return find(p)
+    return run
+
+
+def _finish(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of one bucket."""
+    labels = component_labels(links)
+    m = stored(members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+               .select("band", "id", F.coalesce("component", "id").alias("comp")), "members")
+    open_ = m.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
+                                  F.min("id").alias("low")).filter("x < y").select("band", "low")
+    m = stored(m.join(open_, "band"), "members")
+    unit = component_labels(m.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+    m = m.join(unit.select(F.col("node").alias("id"), F.col("component").alias("unit")), "id")
+    large = m.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > UNIT_ROWS * BANDS)
+    m = m.join(large.withColumnRenamed("k", "_k"), "unit", "left").withColumn(
+        "unit", F.when(F.col("_k").isNull(), F.col("unit")).otherwise(F.xxhash64("band")))
+    m = stored(m.select("unit", "id", "comp").distinct(), "units")
+    top = (m.groupBy("unit", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("unit")
+            .agg(F.max(F.struct("k", "comp")).alias("t"), F.sum("k").alias("size"))
+            .select("unit", F.col("t.comp").alias("main"), "size", (F.col("size") - F.col("t.k")).alias("apart")))
+    rows = m.join(top, "unit")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
-    key = F.abs(F.xxhash64("id"))
+    key = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     data = rows.withColumns({"j": (key % blocks("size")).cast("int"),
                              "i": F.explode(F.sequence(F.lit(0), blocks("apart") - 1)), "asks": F.lit(False)})
     asks = rows.filter("comp != main").withColumns(
         {"i": (key % blocks("apart")).cast("int"),
          "j": F.explode(F.sequence(F.lit(0), blocks("size") - 1)), "asks": F.lit(True)})
-    cols = ["band", "i", "j", "id", "comp", "n", "sig", "asks"]
-    return (data.select(cols).unionByName(asks.select(cols)).groupBy("band", "i", "j")
-                .applyInPandas(_partners(quota), "a long, b long, more boolean"))
+    cols = ["unit", "i", "j", "id", "comp", "asks"]
+    placed = data.select(cols).unionByName(asks.select(cols)).join(sets.hint("merge"), "id")
+    return placed.groupBy("unit", "i", "j").applyInPandas(join_components(percent), "a long, b long")
 
 
 def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -221,24 +252,18 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z"),
                                          F.count(F.lit(1)).alias("k")).filter("k > 1 and a < z")
     buckets = stored(buckets, "buckets")
-    large = buckets.filter("k > 2").select("band", "a")
-    members = stored(banded.join(large, "band").select("band", "id", "a"), "members")
-    stars = (members.filter("id > a").select("a", F.col("id").alias("b"))
-             .unionByName(buckets.filter("k = 2").select("a", F.col("z").alias("b"))).distinct())
+    shared = banded.join(buckets.select("band", "a"), "band")
+    members = stored(shared.select("band", "id", "a"), "members")
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = stored(docs.hint("merge").join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+                  .mapInArrow(_sets, "id long, s array<long>"), "sets")
     half = lambda side: reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"),
                                     F.col("n_shingles").alias(f"n_{side}"))
+    stars = members.filter("id > a").select("a", F.col("id").alias("b")).distinct()
     near = (stars.join(half("b"), "b").join(half("a"), "a").filter(_similar_sizes("n_a", "n_b", percent))
                  .select("a", "b", "sig_a", "sig_b").mapInPandas(_agreement, "a long, b long"))
-    links = stored(_verified(docs, stored(near, "candidates"), percent), "links")
-    for quota in QUOTAS:
-        labels = component_labels(links)
-        found = stored(_residual(members.select("band", "id"), labels, reps, quota).distinct(), "candidates")
-        pairs = found.select("a", "b").distinct()
-        if pairs.limit(1).count() == 0:
-            break
-        links = stored(links.unionByName(_verified(docs, pairs, percent)), "links")
-        if found.filter("more").limit(1).count() == 0:
-            break
+    links = stored(_verified(sets, stored(near, "candidates"), percent), "links")
+    links = stored(links.unionByName(_finish(members.select("band", "id"), links, sets, percent)), "links")
     # one pass of components over classes and copies together
     final = component_labels(links.unionByName(copies))
     out = sigs.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
