@@ -18,13 +18,18 @@ SPACE_CHARS = b"\x20\x09\x0a\x0b\x0c\x0d"
 BATCH_ROWS = 2000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, with the session settings the operators rely on."""
+def prepare(spark: SparkSession) -> None:
+    """The session settings the operators rely on."""
     ensure_checkpoint_dir(spark)
     for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.adaptive.enabled", "true"),
                        ("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, in a prepared session."""
+    prepare(spark)
     return read_table(spark, sf_dir, name)
 
 

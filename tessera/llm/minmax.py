@@ -25,10 +25,11 @@ Plan
    and no link between different sets is lost.
 6. Class membership and components give one row per input row.
 
-With 16 bands of 5 values a pair of similarity 0.85 is missed with
-probability (1 - 0.85**5)**16 = 8e-5, one of 0.9 with 3e-7. A pair is dropped
-before verification when fewer than 60 % of its signature bytes agree, six
-standard deviations below 0.85.
+With 20 bands of 4 values a pair of similarity 0.85 shares no bucket with
+probability (1 - 0.85**4)**20 = 4e-7, one of 0.8 with 3e-5. A star pair is
+dropped before verification when fewer than 55 % of its signature bytes agree,
+over five standard deviations below 0.8; its bucket is then looked at again in
+step 5 without the signature.
 
 Defined cases: null and wordless texts have an empty set, link with nothing and
 are kept. Rows without ``doc_id`` link with nothing and are kept
@@ -55,8 +56,8 @@ from .common import SPACED_WORDS, batches, mix64, words
 
 SHINGLE = 5
 PERMUTATIONS = 40
-BANDS = 16
-MIN_AGREEMENT = 0.6
+BANDS = 20
+MIN_AGREEMENT = 0.55
 BLOCK = 256
 #: members of neighbouring buckets are finished together up to this number;
 #: beyond it every bucket is a unit of its own

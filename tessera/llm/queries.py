@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minmax
+from . import decontam, linedup, minmax, packing, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,36 @@ def query(fn):
     return fn
 
 
+@query
+def op1_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contamination of every document by the benchmark, windows of 13 words."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document after deobfuscation."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents`` by min-max hashing, similarity 0.85."""
     return minmax.link_documents(table(spark, sf_dir, "documents"), percent=85)
 
 
+@query
+def op6_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of lines within two edits, and what line dedup keeps, for every line."""
+    return linedup.classify_lines(table(spark, sf_dir, "documents"))
+
+
 #: words as the shingle rule has them; [A-Z] alone is lower-cased
 _SPACED = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -48,3 +72,31 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id
        w.doc_id = coalesce(c.component_id, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = w.doc_id
 """
+
+_PLAIN = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE["op1_suffix_decontam"] = f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS k,
+              unnest([w[i:i + least(13, len(w)) - 1] FOR i IN range(1, len(w) - least(13, len(w)) + 2)]) AS g
+       FROM b WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, ks WHERE len(w) >= k),
+hit AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw ON bw.k = dw.k AND bw.g = w[i:i + dw.k - 1]),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+      FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+             sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS h FROM hit GROUP BY doc_id),
+-- the longest match: diagonals of hit windows, each window one longer
+dg AS (SELECT DISTINCT doc_id, i, bi.item_id, bi.j, bi.k
+       FROM dw JOIN (SELECT item_id, least(13, len(w)) AS k, w AS bw, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS j
+                     FROM b WHERE len(w) > 0) bi ON bi.k = dw.k AND bw[j:j + bi.k - 1] = w[i:i + dw.k - 1]),
+rn AS (SELECT doc_id, k, i - row_number() OVER (PARTITION BY doc_id, item_id, j - i ORDER BY i) AS run, item_id, j - i AS dj FROM dg),
+lg AS (SELECT doc_id, max(x) AS longest FROM (SELECT doc_id, k + count(*) - 1 AS x FROM rn GROUP BY doc_id, item_id, dj, run, k) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(longest, 0)::BIGINT AS longest_match
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN lg USING (doc_id)
+"""

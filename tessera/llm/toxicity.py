@@ -259,7 +259,7 @@ def _features(cost):
 
 
 def fit_logistic(y: np.ndarray, size: np.ndarray, feature: np.ndarray, min_rows: int = 4, lift: float = 3.0,
-                 l1: float = 2e-4, rounds: int = 300) -> tuple[float, dict[int, float]]:
+                 l1: float = 5e-5, rounds: int = 300) -> tuple[float, dict[int, float]]:
     """L1-penalised logistic regression by accelerated proximal gradient on
     rows of feature ids. Only features that stand in at least ``min_rows``
     places, and ``lift`` times as often per toxic row as per clean row, are
