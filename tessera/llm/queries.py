@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linedup, minmax, packing, toxicity, warc
+from . import chat, decontam, linedup, minmax, packing, toxicity, warc, wrapper
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op6_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by per-host wrappers."""
+    return wrapper.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of lines within two edits, and what line dedup keeps, for every line."""
