@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linedup, minmax, packing, toxicity, warc, wrapper
+from . import chat, decontam, linedup, minmax, packing, pii, toxicity, warc, wrapper
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,12 @@ def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(rows.unionByName(planted)))
 
 
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: patterns, and what the BiLSTM-CRF adds."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 #: words as the shingle rule has them; [A-Z] alone is lower-cased
 _SPACED = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
