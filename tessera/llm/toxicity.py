@@ -11,10 +11,11 @@ Everything outside such spans has a lattice with a single path, so it is left
 as it is without a search; equal spans are decoded once per task.
 
 Passes: (1) trigram counts over all documents, partial sums per task, at most
-64**3 rows; (2) the features of a bounded sample of labelled rows
-(``MAX_POSITIVE`` and ``MAX_NEGATIVE``, smallest hashes of doc_id), from which
-the driver fits the model; (3) one pass that scores all documents. No text is
-shuffled. Labels are used for fitting only, and only those of rows whose
+64**3 rows; (2) a bounded sample of labelled rows (``MAX_POSITIVE`` and
+``MAX_NEGATIVE``, smallest hashes of doc_id) is restored; features are counted
+by class in Spark, at most ``MAX_FEATURES`` of those that speak for toxicity
+are kept, and the driver fits the model on the sample's rows of kept features;
+(3) one pass that scores all documents. No text but the sample is shuffled. Labels are used for fitting only, and only those of rows whose
 crc32(doc_id as text) mod 3 is not 1; language, source and ids are no inputs.
 
 Defined cases: null and empty texts get the score of a text without features;
@@ -37,10 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
 from .common import PLAIN_WORDS, batches
 
-MAX_POSITIVE = 6000
-MAX_NEGATIVE = 12000
+MAX_POSITIVE = 4000
+MAX_NEGATIVE = 8000
+MAX_FEATURES = 20_000
+#: least surplus of a feature in toxic rows, in standard deviations
+EVIDENCE = 3.0
 THRESHOLD = 0.7
 CACHE = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -244,35 +249,51 @@ def word_features(word: bytes) -> list[int]:
         xxhash.xxh3_64_intdigest(word[:k], seed=k) >> 1 for k in PREFIXES if len(word) >= k]
 
 
-def _features(cost):
+def _restored(cost):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(cost.value)
         for b in batches(it):
-            rows = []
-            for text in b.column(1).to_pylist():
-                found: list[int] = []
-                for w in set(restore(text).encode("utf-8", "surrogatepass").translate(PLAIN_WORDS).split()):
-                    found += word_features(w)
-                rows.append(np.array(found, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([restore(t) for t in b.column(1).to_pylist()], pa.string())], names=["y", "text"])
+    return run
+
+
+def row_features(text: str) -> np.ndarray:
+    """Feature ids of a restored text: those of each distinct word."""
+    found: list[int] = []
+    for w in set(text.encode("utf-8", "surrogatepass").translate(PLAIN_WORDS).split()):
+        found += word_features(w)
+    return np.array(found, np.int64)
+
+
+def _class_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches(it, 4 << 20):
+        rows = [row_features(t) for t in b.column(1).to_pylist()]
+        y = np.repeat(b.column(0).to_numpy(), [len(r) for r in rows])
+        f, at = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_inverse=True)
+        toxic = np.bincount(at, weights=y, minlength=len(f)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(toxic), pa.array(np.bincount(at, minlength=len(f)))],
+                                         names=["f", "toxic", "n"])
+
+
+def _kept_features(kept):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 4 << 20):
+            rows = [r[np.isin(r, kept.value)] for r in map(row_features, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["y", "f"])
     return run
 
 
-def fit_logistic(y: np.ndarray, size: np.ndarray, feature: np.ndarray, min_rows: int = 4, lift: float = 3.0,
-                 l1: float = 5e-5, rounds: int = 300) -> tuple[float, dict[int, float]]:
+def fit_logistic(y: np.ndarray, size: np.ndarray, feature: np.ndarray, l1: float = 5e-5, rounds: int = 300
+                 ) -> tuple[float, dict[int, float]]:
     """L1-penalised logistic regression by accelerated proximal gradient on
-    rows of feature ids. Only features that stand in at least ``min_rows``
-    places, and ``lift`` times as often per toxic row as per clean row, are
-    evidence; the intercept speaks for rows without any."""
+    rows of feature ids (``size`` of them each). The intercept speaks for rows
+    without features."""
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1.0)
         return math.log(p / (1 - p)) if len(y) else 0.0, {}
-    ids, column, count = np.unique(feature, return_inverse=True, return_counts=True)
-    toxic = np.bincount(column, weights=np.repeat(y, size), minlength=len(ids))
-    keep = (count >= min_rows) & (toxic * (y == 0).sum() >= lift * (count - toxic) * y.sum())
-    new = np.cumsum(keep) - 1
-    row = np.repeat(np.arange(len(y)), size)[keep[column]]
-    column, ids = new[column[keep[column]]], ids[keep]
+    ids, column = np.unique(feature, return_inverse=True)
+    row = np.repeat(np.arange(len(y)), size)
     d, n = len(ids), len(y)
     w, z, b, zb, t = np.zeros(d), np.zeros(d), 0.0, 0.0, 1.0
     # each feature has its own step: a bound of its share of the curvature
@@ -336,11 +357,20 @@ def fit(docs: DataFrame, labels: DataFrame):
         known.filter("y = 0").orderBy(*order).limit(MAX_NEGATIVE))
     # at most MAX_POSITIVE + MAX_NEGATIVE rows of 12 bytes
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = train.select("y", "text").mapInArrow(_features(cost), "y int, f array<long>").toArrow()
-    f = rows.column("f").combine_chunks()
-    size = np.diff(f.offsets.to_numpy()) if len(rows) else np.zeros(0, int)
-    return sc.broadcast(fit_logistic(rows.column("y").to_numpy().astype(float), size,
-                                     f.flatten().to_numpy() if len(rows) else np.zeros(0, np.int64))), cost
+    rows = stored(train.select("y", "text").mapInArrow(_restored(cost), "y int, text string"), "sample")
+    size = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("toxic"), F.count(F.lit(1)).alias("n")).head()
+    counts = rows.mapInArrow(_class_counts, "f long, toxic long, n long").groupBy("f").agg(
+        F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    expected = F.col("n") * (size.toxic / max(size.n, 1))
+    surplus = (F.col("toxic") - expected) / F.sqrt(expected + 1)
+    best = counts.filter(surplus >= EVIDENCE).orderBy(surplus.desc(), "f").limit(MAX_FEATURES).select("f")
+    kept = sc.broadcast(np.sort(np.array([r.f for r in best.collect()], np.int64)))
+    sparse = rows.mapInArrow(_kept_features(kept), "y int, f array<long>").toArrow()
+    f = sparse.column("f").combine_chunks()
+    lengths = np.diff(f.offsets.to_numpy()) if len(sparse) else np.zeros(0, int)
+    model = fit_logistic(sparse.column("y").to_numpy().astype(float), lengths,
+                         f.flatten().to_numpy() if len(sparse) else np.zeros(0, np.int64))
+    return sc.broadcast(model), cost
 
 
 def _scored(docs: DataFrame, labels: DataFrame, columns: list[str], into: str) -> DataFrame:
