@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linedup, minmax, packing, pii, toxicity, warc, wrapper
+from . import chat, decontam, flatgraph, linedup, minmax, packing, pii, toxicity, warc, wrapper
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of ``embeddings`` within cosine 0.95, by a robust-pruned flat graph."""
+    return flatgraph.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents`` by min-max hashing, similarity 0.85."""
@@ -140,3 +146,17 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+ORACLE["op4_flat_graph"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r(v, u) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.v, l.b FROM r JOIN l ON r.u = l.a),
+c AS (SELECT v, min(u) AS component_id FROM r GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.v = e.vec_id
+"""
