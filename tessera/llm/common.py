@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +70,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def link_rows(rows: list[tuple[int, int | None, int]]) -> pd.DataFrame:
+    """Rows (a, b, n) with 64-bit ids, b null in counts; a float column would
+    not hold them."""
+    a, b, n = zip(*rows) if rows else ((), (), ())
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": pd.array(list(b), dtype="Int64"), "n": np.array(n, np.int64)})

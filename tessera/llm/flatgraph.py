@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
 from ..session import stored
+from .common import link_rows
 
 SAMPLE = 4096
 SHARD_ROWS = 512
@@ -218,7 +219,7 @@ def search_part(radius: float):
                             out.append((int(own[i]), int(ids[k]), 0))
                     if total:
                         out.append((int(own[i]), None, total))
-        return pd.DataFrame(out, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
+        return link_rows(out)
     return run
 
 

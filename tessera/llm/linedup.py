@@ -8,8 +8,9 @@ that the multi-match-aware windows allow for each shorter length. Candidates
 are verified by bit-parallel edit distance on a band of ``2 * EDITS + 1``
 diagonals, after the common beginning and end have been cut off.
 
-A document's lines are its text split at newlines, trimmed. Lines of at least
-``MIN_WORDS`` words take part; shorter ones are always kept. Lines linked
+A document's lines are its text split at newlines, without blanks at either
+end. Lines of ``MIN_WORDS`` words or more, as their blanks count them, take
+part; shorter ones are always kept. Lines linked
 directly or through others form a class, and only the first occurrence of a
 class (smallest doc_id, then line number) stays.
 
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
 from ..session import stored
-from .common import batches, mix64
+from .common import batches, link_rows, mix64
 
 EDITS = 2
 MIN_WORDS = 5
@@ -256,8 +257,7 @@ def unit_links(edits: int):
                     root[max(x, y)] = min(x, y)
                     out.append((a, b, 0))
         out += [(a, None, n) for a, n in links.items()]
-        d = pd.DataFrame(out, columns=["a", "b", "n"])
-        return d.astype({"a": "int64", "b": "Int64", "n": "int64"})
+        return link_rows(out)
     return run
 
 
@@ -267,7 +267,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
     d = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     d = d.withColumn("text", F.trim("text"))
-    long = F.size(F.split("text", r"\s+")) >= MIN_WORDS
+    long = F.char_length("text") - F.char_length(F.replace("text", F.lit(" "))) >= MIN_WORDS - 1
     return d.withColumn("id", F.when(long, F.xxhash64("text").bitwiseAND(F.lit(-2))))
 
 
