@@ -44,6 +44,8 @@ from .common import batches
 CAPACITY = 2048
 END_ID = 0
 PART_ROWS = 50_000
+#: deals of a pool that may save nothing before the exchange ends
+PATIENCE = 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -172,7 +174,7 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
 PLACED = "uid long, length int, bin long, offset long, fill int, bins long, bound long, loose boolean"
 
 
-def _pack_part(key, p: pd.DataFrame) -> pd.DataFrame:
+def _pack_part(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
     """Packs one partition, certifies it, and marks the loosest bins of a
     partition with a gap."""
     lengths = p.length.to_numpy(np.int64)
@@ -208,15 +210,18 @@ def place(pieces: DataFrame) -> DataFrame:
     full = pieces.filter(F.col("length") == CAPACITY).select("uid", (-F.col("uid") - 1).alias("sequence_id"),
                                                              F.lit(0).cast("long").alias("offset"))
     now = _packed(pieces.filter(F.col("length") < CAPACITY).select("uid", F.col("length").cast("int").alias("length")), 0)
-    done, turn = [], 0
-    while True:
+    done, turn, deal, idle = [], 0, 0, 0
+    while idle < PATIENCE:
         pool = now.filter("loose")
         before = _bin_count(pool)
         if before == 0:
             break
-        again = _packed(pool.select("uid", "length"), turn + 1)
+        deal += 1
+        again = _packed(pool.select("uid", "length"), deal)
         if _bin_count(again) >= before:
-            break
+            idle += 1  # another deal may still save some
+            continue
+        idle = 0
         done.append(now.filter("not loose").select("uid", F.lit(turn).alias("turn"), "bin", "offset"))
         now, turn = again, turn + 1
     out = now.select("uid", F.lit(turn).alias("turn"), "bin", "offset")

@@ -53,6 +53,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CUE = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[(\[{<]\s*(?:[aA][tT]|[dD][oO][tT]|\.)\s*[)\]}>]")
 _ANY = re.compile(r"[0-9@]")
+#: what may be a disguised span: such windows are no examples of clean text
+_DOUBTFUL = re.compile(r"(?:[0-9][\s().,_/\[\]+-]*(?:dot\s*)?){7}|@|\b[aA][tT]\b.{1,40}\b[dD][oO][tT]\b|[(\[{<]\s*(?:at|dot|\.)\s*[)\]}>]")
 
 
 def luhn(digits: str) -> bool:
@@ -242,7 +244,7 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(chars: np.ndarray, tags: np.ndarray, steps: int = 400, size: int = 64, rate: float = 0.01, seed: int = 3,
+def train(chars: np.ndarray, tags: np.ndarray, steps: int = 500, size: int = 64, rate: float = 0.02, seed: int = 3,
           losses: list[float] | None = None) -> dict[str, np.ndarray]:
     """Adam on mini-batches of windows (N, T) and their tags; gradients by hand."""
     w = new_weights()
@@ -312,19 +314,34 @@ def training_windows(windows: list[tuple[str, list[tuple[int, int, int]]]], seed
         chars.append(encode_chars(text[cut:cut + WIDTH]))
         tags.append(t)
 
+    words = sorted({w for text, spans in windows if not spans for w in text.split()}
+                   | {w for text, spans in windows for s, _, e in spans[:1] for w in (text[:s] + " " + text[e:]).split()})
+
+    def some_words() -> str:
+        """Context: words of other windows, or letters that are no words."""
+        pick = [words[i] if r.integers(4) else "".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9)))
+                for i in r.integers(0, len(words), r.integers(0, 8))] if words else []
+        return " ".join(pick)
+
     for text, spans in windows:
         add(text, spans)
         names = re.findall(r"[A-Za-z]{3,10}", text)
-        for _ in range(3 if spans else 0):
-            parts, at, moved = [], 0, []
-            for s, k, e in spans:
-                parts.append(text[at:s])
-                new = disguise(k, text[s:e], r, names)
-                begin = sum(map(len, parts))
-                moved.append((begin, k, begin + len(new)))
-                parts.append(new)
-                at = e
-            add("".join(parts) + text[at:], moved)
+        for s, k, e in spans:
+            for _ in range(3):
+                new = "".join(str(r.integers(10)) if c.isdigit() and k else c for c in text[s:e])
+                if k == 1:
+                    new = ".".join(str(r.integers(256)) for _ in range(4))
+                if r.integers(4):
+                    new = disguise(k, new, r, names)
+                if r.integers(2):
+                    before, after = text[max(0, s - 40):s], text[e:]
+                else:
+                    before, after = f"{some_words()} ".lstrip(), f" {some_words()}".rstrip()
+                if not any(a < s and b > s - 40 for a, _, b in spans) or before != text[max(0, s - 40):s]:
+                    after = after if not any(a >= e for a, _, b in spans) else f" {some_words()}".rstrip()
+                    add(before + new + after, [(len(before), k, len(before) + len(new))])
+        if not spans and r.integers(3) == 0:
+            add(f"{some_words()} {some_words()}", [])
     return np.array(chars).reshape(-1, WIDTH), np.array(tags).reshape(-1, WIDTH)
 
 
@@ -343,6 +360,8 @@ def _sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 picks = [(len(text) * 7 // 10) // 2] if len(out) % 4 == 0 else []
             for p in picks:
                 inside = [(s - p, k, e - p) for s, k, e in spans if p <= s and e <= p + WIDTH]
+                if not inside and _DOUBTFUL.search(text[p:p + WIDTH]):
+                    continue
                 whole = all(e <= p or s >= p + WIDTH or (p <= s and e <= p + WIDTH) for s, _, e in spans)
                 apart = all(x[2] <= y[0] for x, y in zip(inside, inside[1:]))
                 if whole and apart:
