@@ -99,14 +99,15 @@ def top_models(avg_r2: DataFrame, families: list[str], k: int = 3) -> DataFrame:
 
 
 def best_worst_series(r2: DataFrame, k: int = 3) -> DataFrame:
-    """K best and k worst series by R^2 per family."""
+    """K best and k worst series by R^2 per family. The two lists are
+    taken independently, so with fewer than 2k series some stand in both."""
+    sides = F.filter(F.array(F.struct(F.lit("best").alias("side"), F.col("_b").cast("bigint").alias("rank")),
+                             F.struct(F.lit("worst").alias("side"), F.col("_w").cast("bigint").alias("rank"))),
+                     lambda s: s["rank"] <= k)
     best = Window.partitionBy("family").orderBy(F.desc("r2"), "sid")
     worst = Window.partitionBy("family").orderBy("r2", "sid")
     ranked = r2.select("*", F.row_number().over(best).alias("_b"), F.row_number().over(worst).alias("_w"))
-    return ranked.filter((F.col("_b") <= k) | (F.col("_w") <= k)).select(
-        "family", "sid", "r2",
-        F.when(F.col("_b") <= k, "best").otherwise("worst").alias("side"),
-        F.when(F.col("_b") <= k, F.col("_b")).otherwise(F.col("_w")).cast("bigint").alias("rank"))
+    return ranked.select("family", "sid", "r2", F.inline(sides))
 
 
 def best_model(avg_r2: DataFrame, families: list[str]) -> DataFrame:

@@ -85,8 +85,8 @@ def _lasso(cxx, cxy, alpha, n, max_sweeps=10000, tol=1e-12):
                 beta[j] = new
                 delta = max(delta, float(np.max(np.abs(d))))
         if delta < tol:
-            break
-    return beta
+            return beta
+    raise RuntimeError(f"lasso: no convergence to {tol} in {max_sweeps} sweeps (last step {delta})")
 
 
 def solve(stats: GramStats, family: str, alpha: float = 0.0) -> DataFrame | list:

@@ -49,7 +49,9 @@ def block_layout(panel: DataFrame, block: int, lookback: int = 0,
         parts.append(F.when(o < lookahead,
                             F.struct((blk - 1).alias(BLK), F.lit(True).alias(HALO))))
     arr = F.filter(F.array(*parts), lambda s: s.isNotNull())
-    return panel.select("*", F.inline(arr)), block
+    # An explicit exchange: rows that arrive partitioned by series would satisfy
+    # the window's clustering as they are, and a series would be one task.
+    return panel.select("*", F.inline(arr)).repartition("sid", BLK), block
 
 
 def block_window() -> Window:

@@ -6,6 +6,9 @@ from the given tables, so each registered query's work grows with them.
 
 from __future__ import annotations
 
+import contextvars
+from dataclasses import is_dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +47,32 @@ def feat_split(panel: DataFrame, cfg: PanelConfig = V2) -> DataFrame:
     return split.chronological_split(f, cfg, split.split_bounds(panel, cfg))
 
 
-_SCORED: dict = {}
+#: results that branches of one running query share; a new run starts empty
+_RUN: contextvars.ContextVar[dict] = contextvars.ContextVar("tessera_run")
+
+
+def new_run() -> None:
+    """Start a run: nothing computed by an earlier query is used again, and
+    what it cached is released."""
+    for made in _RUN.get({}).values():
+        if is_dataclass(made):
+            made = tuple(vars(made).values())
+        for part in made if isinstance(made, tuple) else (made,):
+            if isinstance(part, DataFrame):
+                part.unpersist()
+    _RUN.set({})
+
+
+def shared(key, build):
+    """``build()`` once per run and key."""
+    try:
+        run = _RUN.get()
+    except LookupError:
+        new_run()
+        run = _RUN.get()
+    if key not in run:
+        run[key] = build()
+    return run[key]
 
 
 def scored(spark: SparkSession, base: str, cfg: PanelConfig = V2) -> tuple[DataFrame, DataFrame]:
@@ -54,17 +82,13 @@ def scored(spark: SparkSession, base: str, cfg: PanelConfig = V2) -> tuple[DataF
     Evaluation queries read this table from several branches (per-series
     R^2, candidates, weights, predictions); it is materialised once with a
     reliable checkpoint in the shared folder so the window plan runs once
-    per session and base, and lineage stays short.
+    per run, and lineage stays short.
     """
-    key = (spark.sparkContext.applicationId, base, cfg)
-    hit = _SCORED.get(key)
-    if hit is not None:
-        return hit
-    z, st = scaled(hourly(spark, base))
-    s = materialize(ensemble.forecaster_predictions(feat_split(z, cfg)))
-    st = materialize(st)
-    _SCORED[key] = (s, st)
-    return s, st
+    def build():
+        z, st = scaled(hourly(spark, base))
+        return materialize(ensemble.forecaster_predictions(feat_split(z, cfg))), materialize(st)
+
+    return shared(("scored", base, cfg), build)
 
 
 def split_r2(spark: SparkSession, base: str, which: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import V1, V2
 from ..operators import (cluster, correlation, ensemble, evaluate, linear, models, profile, reshape,
                          select, split, tune)
+from ..session import scratch_path
 from ..sources import sinks
 from . import common as C
 from . import oracle as O
@@ -25,15 +26,9 @@ def _is(split_name):
     return F.col("split") == split_name
 
 
-_DESIGN: dict = {}
-
-
 def _design(spark, base):
-    """The shared design matrix, built (SVD included) once per session and base."""
-    key = (spark.sparkContext.applicationId, base)
-    if key not in _DESIGN:
-        _DESIGN[key] = build_design(spark, base, CFG)
-    return _DESIGN[key]
+    """The shared design matrix, built (SVD included) once per run."""
+    return C.shared(("design", base), lambda: build_design(spark, base, CFG))
 
 
 def _val_r2(d, fitted):
@@ -126,20 +121,17 @@ def q_predict(spark, base):
     return _linear_preds(d, [("Ridge", "Ridge", 1.0)], F.col("split").isin("val", "test"))
 
 
-_RF_IMP: dict = {}
-
-
 def _importances(spark, base):
     """RandomForest importances of the reference series (T8); the fit is
-    shared by the selection queries of one session and base."""
+    shared within a run."""
     d = _design(spark, base)
-    key = (spark.sparkContext.applicationId, base)
-    if key not in _RF_IMP:
+
+    def build():
         ref = d.sids[0]
         fitted = models.train_all_series(d.X, d.labels, ["RandomForest"], [ref], CFG, _is("train"))
-        _RF_IMP[key] = models.feature_importance(fitted, "RandomForest", ref)
-    imp = spark.createDataFrame(_RF_IMP[key], "idx int, importance double")
-    return d, imp
+        return models.feature_importance(fitted, "RandomForest", ref)
+
+    return d, spark.createDataFrame(C.shared(("rf_importance", base), build), "idx int, importance double")
 
 
 @register("feature_importance")
@@ -254,7 +246,7 @@ def q_write_reports(spark, base):
     r2 = evaluate.series_r2(s.filter(_is("val")))
     imp = Q._importance(spark, base)
     sel = select.select_by_importance(imp, CFG.importance_threshold, CFG.min_features)
-    root = sinks.write_reports(spark, spark.sparkContext.getCheckpointDir() + "/reports", {
+    root = sinks.write_reports(spark, scratch_path(spark, "reports"), {
         "selected_features": sel.orderBy(F.desc("importance")),
         "model_summary": evaluate.model_comparison(s.filter(F.col("split") == "test")),
         "difficult_series": evaluate.difficult_series(r2)})
@@ -270,7 +262,7 @@ def q_save_model(spark, base):
     d = _design(spark, base)
     st = linear.gram_stats(d.X, d.labels, d.sids, _is("train"))
     coefs = linear.fit_linear(spark, st, [("Ridge", "Ridge", 1.0)])
-    root = spark.sparkContext.getCheckpointDir() + "/saved_model"
+    root = scratch_path(spark, "saved_model")
     sinks.save_model(spark, root, {}, {"coefficients": coefs, "scaler": d.stats, "dictionary": d.dictionary},
                      {"n_lags": CFG.n_lags, "families": ["Ridge"], "alpha": 1.0})
     loaded = spark.read.parquet(f"{root}/tables/coefficients")

@@ -82,7 +82,9 @@ def ctes(cfg: PanelConfig = V2) -> list[str]:
         _spine("cells", "nullable", None),
         _spine("cells", "hourly", "0.0"),
         "mcells AS (SELECT s.s_nationkey::VARCHAR AS sid, "
-        "((year(l.l_shipdate) - 1995) * 12 + month(l.l_shipdate) - 1)::BIGINT AS t, "
+        "(year(l.l_shipdate) * 12 + month(l.l_shipdate) - "
+        "(SELECT min(year(l_shipdate) * 12 + month(l_shipdate)) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey))"
+        "::BIGINT AS t, "
         "sum(l.l_quantity) AS v FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY ALL)",
         _spine("mcells", "monthly", "0.0"),
         "hstats AS (SELECT sid, avg(v) AS mu, stddev_pop(v) AS sd FROM hourly GROUP BY sid)",

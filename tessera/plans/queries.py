@@ -426,21 +426,19 @@ def q_best_model_distribution(spark, base):
     return evaluate.best_model_distribution(_r2(spark, base, "val"), C.FAMILIES)
 
 
-_IMP: dict = {}
-
-
 def _importance(spark, base):
     """Stand-in importances of the reference series on the train rows
-    (materialised once per session and base: six queries read it)."""
+    (materialised once per run)."""
     from ..session import materialize
-    key = (spark.sparkContext.applicationId, base)
-    if key not in _IMP:
+
+    def build():
         a, z = _assembled(spark, base)
         fs = C.feat_split(z, CFG)
         ref = C.reference_sid(z)
         lab = fs.filter((F.col("sid") == ref) & (F.col("split") == "train")).select("t", F.col("v").alias("y"))
-        _IMP[key] = materialize(select.stand_in_importance(a, lab))
-    return _IMP[key]
+        return materialize(select.stand_in_importance(a, lab))
+
+    return C.shared(("importance", base), build)
 
 
 IMP_CTES = [SORD,
@@ -629,11 +627,10 @@ def q_top3_models(spark, base):
 
 
 @register("best_worst_series", O.sql(
-    "SELECT family, sid, r2, CASE WHEN b <= 3 THEN 'best' ELSE 'worst' END AS side, "
-    "CASE WHEN b <= 3 THEN b ELSE w END AS rank FROM (SELECT family, sid, r2, "
-    "row_number() OVER (PARTITION BY family ORDER BY r2 DESC, sid) AS b, "
-    f"row_number() OVER (PARTITION BY family ORDER BY r2, sid) AS w FROM r2 WHERE {STEST}) WHERE b <= 3 OR w <= 3",
-    ["family", "sid", "r2", "side", "rank"], ["r2"]))
+    "SELECT family, sid, r2, 'best' AS side, row_number() OVER (PARTITION BY family ORDER BY r2 DESC, sid) AS rank "
+    f"FROM r2 WHERE {STEST} QUALIFY rank <= 3 UNION ALL "
+    "SELECT family, sid, r2, 'worst' AS side, row_number() OVER (PARTITION BY family ORDER BY r2, sid) AS rank "
+    f"FROM r2 WHERE {STEST} QUALIFY rank <= 3", ["family", "sid", "r2", "side", "rank"], ["r2"]))
 def q_best_worst(spark, base):
     """O4 on test R^2."""
     return evaluate.best_worst_series(_r2(spark, base, "test"), 3)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
+from . import common
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +27,7 @@ def prepare(spark: SparkSession) -> None:
 def _wrap(fn):
     def run(spark: SparkSession, base: str) -> DataFrame:
         prepare(spark)
+        common.new_run()
         return fn(spark, base)
     run.__doc__ = fn.__doc__
     return run

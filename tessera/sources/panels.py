@@ -1,7 +1,7 @@
 """Panel builders: the long ``(sid, t, v)`` model derived from the given tables.
 
 * ``hourly``   events: sid = event_type, t = hours since the first hour, v = sum(value)
-* ``monthly``  lineitem x supplier: sid = s_nationkey, t = months since 1995-01, v = sum(l_quantity)
+* ``monthly``  lineitem x supplier: sid = s_nationkey, t = months since the first month, v = sum(l_quantity)
 * ``inputs``   embeddings: t = vec_id, x = embedding as ARRAY<DOUBLE>
 * ``nullable`` hourly before gap filling
 
@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .tables import read_table
 
 SPINE_CHUNK = 4096
-MONTH_ORIGIN_YEAR = 1995
 
 
 def dense_spine(series: DataFrame, t_max: Column, chunk: int = SPINE_CHUNK) -> DataFrame:
@@ -28,6 +28,8 @@ def dense_spine(series: DataFrame, t_max: Column, chunk: int = SPINE_CHUNK) -> D
     chunks = series.select(
         "sid", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                     F.floor(t_max / chunk).cast("bigint"))).alias("_c"))
+    # a long series' chunks are dealt out before they grow to rows
+    chunks = chunks.repartition("sid", "_c")
     lo = F.col("_c") * chunk
     hi = F.least(lo + (chunk - 1), t_max.cast("bigint"))
     return chunks.select("sid", F.explode(F.sequence(lo, hi)).alias("t"))
@@ -35,7 +37,9 @@ def dense_spine(series: DataFrame, t_max: Column, chunk: int = SPINE_CHUNK) -> D
 
 def fill_cells(cells: DataFrame, fill: float | None = 0.0) -> DataFrame:
     """Left-join aggregated cells onto the dense spine; ``fill`` replaces
-    missing cells (None keeps NULL, i.e. the ``nullable`` panel)."""
+    missing cells (None keeps NULL, i.e. the ``nullable`` panel). ``cells`` is
+    a written table (one row per cell), so series, bounds and values all come
+    from one scan of the raw rows."""
     series = cells.select("sid").distinct()
     t_max = cells.select(F.max("t")).scalar()
     spine = dense_spine(series, t_max)
@@ -44,13 +48,17 @@ def fill_cells(cells: DataFrame, fill: float | None = 0.0) -> DataFrame:
     return out.select("sid", F.col("t").cast("bigint").alias("t"), v.cast("double").alias("v"))
 
 
+def _from_origin(cells: DataFrame, unit: str) -> DataFrame:
+    """Cells keyed by time, written once and renumbered from their first time."""
+    cells = stored(cells, "cells")
+    origin = cells.select(F.min("at")).scalar()
+    return cells.select("sid", F.timestamp_diff(unit, origin, F.col("at")).cast("bigint").alias("t"), "v")
+
+
 def hourly_cells(spark: SparkSession, base: str) -> DataFrame:
     ev = read_table(spark, base, "events").select("ts", "event_type", "value")
-    hour = F.date_trunc("hour", F.col("ts"))
-    origin = ev.select(F.min(hour)).scalar()
-    return (ev.groupBy(F.col("event_type").alias("sid"),
-                       F.timestamp_diff("HOUR", origin, hour).cast("bigint").alias("t"))
-              .agg(F.sum("value").alias("v")))
+    return _from_origin(ev.groupBy(F.col("event_type").alias("sid"), F.date_trunc("hour", F.col("ts")).alias("at"))
+                          .agg(F.sum("value").alias("v")), "HOUR")
 
 
 def hourly(spark: SparkSession, base: str) -> DataFrame:
@@ -64,14 +72,13 @@ def nullable(spark: SparkSession, base: str) -> DataFrame:
 def monthly_cells(spark: SparkSession, base: str) -> DataFrame:
     li = read_table(spark, base, "lineitem").select("l_suppkey", "l_quantity", "l_shipdate")
     su = read_table(spark, base, "supplier").select("s_suppkey", "s_nationkey")
-    month = ((F.year("l_shipdate") - MONTH_ORIGIN_YEAR) * 12 + F.month("l_shipdate") - 1)
     # pre-aggregate the fact table to (supplier, month) before the dimension join;
     # the join strategy is left to the planner's size check
-    per_supp = li.groupBy("l_suppkey", month.cast("bigint").alias("t")).agg(
+    per_supp = li.groupBy("l_suppkey", F.date_trunc("month", F.col("l_shipdate")).alias("at")).agg(
         F.sum("l_quantity").alias("q"))
     joined = per_supp.join(su, per_supp.l_suppkey == su.s_suppkey)
-    return joined.groupBy(F.col("s_nationkey").cast("string").alias("sid"), "t").agg(
-        F.sum("q").alias("v"))
+    return _from_origin(joined.groupBy(F.col("s_nationkey").cast("string").alias("sid"), "at").agg(
+        F.sum("q").alias("v")), "MONTH")
 
 
 def monthly(spark: SparkSession, base: str) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -37,28 +39,32 @@ def row_index(df: DataFrame, order_col: str | None = None, name: str = "t") -> D
     """Dense 0-based row number without a one-partition sort.
 
     Rows are range-partitioned on ``order_col`` (or kept in input order when
-    it is None, i.e. file order), numbered inside their partition, and shifted
-    by the running count of the partitions before them. Only one row per
-    partition reaches the small offsets table; the exchange is reused by both
-    branches, so the numbering is computed from one shuffle.
+    it is None, i.e. file order) and written once, each with its partition
+    number and its place inside it. The running counts of the partitions are
+    taken from that written table, so numbering and offsets always speak of
+    the same physical rows, however adaptive execution coalesces partitions.
     """
     base = df
     if order_col is not None:
         base = df.repartitionByRange(order_col).sortWithinPartitions(order_col)
-    tagged = base.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    tagged = stored(base.withColumn("_pid", F.spark_partition_id()).withColumn(
+        "_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)), "row_index")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    # offsets has one row per input partition: a proven size bound for a broadcast
+    offsets = counts.select("_pid", (F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
+    # offsets has one row per partition of the written table: a proven size bound for a broadcast
     out = tagged.join(F.broadcast(offsets), "_pid").withColumn(
         name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos")).cast("bigint"))
     return out.drop("_pid", "_pos", "_off")
 
 
+def wide_to_long(df: DataFrame, columns: list[str], order_col: str | None = None) -> DataFrame:
+    """S1 + S2 + P1: a wide table of numeric columns as the long panel
+    ``(sid, t, v)``, rows numbered in ``order_col`` (or file) order."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("sid"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+    return row_index(df, order_col).select("t", F.inline(pairs)).select("sid", "t", "v")
+
+
 def shape_profile(panel: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
     """S3: rows, series and steps of a long panel (plus width of the inputs)."""
     prof = panel.agg(
