@@ -27,26 +27,6 @@ def threshold_pred(r, lo: float, hi: float = 1.0) -> Column:
     return (a > lo) & (a < hi)
 
 
-def clamp(c, lo=None, hi=None) -> Column:
-    """greatest / least."""
-    c = col(c)
-    if hi is not None:
-        c = F.least(c, F.lit(hi))
-    if lo is not None:
-        c = F.greatest(c, F.lit(lo))
-    return c
-
-
-def cut_point(n, fraction: float) -> Column:
-    """truncating cut point int(n * fraction) in double arithmetic."""
-    return F.floor(col(n).cast("double") * F.lit(float(fraction))).cast("bigint")
-
-
 def pct_improvement(new, old) -> Column:
     """(new - old) / old * 100."""
     return (col(new) - col(old)) / col(old) * 100
-
-
-def sqrt_rmse(mse) -> Column:
-    """F8."""
-    return F.sqrt(col(mse))

@@ -1,21 +1,21 @@
 """Cross-series correlation (A3, J3), correlation groups (A7), nearest series.
 
 No pair rows are ever materialised per time step: series are packed into one
-vector per ``t`` (a group of at most S values) and the S x S co-moments come
-from one Gram pass (``pyspark.ml.stat.Correlation``: per-partition partial
-sums, tree-reduced). The result, like the reference's correlation matrix, is
+vector per ``t`` (a group of at most S values) and the S x S co-moments of
+values, squares and presence come from one Gram pass (per-partition partial
+sums, tree-reduced), so gaps and NULLs are pairwise complete. The result, like the reference's correlation matrix, is
 S x S; it is intended for S up to a few thousand series.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalar import threshold_pred
 from .components import component_labels
@@ -26,42 +26,63 @@ def series_order(panel: DataFrame) -> list[str]:
     return [r[0] for r in panel.select("sid").distinct().orderBy("sid").collect()]
 
 
-def per_t_vectors(panel: DataFrame, value: str = "v") -> DataFrame:
-    """(t, vec): the series values at t in sid order (dense panel)."""
-    packed = panel.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("sid", value))).alias("_a"))
-    return packed.select("t", array_to_vector(F.transform("_a", lambda e: e[value])).alias("vec"))
-
+def masked_gram(panel: DataFrame, value: str = "v") -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Series keys and, for every pair (i, j) over the steps where both are
+    present: n, sum of i, sum of squares of i, sum of products.
 
-def _pairs_frame(spark: SparkSession, sids: list[str], mat, extra=None) -> DataFrame:
-    rows = []
-    n = len(sids)
-    for i in range(n):
-        for j in range(i + 1, n):
-            r = float(mat[i, j])
-            rows.append((sids[i], sids[j], None if math.isnan(r) else r))
-    schema = T.StructType([T.StructField("sid_a", T.StringType()),
-                           T.StructField("sid_b", T.StringType()),
-                           T.StructField("r", T.DoubleType())])
-    return spark.createDataFrame(rows, schema)
+    Per step the present values (less their series' mean, against
+    cancellation), their squares and the presence mask form one vector of
+    length 3S; its Gram matrix is summed in the JVM (partial sums, tree
+    reduced). Missing rows and NULL cells count as absent."""
+    sids = series_order(panel)
+    s = len(sids)
+    if s == 0:
+        return sids, *[np.zeros((0, 0))] * 4
+    mean = panel.groupBy("sid").agg(F.avg(value).alias("_mu"))
+    place = panel.sparkSession.createDataFrame(list(zip(sids, range(s))), "sid string, _pos int")
+    rows = (panel.join(mean, "sid").join(F.broadcast(place), "sid")  # one row per series
+            .filter(F.col(value).isNotNull()).select("t", "_pos", (F.col(value) - F.col("_mu")).alias("_d")))
+    packed = rows.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_d"))).alias("_m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda i: F.try_element_at("_m", i))
+    vec = F.concat(F.transform(every, lambda d: F.coalesce(d, F.lit(0.0))),
+                   F.transform(every, lambda d: F.coalesce(d * d, F.lit(0.0))),
+                   F.transform(every, lambda d: F.when(d.isNull(), 0.0).otherwise(1.0)))
+    ml = packed.select(array_to_vector(vec).alias("v"))
+    g = RowMatrix(MLUtils.convertVectorColumnsFromML(ml, "v")).computeGramianMatrix().toArray()
+    d, q, m = slice(0, s), slice(s, 2 * s), slice(2 * s, 3 * s)
+    return sids, g[m, m], g[d, m], g[q, m], g[d, d]
+
+
+def pair_moments(panel: DataFrame, value: str = "v") -> DataFrame:
+    """(sid_a, sid_b, n_common, cov, r) for every pair a < b over their common
+    steps; r is NULL where either is constant there (T19)."""
+    sids, n, total, square, product = masked_gram(panel, value)
+    i, j = np.triu_indices(len(sids), 1)
+    k, sx, sy = n[i, j], total[i, j], total[j, i]
+    with np.errstate(all="ignore"):
+        sxy = product[i, j] - sx * sy / k
+        sxx, syy = square[i, j] - sx * sx / k, square[j, i] - sy * sy / k
+        varies = (sxx > 1e-12 * square[i, j]) & (syy > 1e-12 * square[j, i]) & (k > 1)
+        r = np.clip(sxy / np.sqrt(sxx * syy), -1.0, 1.0)
+        cov = sxy / (k - 1)
+    keys = np.array(sids, object)
+    frame = pd.DataFrame({"sid_a": keys[i], "sid_b": keys[j], "n_common": k.astype("int64"),
+                          "cov": np.where(k > 1, cov, np.nan), "r": np.where(varies, r, np.nan)})
+    out = panel.sparkSession.createDataFrame(frame, "sid_a string, sid_b string, n_common long, cov double, r double")
+    null = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select("sid_a", "sid_b", "n_common", null("cov"), null("r"))
 
 
 def corr_matrix(panel: DataFrame, value: str = "v") -> DataFrame:
-    """A3: Pearson r for every pair a < b; NULL for a constant series."""
-    sids = series_order(panel)
-    m = Correlation.corr(per_t_vectors(panel, value), "vec", "pearson").head()[0].toArray()
-    return _pairs_frame(panel.sparkSession, sids, m)
+    """A3: Pearson r for every pair a < b over their common steps; NULL for a
+    constant series (T19)."""
+    return pair_moments(panel, value).select("sid_a", "sid_b", "r")
 
 
 def series_pairs(panel: DataFrame, value: str = "v") -> DataFrame:
-    """Co-moments of every pair a < b at equal t: common steps and
-    sample covariance (= r * sd_a * sd_b), from the same Gram pass."""
-    r = corr_matrix(panel, value)
-    sd = panel.groupBy("sid").agg(F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
-    a = sd.select(F.col("sid").alias("sid_a"), F.col("sd").alias("sd_a"), F.col("n").alias("n"))
-    b = sd.select(F.col("sid").alias("sid_b"), F.col("sd").alias("sd_b"))
-    j = r.join(a, "sid_a").join(b, "sid_b")
-    cov = F.when(F.col("r").isNull(), F.lit(0.0)).otherwise(F.col("r") * F.col("sd_a") * F.col("sd_b"))
-    return j.select("sid_a", "sid_b", F.col("n").cast("bigint").alias("n_common"), cov.alias("cov"))
+    """Co-moments of every pair a < b at equal t: common steps and sample
+    covariance, from the same Gram pass."""
+    return pair_moments(panel, value).select("sid_a", "sid_b", "n_common", "cov")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ with V broadcast (its size is bounded by width x k, never by rows).
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +20,19 @@ def n_components(n_rows: int, width: int, configured: int = 300) -> int:
 
 def svd_reduce(inputs: DataFrame, k: int, x: str = "x"):
     """Rank-k SVD of the (already scaled) inputs. Returns
-    (scores DataFrame (t, x ARRAY<DOUBLE> of length k), singular values)."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    rows = inputs.select("t", x).rdd.map(lambda r: IndexedRow(int(r[0]), Vectors.dense(r[1])))
-    irm = IndexedRowMatrix(rows)
-    svd = irm.computeSVD(k, computeU=False)
-    scores = irm.multiply(svd.V).rows.map(lambda r: (int(r.index), r.vector.toArray().tolist()))
+    (scores DataFrame (t, x ARRAY<DOUBLE> of length k), singular values).
+    Rows stay in the JVM: the matrix is made from a vector column, and the
+    scores are one expression over V, a one-row table of k arrays."""
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.mllib.util import MLUtils
+
     spark = inputs.sparkSession
-    df = spark.createDataFrame(scores, "t bigint, x array<double>")
-    return df, [float(s) for s in svd.s.toArray()]
+    rows = inputs.select(F.col("t").cast("long").alias("index"), array_to_vector(x).alias("vector"))
+    svd = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows, "vector")).computeSVD(k, computeU=False)
+    v = spark.createDataFrame([(svd.V.toArray().T.tolist(),)], "v array<array<double>>").select("v").scalar()
+    dot = lambda c: F.aggregate(F.zip_with(F.col(x), c, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+    scores = inputs.withColumn("_v", v).select(F.col("t").cast("long").alias("t"), F.transform("_v", dot).alias("x"))
+    return scores, [float(s) for s in svd.s.toArray()]
 
 
 def explained_variance(scores: DataFrame, inputs: DataFrame, x: str = "x") -> DataFrame:
@@ -40,11 +42,3 @@ def explained_variance(scores: DataFrame, inputs: DataFrame, x: str = "x") -> Da
     total = tot.select(F.sum("var")).scalar()
     return comp.agg((F.sum("var") / total).alias("explained_variance"),
                     F.count(F.lit(1)).cast("bigint").alias("n_components"))
-
-
-def as_vector(df: DataFrame, col: str = "x", out: str | None = None) -> DataFrame:
-    return df.withColumn(out or col, array_to_vector(col))
-
-
-def as_array(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, vector_to_array(col))

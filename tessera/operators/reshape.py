@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def melt_panel(wide: DataFrame, id_col: str = "t", value_cols: list[str] | None = None) -> DataFrame:
     """Wide (t, s1, s2, ...) -> long (sid, t, v)."""
     value_cols = value_cols or [c for c in wide.columns if c != id_col]
@@ -54,20 +55,20 @@ def inverse_standardize(df: DataFrame, stats: DataFrame, cols: list[str]) -> Dat
 def standardize_wide(inputs: DataFrame, x: str = "x", rows: Column | None = None) -> DataFrame:
     """Column-wise z-score of an array column (ddof 0).
 
-    Column statistics are one aggregation over exploded positions (partial
-    aggregation per task, p rows after the shuffle). The two length-p stat
-    vectors (O(width), never O(rows)) are applied with ``zip_with`` as
-    literals, so scaling is a narrow, codegen'd projection.
+    One ``Summarizer`` pass gives the mean and variance vectors (partial sums
+    per task); they come back as one-row scalar subqueries, so the plan's size
+    does not depend on the width and nothing passes through the driver.
     """
     src = inputs if rows is None else inputs.filter(rows)
-    per_pos = src.select(F.posexplode(x).alias("j", "xj")).groupBy("j").agg(
-        F.avg("xj").alias("mu"), F.stddev_pop("xj").alias("sd"))
-    stats = sorted(per_pos.collect(), key=lambda r: r["j"])
-    mus = F.array(*[F.lit(float(r["mu"])) for r in stats])
-    sds = F.array(*[F.lit(float(r["sd"])) for r in stats])
-    zs = F.zip_with(F.zip_with(F.col(x), mus, lambda a, m: F.struct(a.alias("a"), m.alias("m"))),
-                    sds, lambda am, s: F.when(s == 0, F.lit(0.0)).otherwise((am["a"] - am["m"]) / s))
-    return inputs.withColumn(x, zs)
+    m = src.select(array_to_vector(x).alias("v")).select(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("m")).select(
+        vector_to_array("m.mean").alias("mu"),
+        # the summarizer's variance has n - 1 below
+        F.transform(vector_to_array("m.variance"), lambda q: F.sqrt(q * (F.col("m.count") - 1) / F.col("m.count"))).alias("sd"))
+    both = inputs.withColumns({"_mu": m.select("mu").scalar(), "_sd": m.select("sd").scalar()})
+    centred = F.zip_with(F.col(x), F.col("_mu"), lambda a, mu: a - mu)
+    zs = F.zip_with(centred, F.col("_sd"), lambda d, sd: F.when(sd == 0, F.lit(0.0)).otherwise(d / sd))
+    return both.withColumn(x, zs).drop("_mu", "_sd")
 
 
 def fill_zero(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -96,8 +97,8 @@ def first_series(panel: DataFrame, k: int) -> DataFrame:
 
 
 def sample_series(panel: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """P12 (random): k series chosen with a seeded order."""
-    keep = panel.select("sid").distinct().orderBy(F.rand(seed)).limit(k)
+    """P12 (random): k series, those with the smallest seeded hashes."""
+    keep = panel.select("sid").distinct().orderBy(F.xxhash64("sid", F.lit(seed)), "sid").limit(k)
     return panel.join(F.broadcast(keep), "sid", "left_semi")
 
 
@@ -132,12 +133,3 @@ def actual_vs_pred(labels: DataFrame, preds: DataFrame) -> DataFrame:
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name."""
     return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def stack_predictions(df: DataFrame, families: dict[str, str], y: str = "y") -> DataFrame:
-    """Wide forecaster columns -> long (family, sid, t, y, yhat) with ``stack``
-    (one pass, no union of re-scans)."""
-    pairs = ", ".join(f"'{fam}', `{c}`" for fam, c in families.items())
-    keep = [c for c in df.columns if c not in families.values()]
-    return df.selectExpr(*keep, f"stack({len(families)}, {pairs}) as (family, yhat)")
-

@@ -8,13 +8,14 @@ reduction and clustering.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..config import V1, V2
 from ..operators import (cluster, correlation, ensemble, evaluate, linear, models, profile, reshape,
                          select, split, tune)
 from ..session import scratch_path
-from ..sources import sinks
+from ..sources import sinks, tables
 from . import common as C
 from . import oracle as O
 from . import queries as Q
@@ -80,7 +81,23 @@ def q_svd(spark, base):
     return d.scores.select("t", F.posexplode("x").alias("j", "score"))
 
 
-@register("explained_variance")
+@register("svd_norms", O.sql(
+    "SELECT t, sum(z * z) AS norm2 FROM (SELECT t, j, CASE WHEN stddev_pop(x) OVER w = 0 THEN 0.0 "
+    "ELSE (x - avg(x) OVER w) / stddev_pop(x) OVER w END AS z FROM (SELECT i.t, unnest(range(len(i.x))) AS j, "
+    "unnest(i.x) AS x FROM inputs i WHERE i.t IN (SELECT t FROM hourly)) WINDOW w AS (PARTITION BY j)) GROUP BY t",
+    ["t", "norm2"], ["norm2"]))
+def q_svd_norms(spark, base):
+    """R1 without its sign ambiguity: at full rank a row's scores have the
+    squared length of the standardized row."""
+    d = _design(spark, base)
+    return d.scores.select("t", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("norm2"))
+
+
+@register("explained_variance", O.sql(
+    "SELECT CASE WHEN least((SELECT count(*) FROM inputs i WHERE i.t IN (SELECT t FROM hourly)), max(len(x)), "
+    f"{CFG.n_components}) = max(len(x)) THEN 1.0 END AS explained_variance, "
+    f"least((SELECT count(*) FROM inputs i WHERE i.t IN (SELECT t FROM hourly)), max(len(x)), {CFG.n_components}) "
+    "AS n_components FROM inputs", ["explained_variance", "n_components"], ["explained_variance"]))
 def q_explained_variance(spark, base):
     """A8."""
     from ..operators import reduce
@@ -88,6 +105,48 @@ def q_explained_variance(spark, base):
     return reduce.explained_variance(d.scores, d.inputs)
 
 
+ONE_FEATURE = [
+    "x1 AS (SELECT t, lag1 AS x FROM fs WHERE sid = (SELECT min(sid) FROM scaled))",
+    "m1 AS (SELECT sid, regr_sxy(v, x) AS sxy, regr_sxx(v, x) AS sxx, avg(v) AS my, avg(x) AS mx, count(*) AS n "
+    "FROM fs JOIN x1 USING (t) WHERE split = 'train' GROUP BY sid)",
+    "s1 AS (SELECT 'LinearRegression' AS family, sid, sxy / sxx AS slope, my, mx FROM m1 "
+    "UNION ALL SELECT 'Ridge', sid, sxy / (sxx + 1.0), my, mx FROM m1 "
+    "UNION ALL SELECT 'Lasso', sid, sign(sxy) * greatest(abs(sxy) - 0.1 * n, 0.0) / sxx, my, mx FROM m1)"]
+
+
+@register("linear_one_feature", O.sql("SELECT family, sid, my - slope * mx AS intercept, slope FROM s1",
+                                      ["family", "sid", "intercept", "slope"], ["intercept", "slope"], ONE_FEATURE))
+def q_linear_one_feature(spark, base):
+    """M1-M3 on one feature (the first series' lag 1), every series: the Gram
+    pass and the three solvers against their closed forms."""
+    z, _ = C.scaled(C.hourly(spark, base))
+    fs = C.feat_split(z, CFG)
+    ref = C.reference_sid(z)
+    X = fs.filter(F.col("sid") == ref).select("t", array_to_vector(F.array("lag1")).alias("features"))
+    labels = fs.select("sid", "t", F.col("v").alias("label"), "split")
+    st = linear.gram_stats(X, labels, correlation.series_order(z), _is("train"))
+    coefs = linear.fit_linear(spark, st, [(f, f, a) for f, a in LINEAR.items()])
+    return coefs.select("family", "sid", "intercept", F.col("coef")[0].alias("slope"))
+
+
+@register("kmeans_sizes", O.sql(
+    "SELECT greatest(3, least(5, count(DISTINCT sid) // 3)) AS n_groups, count(DISTINCT sid) AS n_series FROM monthly",
+    ["n_groups", "n_series"], []))
+def q_kmeans_sizes(spark, base):
+    """Number of groups and of series in them."""
+    return q_kmeans(spark, base).agg(F.countDistinct("group_id").alias("n_groups"), F.count(F.lit(1)).alias("n_series"))
+
+
+@register("csv_panel", O.sql("SELECT sid, t, v FROM monthly", ["sid", "t", "v"], ["v"]))
+def q_csv_panel(spark, base):
+    """S1 + S2: the monthly panel as a wide CSV in the shared folder, read
+    back, numbered and melted."""
+    m = C.monthly(spark, base)
+    sids = correlation.series_order(m)
+    path = sinks.write_table(reshape.pivot_panel(m, sids), spark, "wide_csv", fmt="csv")
+    return tables.wide_to_long(tables.read_wide_csv(spark, path), sids, "t")
+
+
 @register("kmeans_groups")
 def q_kmeans(spark, base):
     """K-means on the monthly series features, k = max(3, min(5, n // 3)), 10 restarts."""

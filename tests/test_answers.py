@@ -89,3 +89,36 @@ def test_one_scan_per_panel(spark):
     """The raw table is read by the cell aggregation only."""
     plan = registry.queries()["scan_panel"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "events.parquet" not in plan
+
+
+def test_correlation_is_pairwise_complete(spark):
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    wide = pd.DataFrame(r.normal(1000, 1, (80, 4)), columns=list("abcd"))
+    wide["d"] = 5.0
+    wide.loc[wide.index % 7 == 0, "a"] = np.nan
+    wide.loc[wide.index % 5 == 0, "b"] = np.nan
+    rows = [(s, int(t), None if np.isnan(wide[s][t]) else float(wide[s][t])) for s in wide for t in wide.index
+            if not (s == "c" and t % 11 == 0)]  # a missing row, not a NULL cell
+    wide.loc[wide.index % 11 == 0, "c"] = np.nan
+    got = {(x.sid_a, x.sid_b): x for x in correlation.pair_moments(
+        spark.createDataFrame(rows, "sid string, t long, v double")).collect()}
+    want, cov = wide.corr(), wide.cov()
+    assert len(got) == 6
+    for (a, b), x in got.items():
+        both = (wide[a].notna() & wide[b].notna()).sum()
+        assert x.n_common == both and abs(x.cov - cov[a][b]) < 1e-9
+        assert x.r is None if "d" in (a, b) else abs(x.r - want[a][b]) < 1e-9
+
+
+def test_wide_inputs_are_planned_in_one_expression(spark):
+    from tessera.operators import reshape
+
+    df = spark.range(30).select(F.col("id").alias("t"), F.transform(
+        F.sequence(F.lit(1), F.lit(10_000)), lambda j: (F.col("id") * j).cast("double")).alias("x"))
+    out = reshape.standardize_wide(df)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    x = out.filter("t = 0").select("x").head()[0]
+    assert len(x) == 10_000 and abs(x[0] - x[-1]) < 1e-9
