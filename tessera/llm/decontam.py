@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import PLAIN_WORDS, batches
 
 WINDOW = 13
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
 
 MATCH = "struct<item_id:string,item_start:int,doc_start:int,n_words:int>"

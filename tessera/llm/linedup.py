@@ -54,7 +54,7 @@ MIN_WORDS = 5
 SMALL = 12
 BLOCK = 256
 SMALL_IDS = 1_000_000
-SEEN_LINES = 1 << 19
+SEEN_LINES = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -65,7 +65,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** n modulo 2 ** 64."""
     p = _powers.get(int(base))
     if p is None or len(p) <= n:
-        p = np.full(max(n + 1, 1 << 20), base)
+        p = np.full(max(n + 1, 1 << 18), base)
         p[0] = 1
         _powers[int(base)] = p = np.cumprod(p, dtype=np.uint64)
     return p
@@ -111,7 +111,7 @@ def line_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.
 def _key_rows(edits: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches(it, 4 << 20):
+        for b in batches(it, 1 << 20):
             ids, lines = [], []
             for h, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if h not in seen:

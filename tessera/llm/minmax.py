@@ -64,7 +64,7 @@ BLOCK = 256
 UNIT_ROWS = 8192
 #: pairs that may be broadcast (16 bytes each)
 SMALL_PAIRS = 250_000
-WORD_CACHE = 1 << 19
+WORD_CACHE = 1 << 17
 
 _RNG = np.random.default_rng(20240917)
 _MUL = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,7 +119,7 @@ SIG_SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, si
 
 def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _WordHash()
-    for b in batches(it):
+    for b in batches(it, 4 << 20):
         ids, n, digest, bands, sigs = b.column(0), [], [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text, cache)

@@ -419,8 +419,8 @@ def tag_texts(w: dict[str, np.ndarray], texts: list[str | None], base: list[list
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     where = [(i, s) for i, t in enumerate(texts) if t for s in windows_of(t)]
     found: dict[int, list[tuple[float, int, int, int]]] = {}
-    for a in range(0, len(where), 2048):
-        part = where[a:a + 2048]
+    for a in range(0, len(where), 512):
+        part = where[a:a + 512]
         chars = np.stack([encode_chars(texts[i][s:s + WIDTH]) for i, s in part])
         tags = viterbi(emissions(w, chars)[0], w["T"]).T
         begins = (tags > 0) & (tags % 2 == 1)
@@ -457,7 +457,7 @@ FOUND = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def _tagger(weights):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        for b in batches(it, 8 << 20):
+        for b in batches(it, 4 << 20):
             texts = b.column(1).to_pylist()
             base = [base_spans(t) for t in texts]
             added = tag_texts(w, texts, base) if w is not None else [[] for _ in texts]

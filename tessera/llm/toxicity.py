@@ -47,7 +47,7 @@ MAX_FEATURES = 20_000
 #: least surplus of a feature in toxic rows, in standard deviations
 EVIDENCE = 3.0
 THRESHOLD = 0.7
-CACHE = 1 << 18
+CACHE = 1 << 17
 PREFIXES = (4, 5, 6)
 
 # What a sign may stand for in leetspeak.
@@ -89,7 +89,7 @@ def classes_of(text: str) -> np.ndarray:
 
 def _trigrams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(N_CLASS ** 3, np.int64)
-    for b in batches(it, 8 << 20):
+    for b in batches(it, 1 << 20):
         c = classes_of("\x00\x00".join(["", *(t for t in b.column(0).to_pylist() if t), ""]))
         c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])].astype(np.int32) if len(c) else c
         if len(c) > 2:
@@ -329,7 +329,7 @@ def _scorer(model, cost, index: int, keep: list[int]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, weights = model.value
         restore, weight = Restorer(cost.value), _WordWeight(weights)
-        for b in batches(it):
+        for b in batches(it, 4 << 20):
             scores = []
             for text in b.column(index).to_pylist():
                 w = set(restore(text).encode("utf-8", "surrogatepass").translate(PLAIN_WORDS).split())
