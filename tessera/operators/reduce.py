@@ -18,17 +18,19 @@ def n_components(n_rows: int, width: int, configured: int = 300) -> int:
     return max(1, min(configured, n_rows - 1, width))
 
 
-def svd_reduce(inputs: DataFrame, k: int, x: str = "x"):
+def svd_reduce(inputs: DataFrame, k: int, x: str = "x", rows=None):
     """Rank-k SVD of the (already scaled) inputs. Returns
     (scores DataFrame (t, x ARRAY<DOUBLE> of length k), singular values).
+    ``rows`` restricts the rows that V is fitted on; all rows get scores.
     Rows stay in the JVM: the matrix is made from a vector column, and the
     scores are one expression over V, a one-row table of k arrays."""
     from pyspark.mllib.linalg.distributed import IndexedRowMatrix
     from pyspark.mllib.util import MLUtils
 
     spark = inputs.sparkSession
-    rows = inputs.select(F.col("t").cast("long").alias("index"), array_to_vector(x).alias("vector"))
-    svd = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows, "vector")).computeSVD(k, computeU=False)
+    src = inputs if rows is None else inputs.filter(rows)
+    matrix = src.select(F.col("t").cast("long").alias("index"), array_to_vector(x).alias("vector"))
+    svd = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(matrix, "vector")).computeSVD(k, computeU=False)
     v = spark.createDataFrame([(svd.V.toArray().T.tolist(),)], "v array<array<double>>").select("v").scalar()
     dot = lambda c: F.aggregate(F.zip_with(F.col(x), c, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
     scores = inputs.withColumn("_v", v).select(F.col("t").cast("long").alias("t"), F.transform("_v", dot).alias("x"))

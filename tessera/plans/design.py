@@ -3,7 +3,7 @@
 inputs --P4--> standardized --R1--> SVD scores (t, k)
 panel  --P3--> z --W*/F1--> per-series features --P6--> per-t vector
 X = [svd | series features | fourier] on the t's present in both (J1)
-labels = (sid, t, label = z, split) on the same t's (D1)
+labels = (sid, t, label = z at t, or forecast_horizon steps ahead, split) on the same t's (D1, W10)
 """
 
 from __future__ import annotations
@@ -57,14 +57,16 @@ def build_design(spark: SparkSession, base: str, cfg: PanelConfig, panel: DataFr
         n_rows = inp_std.count()
         width = inp_std.select(F.max(F.size("x"))).first()[0]
         k = reduce.n_components(n_rows, width, cfg.n_components)
-        scores, svals = reduce.svd_reduce(inp_std, k)
+        scores, svals = reduce.svd_reduce(inp_std, k, rows=fit_rows)
         scores = scores.cache()
     feats = windows.series_features(z, cfg)
     fourier = [windows.fourier_frame(z.select("t").distinct(), cfg)] if cfg.fourier_periods else []
     names = windows.feature_names(cfg)
     asm = select.assemble_features(feats, names, fourier, prefix=scores)
     X = asm.select("t", array_to_vector("features").alias("features")).cache()
-    labels = split.chronological_split(z, cfg).select("sid", "t", F.col("v").alias("label"), "split").cache()
+    # The label is the value ``forecast_horizon`` steps ahead; the last steps have none and are dropped by D1
+    ahead = windows.lead_target(z, cfg.forecast_horizon, cfg.block_size)
+    labels = split.chronological_split(ahead, cfg).select("sid", "t", "label", "split").cache()
     d = C.feature_dictionary(spark, sids, cfg, n_svd=k)
     nf = k + len(names) * len(sids) + 2 * len(cfg.fourier_periods)
     return Design(X, labels, st, d, sids, nf, k, svals, scores, inp_std if use_svd else inp)

@@ -53,11 +53,12 @@ def run_profile(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
 
 def _fit_predict(d, families, cfg, params=None, X=None, name=None):
     """Baselines (or a refit): linear families from one Gram pass, trees as
-    Spark ML fits. Returns long predictions (family, sid, t, y, yhat, split)."""
+    Spark ML fits. Returns long predictions (family, sid, t, y, yhat, split),
+    the tree models and the linear coefficients."""
     X = X if X is not None else d.X
     train = F.col("split") == "train"
     evalrows = F.col("split").isin("val", "test")
-    parts = []
+    parts, coefs = [], None
     lin = [f for f in families if f in LINEAR_DEFAULT_ALPHA]
     if lin:
         st = linear.gram_stats(X, d.labels, d.sids, train)
@@ -76,7 +77,7 @@ def _fit_predict(d, families, cfg, params=None, X=None, name=None):
         if name:
             fitted = {(name, s): m for (_, s), m in fitted.items()}
         parts.append(models.predict_series(fitted, X, d.labels, evalrows))
-    return reshape.union_all(parts).cache(), fitted
+    return reshape.union_all(parts).cache(), fitted, coefs
 
 
 def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
@@ -87,7 +88,7 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
     res["n_features"], res["k"] = d.n_features, d.k
     families = list(cfg.families)
     # stage 6: baselines
-    preds, fitted = _fit_predict(d, families, cfg)
+    preds, fitted, coefs = _fit_predict(d, families, cfg)
     val_r2 = evaluate.series_r2(preds.filter(F.col("split") == "val")).cache()
     avg = evaluate.macro_r2(val_r2)
     best = evaluate.best_model(avg, families).first()
@@ -154,17 +155,22 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
             params.update({r["sid"]: tuned[r["nearest"]] for r in near.collect() if r["nearest"] in tuned})
         res["params"] = params
     # stage 9: refit ("Optimized")
-    opt, _ = _fit_predict(d, [best_family], cfg, params, Xs, name="Optimized")
+    opt, opt_fitted, opt_coefs = _fit_predict(d, [best_family], cfg, params, Xs, name="Optimized")
     preds = preds.unionByName(opt)
     all_families = families + ["Optimized"]
     val_all = evaluate.series_r2(preds.filter(F.col("split") == "val"))
-    avg_all = evaluate.macro_r2(val_all)
+    avg_all = evaluate.macro_r2(val_all).cache()
+    # the refit replaces the baseline if it validates better
+    best = evaluate.best_model(avg_all.filter(F.col("family").isin(best_family, "Optimized")),
+                               [best_family, "Optimized"]).first()
     # stage 10: ensemble
     test = preds.filter(F.col("split") == "test")
+    members, side = [], {}  # families the ensemble is made of, and its tables
     if cfg.ensemble == "weighted":
         cands = reshape.positive_models(avg_all, all_families, 3)
         if cands.count():
             w = ensemble.ensemble_weights(val_all, cands)
+            members, side = [r["family"] for r in cands.collect()], {"weights": w}
             test = test.unionByName(ensemble.weighted_predictions(test, w).withColumn("split", F.lit("test")))
     else:
         cands = reshape.positive_models(avg_all, all_families, 3, ("Optimized",), 2)
@@ -172,6 +178,7 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
         if len(bases) >= 2:
             fit = ensemble.stack_fit(preds.filter((F.col("split") == "val") & F.col("family").isin(bases)),
                                      bases, models.STACK_ALPHA)
+            members, side = bases, {"meta": fit}
             stacked = ensemble.stack_predict(test.filter(F.col("family").isin(bases)), fit, bases)
             test = test.unionByName(stacked.withColumn("split", F.lit("test")))
     test = test.cache()
@@ -179,7 +186,7 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
     # the best validation R^2
     comp = evaluate.model_comparison(test)
     res["comparison"] = comp
-    chosen = best_family
+    chosen = best["best_family"]
     ens = comp.filter(F.col("family") == "Ensemble").select("avg_r2").collect()
     if ens and ens[0][0] > best["best_avg_r2"]:
         chosen = "Ensemble"
@@ -191,6 +198,49 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
     if "selected_features" in res:
         reports["selected_features"] = res["selected_features"].orderBy(F.desc("importance"))
     sinks.write_reports(spark, os.path.join(out, "reports"), reports)
-    sinks.save_model(spark, os.path.join(out, "best_model"), {}, {"scaler": d.stats, "dictionary": d.dictionary},
-                     {"chosen": chosen, "config": repr(cfg)})
+    needed = set(members if chosen == "Ensemble" else [chosen])
+    trees = {k: m for k, m in {**fitted, **opt_fitted}.items() if k[0] in needed}
+    linear_parts = [c.filter(F.col("family").isin(*needed)) for c in (coefs, opt_coefs) if c is not None]
+    tables = {"scaler": d.stats, "dictionary": d.dictionary, "groups": res["profile"]["groups"]}
+    if linear_parts:
+        tables["coefficients"] = reshape.union_all(linear_parts)
+    if chosen == "Ensemble":
+        tables.update(side)
+    if selected is not None:
+        tables["selected"] = spark.createDataFrame([(i,) for i in selected], "idx int")
+    res["model_path"] = sinks.save_model(spark, os.path.join(out, "best_model"), trees, tables, {
+        "chosen": chosen, "members": members if chosen == "Ensemble" else [], "trees": sorted(map(list, trees)),
+        "tables": sorted(tables), "config": repr(cfg)})
+    res["chosen"], res["test_predictions"], res["design"] = chosen, test.filter(F.col("family") == chosen), d
     return res
+
+
+def load_and_predict(spark: SparkSession, root: str, X: DataFrame, labels: DataFrame, rows=None) -> DataFrame:
+    """Predictions (family, sid, t, y, yhat) of a saved model on a design
+    matrix: trees and coefficients of the families it needs, the refit on the
+    selected features, then the ensemble's weights or meta-model."""
+    cfg = sinks.load_config(spark, root)
+    table = lambda n: spark.read.parquet(os.path.join(root, "tables", n))
+    have = set(cfg["tables"])
+    Xs = X
+    if "selected" in have:
+        idx = sorted(r["idx"] for r in table("selected").collect())
+        Xs = select.slice_features(X, idx).select("t", F.col("selected").alias("features"))
+    lab = labels if rows is None else labels.filter(rows)
+    parts = []
+    fitted = sinks.load_trees(root, [tuple(k) for k in cfg["trees"]])
+    for optimized in (False, True):
+        x, is_opt = (Xs if optimized else X), F.col("family") == "Optimized"
+        some = {k: m for k, m in fitted.items() if (k[0] == "Optimized") == optimized}
+        if some:
+            parts.append(models.predict_series(some, x, lab).select("family", "sid", "t", "y", "yhat"))
+        if "coefficients" in have:
+            c = table("coefficients").filter(is_opt if optimized else ~is_opt)
+            if c.limit(1).count():
+                parts.append(linear.predict_linear(x, lab, c).select("family", "sid", "t", "y", "yhat"))
+    preds = reshape.union_all(parts)
+    if "weights" in have:
+        return ensemble.weighted_predictions(preds, table("weights"))
+    if "meta" in have:
+        return ensemble.stack_predict(preds, table("meta"), cfg["members"])
+    return preds
