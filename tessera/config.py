@@ -50,7 +50,10 @@ class PanelConfig:
     tune_strategy: str = "groups"  # "first_k" (v1), "groups" (v2), "sampled" (v2 without clusters)
     tune_first_k: int = 3
     tune_sample: int = 5
+    # concurrent Spark ML fits, and the split statistics (MB per task) of each tree fit:
+    # their product times the concurrent tasks has to fit an executor
     fit_parallelism: int = 8
+    tree_memory_mb: int = 256
     # physical layout of time windows: rows of one series are split in blocks of
     # ``block_size`` steps so a hot (very long) series is spread over many tasks.
     block_size: int = 512

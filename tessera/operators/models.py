@@ -63,22 +63,6 @@ GRIDS_V2 = {
 }
 
 
-def heap_mb(spark) -> int:
-    """Driver heap (local mode: the executors' heap too)."""
-    try:
-        return int(spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() // (1 << 20))
-    except Exception:  # noqa: BLE001
-        return 4096
-
-
-def tree_memory_mb(spark, parallelism: int) -> int:
-    """Split-statistics budget per task: Spark's default (256 MB) when the
-    heap allows it, smaller on a small local heap so concurrent fits fit
-    (inputs are sized, so a small fit runs one task at a time)."""
-    tasks = max(1, parallelism, spark.sparkContext.defaultParallelism)
-    return int(max(32, min(256, heap_mb(spark) // (4 * tasks))))
-
-
 def _depth(d):
     return MAX_DEPTH if d is None else min(int(d), MAX_DEPTH)
 
@@ -149,9 +133,7 @@ def train_all_series(X: DataFrame, labels: DataFrame, families, sids, cfg: Panel
     ``params`` optionally maps (family, sid) or sid -> hyper-parameters."""
     stats = _label_stats(labels, rows)
     tasks = [(f, s) for f in families for s in sids]
-    spark = X.sparkSession
-    par = max(1, cfg.fit_parallelism if heap_mb(spark) >= 4096 else 1)
-    mb = tree_memory_mb(spark, par)
+    par = max(1, cfg.fit_parallelism)
 
     def fit(task):
         f, s = task
@@ -159,7 +141,7 @@ def train_all_series(X: DataFrame, labels: DataFrame, families, sids, cfg: Panel
         if params:
             p = params.get(task, params.get(s))
         n, sd = stats.get(s, (1, 1.0))
-        est = estimator(f, p, n, sd, cfg.seed, features, mb)
+        est = estimator(f, p, n, sd, cfg.seed, features, cfg.tree_memory_mb)
         data, _ = sized(series_frame(X, labels, s, rows))
         try:
             return task, est.fit(data)
@@ -221,7 +203,7 @@ def grid_search(X: DataFrame, labels: DataFrame, family: str, sid, folds: DataFr
             r = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("sd")).first()
             stats[fold] = (int(r["n"]), float(r["sd"] or 0.0))
         n, sd = stats[fold]
-        m = estimator(family, points[gi], n, sd, cfg.seed, features).fit(tr)
+        m = estimator(family, points[gi], n, sd, cfg.seed, features, cfg.tree_memory_mb).fit(tr)
         err = F.col("label") - F.col("prediction")
         mse = m.transform(te).agg(F.avg(err * err)).first()[0]
         return gi, fold, float(mse)
