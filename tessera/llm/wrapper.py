@@ -9,7 +9,8 @@ Between Two Programs", 1991; used for wrappers by Zhai & Liu, WWW 2005). Over
 all pages of the host, a slot whose text never changes is template; varying
 slots are content, unless the slot is by its place or name a menu, header,
 footer, sidebar, notice, advert, form or comment, or is mostly links. If
-varying slots lie in an article (or main) element, only those are the text.
+varying slots of a tree lie in an article (or main) element, only those are
+the text of its pages; other trees of the host keep all their varying slots.
 
 Plan: pages with equal folded trees need the same alignment, so matching runs
 once per (host, tree), not per page. Pass 1 parses pages and sums slot
@@ -285,10 +286,9 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
         F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"),
         F.max("high").alias("high")).join(main.select("host", "host_pages"), "host"))
     judged = place.mapInPandas(_judged, "host string, place string, article boolean")
-    best = judged.groupBy("host").agg(F.max("article").alias("has_article"))
-    content = judged.join(best, "host").filter("article or not has_article").select("host", "place")
-    rules = aligned.join(content, ["host", "place"], "left_semi")
-    return rules.groupBy("host", "tree").agg(F.collect_set("slot").alias("slots"))  # a tree's own slots
+    rules = aligned.join(judged, ["host", "place"]).groupBy("host", "tree").agg(  # a tree's own slots
+        F.collect_set(F.when(F.col("article"), F.col("slot"))).alias("inside"), F.collect_set("slot").alias("all"))
+    return rules.select("host", "tree", F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("all")).alias("slots"))
 
 
 def _judged(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -100,6 +100,16 @@ def test_constant_slots_are_template(spark):
     assert {r.page_id: r.text for r in got} == {k: f"story {k}" for k in range(8)}
 
 
+def test_hosts_may_mix_templates(spark):
+    """One page with an article does not empty the div-based pages of its host."""
+    rows = [(k, url, f"<html><body><div class=top>site {k}</div><div class=body><p>story {k}</p></div></body></html>")
+            for url, start in (("http://mixed/", 0), (None, 10)) for k in range(start, start + 8)]
+    rows += [(30, "http://mixed/", page(30, "T", ["x"])), (31, "no host", page(31, "U", ["y"], extra="<div>beside</div>"))]
+    got = {r.page_id: r.text for r in wrapper.extract_text(pages_of(spark, rows)).collect()}
+    want = {k: f"site {k}\n\nstory {k}" for k, _, _ in rows[:16]}
+    assert got == want | {30: "T\n\nx", 31: "U\n\ny"}
+
+
 def test_tree_matching_aligns_renamed_nodes():
     a = wrapper.fold(["html/body/div.x/p", "html/body/section/h2", "html/body/section/p"])
     b = wrapper.fold(["html/body/nav/a", "html/body/div.y/p", "html/body/section/p"])
