@@ -6,7 +6,8 @@ as a wrapper's list rule does, so each node of the folded tree is a slot. The
 host's most frequent folded tree is its wrapper, and every other one is aligned
 with it by simple tree matching (Yang, "Identifying Syntactic Differences
 Between Two Programs", 1991; used for wrappers by Zhai & Liu, WWW 2005). Over
-all pages of the host, a slot whose text never changes is template; varying
+all pages of the host, a slot whose text never changes is template, if at least
+``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages have it; varying
 slots are content, unless the slot is by its place or name a menu, header,
 footer, sidebar, notice, advert, form or comment, or is mostly links. If
 varying slots of a tree lie in an article (or main) element, only those are
@@ -41,6 +42,7 @@ from ..session import stored
 from .common import batches
 
 MIN_PAGES = 5
+MIN_SHARE = 0.25
 MAX_LINK_SHARE = 0.5
 SMALL_RULES = 50_000
 
@@ -283,8 +285,8 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     aligned = stored(trees.join(main, "host").select("host", "tree", "main").mapInPandas(
         _aligned, "host string, tree string, slot string, place string"), "aligned")
     place = (stats.join(aligned, ["host", "tree", "slot"]).groupBy("host", "place").agg(
-        F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"),
-        F.max("high").alias("high")).join(main.select("host", "host_pages"), "host"))
+        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+        F.min("low").alias("low"), F.max("high").alias("high")).join(main.select("host", "host_pages"), "host"))
     judged = place.mapInPandas(_judged, "host string, place string, article boolean")
     rules = aligned.join(judged, ["host", "place"]).groupBy("host", "tree").agg(  # a tree's own slots
         F.collect_set(F.when(F.col("article"), F.col("slot"))).alias("inside"), F.collect_set("slot").alias("all"))
@@ -297,7 +299,7 @@ def _judged(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for r in p.itertuples():
             article = in_article(r.place)
-            constant = r.low == r.high and r.host_pages >= MIN_PAGES
+            constant = r.low == r.high and r.pages >= max(MIN_PAGES, MIN_SHARE * r.host_pages)
             menu = r.links > MAX_LINK_SHARE * r.chars
             if not is_boilerplate(r.place) and (article or not (constant or menu)):
                 rows.append((r.host, r.place, article))

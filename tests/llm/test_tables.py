@@ -110,6 +110,18 @@ def test_hosts_may_mix_templates(spark):
     assert got == want | {30: "T\n\nx", 31: "U\n\ny"}
 
 
+def test_slots_of_few_pages_are_no_template(spark):
+    """A block that one page in eight has, or a small part of a host's pages, says nothing about the template."""
+    frame = "<html><body><div>Welcome</div><div class=body><p>story {}</p>{}</div></body></html>"
+    few = {3: ("<blockquote>said once</blockquote>", "said once"), 5: ("<pre>x = 1</pre>", "x = 1")}
+    rows = [(k, "http://few/", frame.format(k, few.get(k, ("",))[0])) for k in range(8)]
+    rows += [(100 + k, "http://many/", frame.format(k, "<h4>See below</h4>" if k < 6 else "")) for k in range(40)]
+    got = {r.page_id: r.text for r in wrapper.extract_text(pages_of(spark, rows)).collect()}
+    want = {k: f"story {k}" + (f"\n\n{few[k][1]}" if k in few else "") for k in range(8)}
+    want |= {100 + k: f"story {k}" + ("\n\nSee below" if k < 6 else "") for k in range(40)}
+    assert got == want
+
+
 def test_tree_matching_aligns_renamed_nodes():
     a = wrapper.fold(["html/body/div.x/p", "html/body/section/h2", "html/body/section/p"])
     b = wrapper.fold(["html/body/nav/a", "html/body/div.y/p", "html/body/section/p"])
