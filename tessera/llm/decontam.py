@@ -15,7 +15,7 @@ ends every match, and a match of a whole window needs a run of at least
 
 The test items are the stated query set. They are sent to the tasks in blocks
 of at most ``BLOCK_BYTES`` of text; a larger benchmark takes several passes,
-whose matches are united per document.
+whose matches are united per row, by row numbers in a written table.
 
 Defined cases: null and wordless texts have no words and are never
 contaminated; items without words match nothing; items that share an id are
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
 from .common import PLAIN_WORDS, batches
 
 WINDOW = 13
@@ -214,26 +215,28 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, into: str = "found",
     index = docs.columns.index("text")
     columns = docs.columns if columns is None else columns
     keep = [docs.columns.index(c) for c in columns]
-    schema = T.StructType([*(docs.schema.fields[i] for i in keep), T.StructField(into, T._parse_datatype_string(FOUND))])
-    passes = []
-    for block in _blocks(benchmark):
+    fields = [T.StructField(str(i), docs.schema.fields[k].dataType) for i, k in enumerate(keep)]
+    found = T.StructField("found", T._parse_datatype_string(FOUND))
+    blocks = _blocks(benchmark)
+
+    def search(rows: DataFrame, block: DataFrame, index: int, keep: list[int], fields: list[T.StructField]) -> DataFrame:
         shared = spark.sparkContext.broadcast([(r[0], None if r[1] is None else bytes(r[1])) for r in block.collect()])
-        named = T.StructType([T.StructField(str(i), f.dataType) for i, f in enumerate(schema.fields)])
-        passes.append(docs.mapInArrow(_searcher(shared, index, keep), named).toDF(*schema.names))
-    if len(passes) == 1:
-        return passes[0]
-    # several passes: unite the matches of equal rows, then repeat each as often as it stood
-    whole = passes[0]
-    for i, p in enumerate(passes[1:], 1):
-        whole = whole.unionByName(p)
-    key = [F.col(f"`{c}`") for c in columns]
-    one = whole.groupBy(F.xxhash64(*key).alias("_k")).agg(
-        *[F.first(c).alias(f"_{i}") for i, c in enumerate(key)], F.first(f"{into}.n_words").alias("_n"),
-        F.array_distinct(F.flatten(F.collect_set(f"{into}.matches"))).alias("_m"),
-        (F.count(F.lit(1)) / len(passes)).cast("int").alias("_times"))
-    one = one.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return one.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)],
-                      F.struct(F.col("_n").alias("n_words"), F.col("_m").alias("matches")).alias(into))
+        return rows.mapInArrow(_searcher(shared, index, keep), T.StructType([*fields, found]))
+
+    if len(blocks) == 1:
+        return search(docs, blocks[0], index, keep, fields).toDF(*columns, into)
+    # several passes: unite the matches of each row by its number in a written table
+    numbered = stored(docs.toDF(*(str(i) for i in range(len(docs.columns)))).withColumn(
+        "row", F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select("row", str(index))
+    whole = None
+    for block in blocks:
+        p = search(texts, block, 1, [0], [T.StructField("row", T.LongType())])
+        whole = p if whole is None else whole.unionByName(p)
+    one = whole.groupBy("row").agg(F.first("found.n_words").alias("n_words"),  # the same in all passes
+                                   F.array_distinct(F.flatten(F.collect_list("found.matches"))).alias("matches"))
+    united = one.select("row", F.struct("n_words", "matches").alias("found"))
+    return numbered.select("row", *(str(k) for k in keep)).join(united, "row").drop("row").toDF(*columns, into)
 
 
 def _unique_name(df: DataFrame, name: str) -> str:

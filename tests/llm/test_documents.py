@@ -66,6 +66,24 @@ def test_contamination_equals_brute_force(spark, monkeypatch, block):
     assert next(r.longest_match for r in got if r.doc_id == 13) >= 13
 
 
+def test_passes_judge_rows_not_ids(spark, monkeypatch):
+    """Different texts under one id, or without an id, are judged one by one when the benchmark takes several passes."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 30)
+    items = [(1, "alpha beta gamma"), (2, "delta epsilon zeta"), (3, "one two three four"), (4, "red green blue")]
+    texts = ["so alpha beta gamma here", "delta epsilon zeta", "quite clean " * 40, None, "a one two three four b red green blue",
+             "quite clean " * 40]
+    rows = [(i, t) for i in (7, None) for t in texts]
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontam._blocks(bench)) > 1
+    got = decontam.contamination(docs, bench).collect()
+    want = sorted((str(i), *brute_contamination(t, items)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == want
+    kept = decontam.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted(
+        (str(i), t or "") for i, t in rows if t in (None, texts[2]))
+
+
 def test_decontamination_passes_columns_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     docs = docs_of(spark, [(1, "alpha beta"), (2, "clean"), *EDGE[:3]])
