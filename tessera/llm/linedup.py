@@ -9,8 +9,8 @@ are verified by bit-parallel edit distance on a band of ``2 * EDITS + 1``
 diagonals, after the common beginning and end have been cut off.
 
 A document's lines are its text split at newlines, without blanks at either
-end. Lines of ``MIN_WORDS`` words or more, as their blanks count them, take
-part; shorter ones are always kept. Lines linked
+end. Lines of ``MIN_CHARS`` code points or more take part, in any script and
+with any or no blanks; shorter ones are always kept. Lines linked
 directly or through others form a class, and only the first occurrence of a
 class (smallest doc_id, then line number) stays.
 
@@ -31,6 +31,8 @@ lines are fetched through their ids: broadcast when at most ``SMALL_IDS`` of
 
 Defined cases: null texts have no lines; rows without ``doc_id`` are not
 compared and stay as they are; rows that share a ``doc_id`` are one document.
+``remove_repeated_lines`` takes out repeats of ``REMOVED_CHARS`` code points or
+of ``MIN_WORDS`` words, as blanks count them; other repeats are reported only.
 A document that loses all its lines is dropped by ``remove_repeated_lines``;
 ``n_chars``, if there is one, follows the text; other columns stay.
 """
@@ -50,6 +52,8 @@ from ..session import stored
 from .common import batches, link_rows, mix64
 
 EDITS = 2
+MIN_CHARS = 6
+REMOVED_CHARS = 20
 MIN_WORDS = 5
 SMALL = 12
 BLOCK = 256
@@ -267,8 +271,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
     d = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     d = d.withColumn("text", F.trim("text"))
-    long = F.char_length("text") - F.char_length(F.replace("text", F.lit(" "))) >= MIN_WORDS - 1
-    return d.withColumn("id", F.when(long, F.xxhash64("text").bitwiseAND(F.lit(-2))))
+    return d.withColumn("id", F.when(F.char_length("text") >= MIN_CHARS, F.xxhash64("text").bitwiseAND(F.lit(-2))))
 
 
 def link_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
@@ -327,14 +330,20 @@ def classify_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         (F.struct("doc_id", "line") == F.col("first")).alias("kept"))
 
 
+def _removable(line):
+    """Is a line long enough to go when it repeats another one?"""
+    t = F.trim(line)
+    return (F.char_length(t) >= REMOVED_CHARS) | (F.char_length(t) - F.char_length(F.replace(t, F.lit(" "))) >= MIN_WORDS - 1)
+
+
 def remove_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier one, columns unchanged."""
+    """``docs`` without the long lines that repeat an earlier one, columns unchanged."""
     gone = classify_lines(docs, edits).filter("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(
         F.collect_set("line").alias("_gone"))  # at most a document's own lines
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
     lines = F.split("text", "\n")
-    rest = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    touched = F.col("_gone").isNotNull() & F.col("text").isNotNull()
+    rest = F.filter(lines, lambda x, i: ~(F.array_contains(F.col("_gone"), i) & _removable(x)))
+    touched = F.col("_gone").isNotNull() & F.col("text").isNotNull() & (F.size(rest) < F.size(lines))
     out = kept.withColumn("_rest", F.when(touched, rest)).filter("_rest is null or size(_rest) > 0")
     text = F.when(F.col("_rest").isNotNull(), F.array_join("_rest", "\n")).otherwise(F.col("text"))
     cols = []

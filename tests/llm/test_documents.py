@@ -384,6 +384,24 @@ def test_line_classes_equal_brute_force(spark, monkeypatch, small, block):
         assert (r.first_doc_id, r.first_line, r.n_links, r.kept) == (*f, links.get(x, 0), f == key)
 
 
+def test_lines_without_blanks_take_part(spark):
+    """Short lines, other scripts, tabs, NBSP and addresses: by code points, not by blanks."""
+    passage = "这是一个很长的段落没有任何空格重复出现在每一个文档里面" * 20
+    same = ["All rights reserved.", passage, "ชื่อบริษัทจำกัดสงวนลิขสิทธิ์", "one\ttwo\tthree\tfour\tfive", "a\u00a0b\u00a0c\u00a0d\u00a0e\u00a0f\u00a0ghi jklm",
+            "https://example.org/a/very/long/path", "Page up"]
+    rows = [(k, "\n".join([f"{'abcd'[k]}" * 40, *same])) for k in range(3)]
+    rows.append((3, "\n".join(["z" * 40, "All rights reservd", passage[:70] + passage[72:], *same[2:]])))
+    got = {(r.doc_id, r.line): r for r in linedup.classify_lines(docs_of(spark, rows)).collect()}
+    assert len(got) == 4 * 8
+    for (doc, line), r in got.items():
+        linked = line in (1, 2)
+        assert (r.first_doc_id, r.first_line) == ((0, line) if line else (doc, 0))
+        assert r.kept == (doc == 0 or line == 0) and r.n_links == (1 if linked else 0)
+    left = {r.doc_id: r.text for r in linedup.remove_repeated_lines(docs_of(spark, rows)).collect()}
+    assert left == {0: rows[0][1], 1: "b" * 40 + "\nPage up", 2: "c" * 40 + "\nPage up",
+                    3: "z" * 40 + "\nAll rights reservd\nPage up"}  # 18 code points are left
+
+
 def test_repeated_lines_go(spark):
     a, b, c = "the first line of many words", "the second line of many words", "something else with a few words"
     rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{c}\nok"), (3, f"{b[:-1]}\n{a}"), (4, f"ok\n{c}"), *APART]
