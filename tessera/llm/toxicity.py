@@ -118,7 +118,8 @@ def trigram_costs(docs: DataFrame) -> np.ndarray:
 
 def _kinds() -> bytes:
     """Byte classes for finding spans: a letter, 1 a sign that may stand for a
-    letter, blank, '.' a separator, ',' anything else."""
+    letter, 2 such a sign that is common punctuation, blank, '.' a separator,
+    ',' anything else."""
     t = bytearray(b"," * 256)
     for c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
         t[c] = ord("a")
@@ -126,7 +127,7 @@ def _kinds() -> bytes:
         t[c] = ord("a")
     for c in LEET:
         if ord(c) < 128:
-            t[ord(c)] = ord("1")
+            t[ord(c)] = ord("2" if c in "!+|*" else "1")
     for c in b" \t\n":
         t[c] = ord(" ")
     for c in b".-_":
@@ -135,9 +136,14 @@ def _kinds() -> bytes:
 
 
 KINDS, TAILS = _kinds(), bytes(range(0x80, 0xC0))
-#: a word with a sign between or before letters; letters standing alone in a row
-_MIXED = re.compile(rb"[a1]*(?:a1+a|(?<![a1])1+a)[a1]*")
-_APART = re.compile(rb"(?<![a1])[a1](?:[ .][a1]){2,}(?![a1])")
+#: a word with a sign before, between or behind letters (punctuation behind a
+#: word is none); letters standing alone in a row
+_MIXED = re.compile(rb"[a12]*(?:[12]a|a2*1)[a12]*")
+_APART = re.compile(rb"(?<![a12])[a12](?:[ .][a12]){2,}(?!2*[a1])")
+#: a word of signs alone, no amount of money
+_SIGNS = re.compile(r"(?<![^\W_])(?=[0-9$!+|*]*[@$])(?!\$+[0-9]*(?![0-9@$!+|*])|[0-9]+\$+(?![0-9@$!+|*]))[0-9@$!+|*]{2,}(?![^\W_])")
+#: every match of _APART, with what is before it, holds this once _PLACES has been applied
+_PLACES, _THREE = bytes(ord("x") if c in b"a12" else ord(".") for c in range(256)), b".x.x.x"
 
 
 def suspicious_spans(text: str) -> list[tuple[int, int]]:
@@ -145,11 +151,14 @@ def suspicious_spans(text: str) -> list[tuple[int, int]]:
     raw = text.encode("utf-8", "surrogatepass")
     kind = raw.translate(KINDS, TAILS)  # one byte per code point
     found = []
-    if b"1a" in kind:
+    if b"1a" in kind or b"2a" in kind or b"a1" in kind or b"a2" in kind:
         found += [m.span() for m in _MIXED.finditer(kind)]
-    if b" a a" in kind or b"a.a.a" in kind or b" 1 " in kind or kind[1:4] in (b" a ", b".a."):
+    if _THREE in b".%b" % kind.translate(_PLACES):
         found += [m.span() for m in _APART.finditer(kind)]
-    a = np.frombuffer(raw, np.uint8)
+    if "@" in text or "$" in text:
+        found += [m.span() for m in _SIGNS.finditer(text)]
+    a = np.frombuffer(raw, np.uint8) if len(raw) == len(text) else np.frombuffer(
+        text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = np.frombuffer(kind, np.uint8) == 0x61
     if len(a) > 2:
         r = (a[2:] == a[1:-1]) & (a[1:-1] == a[:-2]) & (a[2:] >= 0x41)

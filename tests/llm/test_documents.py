@@ -136,6 +136,26 @@ def test_toxicity_holds_out_and_restores(spark, toxic_corpus):
     assert restore("The House, walks.") == "the house, walks."
 
 
+def test_disguised_words_are_found_alone():
+    """Each form in the middle of a text that has no other span."""
+    for form in ("m.0.r.0.n", "k.1.l.l", "i-d-1-o-t", "m o r o n", "m-o-r-o-n", "d13", "hat3", "a$$", "@$$", "stup1d", "1diot",
+                 "1d10t", "@ss", "f!sh", "stüüüpid", "stuuupid", "bébééé", "a.1.a.1.a", "m.0.r.0.n!"):
+        for before, after in (("the house ", " walks over"), ("the house, (", ") walks"), ("", " walks"), ("ünder ", "")):
+            text = before + form + after
+            spans = toxicity.suspicious_spans(text)
+            assert [text[s:e] for s, e in spans] == [form.rstrip("!")] or text[slice(*spans[0])] == form and len(spans) == 1, text
+    for text in ("The House, walks. Oh! Yes!! $100 and 100$ at $$ or 2024", "a cat, I said - so be it"):
+        assert toxicity.suspicious_spans(text) == []
+
+
+def test_apart_guard_is_a_superset():
+    r = np.random.default_rng(4)
+    for _ in range(20_000):
+        kind = bytes(r.choice(list(b"a12 .,"), r.integers(1, 12)).astype(np.uint8))
+        if toxicity._APART.search(kind):
+            assert toxicity._THREE in b".%b" % kind.translate(toxicity._PLACES)
+
+
 def test_toxicity_edges(spark, toxic_corpus):
     docs, labels, _ = toxic_corpus
     out = toxicity.score_documents(docs_of(spark, EDGE), labels).collect()
