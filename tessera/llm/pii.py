@@ -10,10 +10,11 @@ write them (``name at host dot org``, ``10[.]0[.]0[.]1``, national phone
 formats, dotted cards), and windows without personal data.
 
 The model adds spans that the patterns miss; base spans stay as they are and
-the model never overlaps them. Every kind holds a digit, an @ or a spelled or
-bracketed "at" or "dot", so a window without such a cue has nothing to find and
-is not decoded. Around cues the text is cut into windows of ``WIDTH``
-characters, half of which overlap. A span that several windows see is taken
+the model never overlaps them. Every plausible span holds a digit, an @ or a
+spelled or bracketed "at", so a window without such a cue (a spelled or
+bracketed "dot" is one too) has nothing to find and is not decoded. Around cues
+the text is cut into windows of ``WIDTH`` characters every ``STRIDE``
+characters, so that each span of up to ``LONGEST`` lies inside one. A span that several windows see is taken
 from the window whose middle it is nearest to; then all spans of a text are
 reconciled from left to right, those of higher confidence first.
 
@@ -42,7 +43,10 @@ from .common import batches
 
 SAMPLE_DOCS = 20_000
 SAMPLE_WINDOWS = 6_000
-WIDTH = 96
+WIDTH = 160
+STRIDE = 72  # less than WIDTH - LONGEST
+LONGEST = 80
+TRAIN_WIDTH = 96
 KINDS = ("email", "ip", "card", "phone")
 
 # The contract's patterns.
@@ -51,10 +55,11 @@ _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_CUE = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[(\[{<]\s*(?:[aA][tT]|[dD][oO][tT]|\.)\s*[)\]}>]")
+_CUE = re.compile(r"[\d@]|(?<![A-Za-z])[aA][tT](?![A-Za-z])|\b[dD][oO][tT]\b|[(\[{<]\s*(?:[aA][tT]|[dD][oO][tT]|\.)\s*[)\]}>]")
 _ANY = re.compile(r"[0-9@]")
 #: what may be a disguised span: such windows are no examples of clean text
-_DOUBTFUL = re.compile(r"(?:[0-9][\s().,_/\[\]+-]*(?:dot\s*)?){7}|@|\b[aA][tT]\b.{1,40}\b[dD][oO][tT]\b|[(\[{<]\s*(?:at|dot|\.)\s*[)\]}>]")
+_DOUBTFUL = re.compile(r"(?:[0-9][\s().,_/\[\]+-]*(?:dot\s*)?){7}|@|\b[aA][tT]\b.{1,40}\b[dD][oO][tT]\b|[(\[{<]\s*(?:at|dot|\.)\s*[)\]}>]"
+                       r"|\b[aA][tT]\s+[\w-]+(?:\s*\.\s*[\w-]+)*(?:\.|\s\.\s)[A-Za-z]{2}")
 
 
 def luhn(digits: str) -> bool:
@@ -124,9 +129,9 @@ def _char_table() -> np.ndarray:
 _CHARS = _char_table()
 
 
-def encode_chars(window: str) -> np.ndarray:
+def encode_chars(window: str, width: int) -> np.ndarray:
     code = np.frombuffer(window.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.zeros(WIDTH, np.int64)
+    out = np.zeros(width, np.int64)
     out[:len(code)] = _CHARS[np.minimum(code, 0x17F)]
     return out
 
@@ -305,13 +310,13 @@ def training_windows(windows: list[tuple[str, list[tuple[int, int, int]]]], seed
 
     def add(text, spans):
         cut = int(r.integers(0, max(1, min(len(text) // 3, spans[0][0] + 1 if spans else 1))))
-        t = np.zeros(WIDTH, np.int64)
+        t = np.zeros(TRAIN_WIDTH, np.int64)
         for s, k, e in spans:
-            s, e = s - cut, min(e - cut, WIDTH)
+            s, e = s - cut, min(e - cut, TRAIN_WIDTH)
             if 0 <= s < e:
                 t[s:e] = 2 + 2 * k
                 t[s] = 1 + 2 * k
-        chars.append(encode_chars(text[cut:cut + WIDTH]))
+        chars.append(encode_chars(text[cut:cut + TRAIN_WIDTH], TRAIN_WIDTH))
         tags.append(t)
 
     words = sorted({w for text, spans in windows if not spans for w in text.split()}
@@ -342,7 +347,7 @@ def training_windows(windows: list[tuple[str, list[tuple[int, int, int]]]], seed
                     add(before + new + after, [(len(before), k, len(before) + len(new))])
         if not spans and r.integers(3) == 0:
             add(f"{some_words()} {some_words()}", [])
-    return np.array(chars).reshape(-1, WIDTH), np.array(tags).reshape(-1, WIDTH)
+    return np.array(chars).reshape(-1, TRAIN_WIDTH), np.array(tags).reshape(-1, TRAIN_WIDTH)
 
 
 def _sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,13 +364,13 @@ def _sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not picks:
                 picks = [(len(text) * 7 // 10) // 2] if len(out) % 4 == 0 else []
             for p in picks:
-                inside = [(s - p, k, e - p) for s, k, e in spans if p <= s and e <= p + WIDTH]
-                if not inside and _DOUBTFUL.search(text[p:p + WIDTH]):
+                inside = [(s - p, k, e - p) for s, k, e in spans if p <= s and e <= p + TRAIN_WIDTH]
+                if not inside and _DOUBTFUL.search(text[p:p + TRAIN_WIDTH]):
                     continue
-                whole = all(e <= p or s >= p + WIDTH or (p <= s and e <= p + WIDTH) for s, _, e in spans)
+                whole = all(e <= p or s >= p + TRAIN_WIDTH or (p <= s and e <= p + TRAIN_WIDTH) for s, _, e in spans)
                 apart = all(x[2] <= y[0] for x, y in zip(inside, inside[1:]))
                 if whole and apart:
-                    out.append({"text": text[p:p + WIDTH], "spans": [list(x) for x in inside]})
+                    out.append({"text": text[p:p + TRAIN_WIDTH], "spans": [list(x) for x in inside]})
         yield pa.RecordBatch.from_arrays(
             [pa.array([o["text"] for o in out], pa.string()), pa.array([o["spans"] for o in out], pa.list_(pa.list_(pa.int32())))],
             names=["text", "spans"])
@@ -390,8 +395,8 @@ def plausible(kind: int, s: str) -> bool:
     """Does a span have what its kind needs?"""
     d = _digits(s)
     if kind == 0:
-        return bool(re.search(r"\w\s*(?:@|[(\[{<]?\s*at\s*[)\]}>]?)\s*\w", s, re.I)) and bool(
-            re.search(r"\w\s*(?:\.|[(\[{<]?\s*(?:dot|\.)\s*[)\]}>]?)\s*[a-z]{2,}\Z", s, re.I)) and len(s) <= 80
+        return bool(re.search(r"\w\s*(?:@|[(\[{<]?\s*(?<![a-z])at(?![a-z])\s*[)\]}>]?)\s*\w", s, re.I)) and bool(
+            re.search(r"\w\s*(?:\.|[(\[{<]?\s*(?:dot|\.)\s*[)\]}>]?)\s*[a-z]{2,}\Z", s, re.I)) and len(s) <= LONGEST
     if kind == 1:
         parts = re.findall(r"\d+", s)
         return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
@@ -401,13 +406,13 @@ def plausible(kind: int, s: str) -> bool:
 
 
 def windows_of(text: str) -> list[int]:
-    """Starts of the overlapping windows that cover all cues and half a window around."""
+    """Starts of the overlapping windows; each span of up to ``LONGEST``
+    characters that holds a cue lies inside one, apart from its edges."""
     starts: list[int] = []
-    half = WIDTH // 2
     for m in _CUE.finditer(text):
-        first = max(0, (m.start() - half) // half * half)
-        for s in (first, first + half):
-            if (not starts or s > starts[-1]) and s < len(text):
+        first = max(0, (m.start() - LONGEST) // STRIDE * STRIDE)
+        for s in range(first, m.start() + 1, STRIDE):
+            if not starts or s > starts[-1]:
                 starts.append(s)
     return starts
 
@@ -421,7 +426,7 @@ def tag_texts(w: dict[str, np.ndarray], texts: list[str | None], base: list[list
     found: dict[int, list[tuple[float, int, int, int]]] = {}
     for a in range(0, len(where), 512):
         part = where[a:a + 512]
-        chars = np.stack([encode_chars(texts[i][s:s + WIDTH]) for i, s in part])
+        chars = np.stack([encode_chars(texts[i][s:s + WIDTH], WIDTH) for i, s in part])
         tags = viterbi(emissions(w, chars)[0], w["T"]).T
         begins = (tags > 0) & (tags % 2 == 1)
         for row, col in zip(*np.nonzero(begins)):

@@ -515,6 +515,19 @@ def test_windows_cover_every_cue():
         assert any(s <= max(0, m.start() - 20) and min(len(t), m.start() + 20) <= s + pii.WIDTH for s in pii.windows_of(t))
 
 
+def test_windows_hold_every_disguised_form():
+    """All forms of an address, without digits, at all places of the grid: plausible, and whole inside a window."""
+    names = ["jane.doe@example.org", "firstname.lastname@department.university.edu"]
+    ats = [" at ", " (at) ", "[at]", " [at] ", "(at)", " AT ", " @ "]
+    dots = [".", " dot ", " (dot) ", "[dot]", "[.]", "(dot)", " DOT ", " . ", " [dot] "]
+    for form in (n.replace("@", a).replace(".", d) for n in names for a in ats for d in dots):
+        assert pii.plausible(0, form) and len(form) <= pii.LONGEST
+        for offset in range(200, 200 + pii.STRIDE):
+            t = ("word " * 60)[:offset - 1] + " " + form + " and more words" * 20
+            assert any(w < offset and offset + len(form) < w + pii.WIDTH for w in pii.windows_of(t)), (form, offset)
+    assert pii.windows_of("plain words of water. The data dotted") == []
+
+
 # --- the pipeline -------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, toxic_corpus, tmp_path):
