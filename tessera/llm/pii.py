@@ -19,7 +19,7 @@ from the window whose middle it is nearest to; then all spans of a text are
 reconciled from left to right, those of higher confidence first.
 
 Plan: one pass over a sample of at most about ``SAMPLE_DOCS`` documents to
-collect at most ``SAMPLE_WINDOWS`` windows, training on the driver (a few
+collect at most ``SAMPLE_WINDOWS`` different windows, training on the driver (a few
 seconds, weights of a few KB, broadcast), one pass over all documents. No
 shuffle; a hot source stays spread over its tasks.
 
@@ -380,8 +380,8 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray] | None:
     """Weights trained on a bounded sample; None where nothing is labelled."""
     n = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    rows = sample.mapInArrow(_sample, "text string, spans array<array<int>>")
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    rows = sample.mapInArrow(_sample, "text string, spans array<array<int>>").distinct()
     kept = rows.withColumn("_h", F.xxhash64("text", "spans")).orderBy("_h", "text").limit(SAMPLE_WINDOWS)
     windows = [(r.text, [tuple(s) for s in r.spans]) for r in kept.collect()]
     if not any(s for _, s in windows):

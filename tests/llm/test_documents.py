@@ -528,6 +528,18 @@ def test_windows_hold_every_disguised_form():
     assert pii.windows_of("plain words of water. The data dotted") == []
 
 
+def test_sample_holds_different_windows(spark, private_docs, monkeypatch):
+    """A text that most rows hold is one window of the sample, and its copies are sampled each by itself."""
+    hot = private_docs[0][1]
+    docs = docs_of(spark, [*private_docs, *((1000 + i, hot) for i in range(2000))])
+    seen = []
+    monkeypatch.setattr(pii, "training_windows", lambda windows: (seen.append(windows), None))
+    monkeypatch.setattr(pii, "train", lambda *_: None)
+    pii.fit(docs)
+    windows = [(t, tuple(spans)) for t, spans in seen[0]]
+    assert len(windows) == len(set(windows)) > 300
+
+
 # --- the pipeline -------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, toxic_corpus, tmp_path):
