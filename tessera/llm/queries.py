@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, flatgraph, linedup, minmax, packing, pii, toxicity, warc, wrapper
+from . import chat, decontam, fim, flatgraph, linedup, minmax, packing, pii, toxicity, warc, wrapper
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and its text rebuilt from the output."""
+    return fim.digest_outputs(fim.fill_in_middle(fim.store_frames(table(spark, sf_dir, "documents"))))
+
+
 #: words as the shingle rule has them; [A-Z] alone is lower-cased
 _SPACED = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -160,3 +166,20 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component_id, e.v
        e.vec_id = coalesce(component_id, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.v = e.vec_id
 """
+
+ORACLE["op11_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l,
+             [('0x' || h[k * 8 + 1:k * 8 + 8])::BIGINT FOR k IN range(4)] AS g FROM d),
+c AS (SELECT *, len(l) AS n, least(g[1] % (len(l) + 1), g[2] % (len(l) + 1)) AS a,
+             greatest(g[1] % (len(l) + 1), g[2] % (len(l) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 100 THEN 'plain'
+                  WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m,
+             array_to_string(l[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
