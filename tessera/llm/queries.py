@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, flatgraph, linedup, minmax, packing, pii, toxicity, warc, wrapper
+from . import chat, decontam, fim, flatgraph, linedup, minmax, mixing, packing, pii, toxicity, warc, wrapper
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest_outputs(fim.fill_in_middle(fim.store_frames(table(spark, sf_dir, "documents"))))
 
 
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each, sources weighing 3, 1, 2."""
+    return mixing.mixed_sizes(*mixing.mix_documents(table(spark, sf_dir, "documents")))
+
+
 #: words as the shingle rule has them; [A-Z] alone is lower-cased
 _SPACED = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -183,3 +189,35 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::B
                         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
        sha256(t) AS restored_sha256 FROM p
 """
+
+ORACLE["op13_source_mix"] = r"""
+WITH RECURSIVE u AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)),
+s AS (SELECT *, [3, 1, 2][place % 3 + 1] AS w, 2 * source_size AS cap
+      FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place
+            FROM u GROUP BY source)),
+lv(n, level) AS (SELECT 0, (SELECT 1.5::DOUBLE * sum(source_size) / sum(w) FROM s)
+  UNION ALL SELECT n + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(CASE WHEN cap < level * w THEN cap END), 0))
+                                  / nullif(sum(CASE WHEN cap < level * w THEN 0 ELSE w END), 0) FROM s)
+  FROM lv WHERE n < (SELECT count(*) FROM s)),
+t AS (SELECT s.*, least(cap::DOUBLE, (SELECT level FROM lv ORDER BY n DESC LIMIT 1) * w) AS target,
+             greatest(1, ceil(source_size / 16384))::BIGINT AS blocks FROM s),
+d AS (SELECT u.*, t.place, t.source_size, t.target,
+             ('0x' || substr(md5('d|' || coalesce(u.doc_id::VARCHAR, '') || '|' || copy || '|' || size), 1, 15))::BIGINT AS key,
+             key % blocks AS bucket FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY place ORDER BY o, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs, target - epochs * source_size AS rest
+      FROM (SELECT place, bucket, source_size, target, sum(size) AS words,
+                   ('0x' || substr(md5('b|' || place || '|' || bucket), 1, 15))::BIGINT AS o FROM d GROUP BY ALL)),
+x AS (SELECT d.*, b.epochs, before + words <= b.rest OR (words = 0 AND before < b.rest) AS whole,
+             before < b.rest AND b.rest < before + words AS cut, b.rest - before AS r FROM d JOIN b USING (place, bucket)),
+c AS (SELECT *, sum(size) OVER (PARTITION BY place ORDER BY key, doc_id NULLS FIRST, copy, size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM x WHERE cut),
+g AS (SELECT *, r - coalesce(max(CASE WHEN upto <= r THEN upto END) OVER (PARTITION BY place), 0) AS gap FROM c),
+f AS (SELECT *, upto <= r OR row_number() OVER (PARTITION BY place, upto > r AND size < 2 * gap
+                                                ORDER BY abs(size - gap), key, doc_id NULLS FIRST, copy, size) = 1
+                             AND upto > r AND size < 2 * gap AS took FROM g)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + CASE WHEN took THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM (SELECT doc_id, size, source_size, target, epochs, took FROM f
+      UNION ALL SELECT doc_id, size, source_size, target, epochs, whole FROM x WHERE NOT cut)
+"""
