@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, flatgraph, linedup, minmax, mixing, packing, pii, toxicity, warc, wrapper
+from . import chat, decontam, fim, flatgraph, linedup, minmax, mixing, packing, pii, toxicity, trie, warc, wrapper
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest_outputs(fim.fill_in_middle(fim.store_frames(table(spark, sf_dir, "documents"))))
 
 
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt on shared beginnings."""
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each, sources weighing 3, 1, 2."""
@@ -221,3 +227,33 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + CASE
 FROM (SELECT doc_id, size, source_size, target, epochs, took FROM f
       UNION ALL SELECT doc_id, size, source_size, target, epochs, whole FROM x WHERE NOT cut)
 """
+
+#: crc32 of a string of ASCII characters, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, s: list_reduce([xor(a, s), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+ORACLE["op12_conversation_trie"] = f"""
+WITH t AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes,
+                  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, bytes, k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS p FROM t),
+n AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+c AS (SELECT n.conv_id, {_CRC.format("n.conv_id::VARCHAR")} % 9 AS h, n.conv_id - n.conv_id % 5 AS base, coalesce(b.n, 0) AS nb
+      FROM n LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 5),
+d AS (SELECT c.conv_id, p, bytes, k FROM c JOIN o ON o.conv_id = base AND p < h
+      UNION ALL SELECT c.conv_id, p - h + least(h, nb), bytes, k FROM c JOIN o ON o.conv_id = c.conv_id AND p >= h),
+s AS (SELECT c.conv_id, coalesce(list(k ORDER BY p) FILTER (k IS NOT NULL), []) AS seq,
+             coalesce(list(bytes ORDER BY p) FILTER (k IS NOT NULL), []) AS size FROM c LEFT JOIN d USING (conv_id) GROUP BY c.conv_id),
+x AS (SELECT conv_id, unnest(range(0, len(seq) + 1)) AS depth, seq, size FROM s),
+m AS (SELECT seq[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(coalesce(size[depth], 0)) AS bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(seq) = depth), '')) AS ends_sha256
+      FROM x GROUP BY ALL),
+ch AS (SELECT node[1:depth - 1] AS node, count(*) AS n FROM m WHERE depth > 0 GROUP BY 1),
+a AS (SELECT m.*, coalesce(ch.n, 0) AS n_children FROM m LEFT JOIN ch USING (node)),
+up AS (SELECT node[1:e] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+              sum(CASE WHEN depth > 0 THEN (n_convs - 1) * bytes ELSE 0 END) AS saved
+       FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM a) GROUP BY 1)
+SELECT a.conv_id, a.depth, q.conv_id AS parent_conv_id, a.n_convs, a.n_children, up.n_leaves::BIGINT AS n_leaves,
+       up.saved::BIGINT AS saved_tokens, a.ends_sha256
+FROM a JOIN up USING (node) LEFT JOIN m q ON a.depth > 0 AND q.node = a.node[1:a.depth - 1]
+"""
