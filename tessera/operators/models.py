@@ -1,12 +1,10 @@
-"""Per-series model training and prediction (M1-M10), importances (X1) and
-grid search over expanding folds (G2).
+"""Families, their defaults and grids, and the Spark ML estimators of a single series.
 
-The shared design matrix ``X (t, features VECTOR)`` is cached once; a
-series' training set is a narrow 1:1 join of X with that series' labels on
-``t``. Fits are Spark ML jobs (distributed in themselves) submitted from a
-bounded driver thread pool, the same mechanism ``CrossValidator`` uses for
-its ``parallelism``. Family names map to estimators through one dispatch
-table; an unknown family is an error.
+All series together are fitted by ``linear`` and ``trees`` and kept in one
+``model_table``. This module maps a family to a Spark ML estimator, for one
+series of any length, and has grid search over expanding folds with it: fits
+are Spark ML jobs submitted from a bounded driver thread pool, the mechanism
+``CrossValidator`` uses for its ``parallelism``. An unknown family is an error.
 
 Estimator mapping (T15-T17):
 * Ridge: sklearn alpha -> ``regParam = alpha * std(y) / n``, no standardization, l-bfgs.
@@ -121,62 +119,6 @@ def sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[
     return df.repartition(parts).cache(), n
 
 
-def _label_stats(labels: DataFrame, rows) -> dict:
-    src = labels.filter(rows) if rows is not None else labels
-    return {r["sid"]: (int(r["n"]), float(r["sd"] or 0.0)) for r in src.groupBy("sid").agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("sd")).collect()}
-
-
-def train_all_series(X: DataFrame, labels: DataFrame, families, sids, cfg: PanelConfig,
-                     rows=None, params: dict | None = None, features: str = "features") -> dict:
-    """M7: fit every (family, series); returns {(family, sid): model}.
-    ``params`` optionally maps (family, sid) or sid -> hyper-parameters."""
-    stats = _label_stats(labels, rows)
-    tasks = [(f, s) for f in families for s in sids]
-    par = max(1, cfg.fit_parallelism)
-
-    def fit(task):
-        f, s = task
-        p = None
-        if params:
-            p = params.get(task, params.get(s))
-        n, sd = stats.get(s, (1, 1.0))
-        est = estimator(f, p, n, sd, cfg.seed, features, cfg.tree_memory_mb)
-        data, _ = sized(series_frame(X, labels, s, rows))
-        try:
-            return task, est.fit(data)
-        finally:
-            data.unpersist()
-
-    with ThreadPoolExecutor(max_workers=par) as pool:
-        return dict(pool.map(fit, tasks))
-
-
-def predict_series(models: dict, X: DataFrame, labels: DataFrame | None = None,
-                   rows=None) -> DataFrame:
-    """M8: predictions of every model on X (optionally restricted to rows of
-    ``labels``) as one long table (family, sid, t, yhat[, y, split])."""
-    parts = []
-    for (f, s), m in models.items():
-        out = m.transform(X).select(F.lit(f).alias("family"), F.lit(s).alias("sid"), "t",
-                                    F.col("prediction").alias("yhat"))
-        parts.append(out)
-    from .reshape import union_all
-    preds = union_all(parts)
-    if labels is not None:
-        lab = labels if rows is None else labels.filter(rows)
-        preds = preds.join(lab.select("sid", "t", F.col("label").alias("y"),
-                                      *[c for c in ("split",) if c in lab.columns]), ["sid", "t"])
-    return preds
-
-
-def feature_importance(models: dict, family: str, sid) -> list[tuple[int, float]]:
-    """Impurity importances of one tree model as (idx, importance)."""
-    m = models[(family, sid)]
-    arr = m.featureImportances.toArray()
-    return [(int(i), float(v)) for i, v in enumerate(arr)]
-
-
 def grid_points(grid: dict) -> list[dict]:
     """Cartesian grid in sklearn's ParameterGrid order (keys sorted)."""
     from itertools import product

@@ -12,9 +12,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..config import V1, V2
-from ..operators import (cluster, correlation, ensemble, evaluate, linear, models, profile, reshape,
-                         select, split, tune)
-from ..session import scratch_path
+from ..operators import (cluster, correlation, ensemble, evaluate, linear, model_table, models, profile, reshape,
+                         select, split, trees, tune)
+from ..session import scratch_path, stored
 from ..sources import sinks, tables
 from . import common as C
 from . import oracle as O
@@ -32,46 +32,26 @@ def _design(spark, base):
     return C.shared(("design", base), lambda: build_design(spark, base, CFG))
 
 
-def _val_r2(d, fitted):
-    preds = models.predict_series(fitted, d.X, d.labels, _is("val"))
-    return models.r2_table(preds)
-
-
-LINEAR = {"LinearRegression": 0.0, "Ridge": 1.0, "Lasso": 0.1}  # reference default alphas
-
-
-def _linear_preds(d, fits, rows=None, X=None):
-    """Fit [(name, family, alpha)] for every series from one Gram pass on the
-    train rows and predict ``rows``."""
-    X = X if X is not None else d.X
-    rows = rows if rows is not None else _is("val")
-    st = linear.gram_stats(X, d.labels, d.sids, _is("train"))
-    coefs = linear.fit_linear(X.sparkSession, st, fits)
-    return linear.predict_linear(X, d.labels, coefs, rows)
-
-
-def _tree_query(family):
+def _model_query(family):
     def fn(spark, base):
         d = _design(spark, base)
-        fitted = models.train_all_series(d.X, d.labels, [family], d.sids, CFG, _is("train"))
-        return _val_r2(d, fitted)
-    fn.__doc__ = f"{family} per series on the train rows; validation R^2."
+        m = model_table.fit_models(d.X, d.labels, [family], CFG, _is("train"))
+        return models.r2_table(model_table.predict_models(m, d.X, d.labels, _is("val")))
+    fn.__doc__ = f"{family} for every series on the train rows; validation R^2."
     return fn
 
 
-def _linear_query(family):
-    def fn(spark, base):
-        d = _design(spark, base)
-        return models.r2_table(_linear_preds(d, [(family, family, LINEAR[family])]))
-    fn.__doc__ = f"{family} for every series from one Gram pass; validation R^2."
-    return fn
+for _q, _fam in [("fit_ols", "LinearRegression"), ("fit_ridge", "Ridge"), ("fit_lasso", "Lasso"),
+                 ("fit_random_forest", "RandomForest"), ("fit_gbt", "GradientBoosting"), ("fit_gbt_hist", "XGBoost")]:
+    register(_q)(_model_query(_fam))
 
 
-for _q, _fam in [("fit_ols", "LinearRegression"), ("fit_ridge", "Ridge"), ("fit_lasso", "Lasso")]:
-    register(_q)(_linear_query(_fam))
-for _q, _fam in [("fit_random_forest", "RandomForest"), ("fit_gbt", "GradientBoosting"),
-                 ("fit_gbt_hist", "XGBoost")]:
-    register(_q)(_tree_query(_fam))
+def _models(spark, base):
+    """The models of all six families, written once per run."""
+    def build():
+        d = _design(spark, base)
+        return stored(model_table.fit_models(d.X, d.labels, CFG.families, CFG, _is("train")), "models")
+    return C.shared(("models", base), build)
 
 
 @register("svd_reduce")
@@ -105,6 +85,7 @@ def q_explained_variance(spark, base):
     return reduce.explained_variance(d.scores, d.inputs)
 
 
+LINEAR = {"LinearRegression": 0.0, "Ridge": 1.0, "Lasso": 0.1}  # reference default alphas
 ONE_FEATURE = [
     "x1 AS (SELECT t, lag1 AS x FROM fs WHERE sid = (SELECT min(sid) FROM scaled))",
     "m1 AS (SELECT sid, regr_sxy(v, x) AS sxy, regr_sxx(v, x) AS sxx, avg(v) AS my, avg(x) AS mx, count(*) AS n "
@@ -158,78 +139,153 @@ def q_kmeans(spark, base):
     return groups
 
 
+STUMP_FEATURES = ("lag2", "rollmean3", "rollstd7")
+# a series' best cut: running sums over each feature in value order, cuts half way between neighbouring values
+STUMP = [
+    "tr AS (SELECT f.sid, f.t, f.v AS y, x.lag2, x.rollmean3, x.rollstd7 FROM fs f JOIN fs x ON x.t = f.t "
+    "AND x.sid = (SELECT min(sid) FROM scaled) WHERE f.split = 'train')",
+    "mn AS (SELECT sid, avg(y) AS mean FROM tr GROUP BY sid)",
+    "lg AS (SELECT sid, t, 0 AS idx, lag2 AS x, y FROM tr UNION ALL SELECT sid, t, 1, rollmean3, y FROM tr "
+    "UNION ALL SELECT sid, t, 2, rollstd7, y FROM tr)"]
+
+
+def _stump_sql(rate, weights):
+    """``weights``: CTEs that end in wt (sid, t, w)."""
+    return O.sql(
+        "SELECT sid, idx, threshold, mean + rate * gl / wl AS left_value, mean + rate * gr / wr AS right_value, gain FROM best",
+        ["sid", "idx", "threshold", "left_value", "right_value", "gain"], ["threshold", "left_value", "right_value", "gain"],
+        [*STUMP, *weights,
+         "vv AS (SELECT sid, idx, x, sum(w * (y - mean)) AS g, sum(w) AS w, sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) AS c "
+         "FROM lg JOIN wt USING (sid, t) JOIN mn USING (sid) GROUP BY sid, idx, x)",
+         "cu AS (SELECT sid, idx, x, lead(x) OVER p AS nx, sum(g) OVER p AS gl, sum(w) OVER p AS wl, sum(c) OVER p AS cl, "
+         "sum(g) OVER q AS g, sum(w) OVER q AS w, sum(c) OVER q AS c FROM vv "
+         "WINDOW p AS (PARTITION BY sid, idx ORDER BY x), q AS (PARTITION BY sid, idx))",
+         "sc AS (SELECT sid, idx, (x + nx) / 2 AS threshold, gl, wl, g - gl AS gr, w - wl AS wr, "
+         "gl * gl / wl + (g - gl) * (g - gl) / (w - wl) - g * g / w AS gain FROM cu WHERE nx IS NOT NULL AND cl > 0 AND c > cl)",
+         f"best AS (SELECT sc.*, mean, {rate} AS rate FROM sc JOIN mn USING (sid) "
+         "QUALIFY row_number() OVER (PARTITION BY sid ORDER BY round(gain, 8) DESC, idx, threshold) = 1)"])
+
+
+def _hashed_weights(seed, tree):
+    """The forest's row weights in SQL: a 64-bit finaliser, then the inverse of Poisson(1)."""
+    start = ((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
+    mod, step = "18446744073709551616::UHUGEINT", "SELECT sid, t, (xor(x, x >> {}) * {}::UHUGEINT) % {} AS x FROM {}"
+    return [f"x0 AS (SELECT sid, t, (t::UHUGEINT + {start}::UHUGEINT) % {mod} AS x FROM tr)",
+            f"x1 AS ({step.format(30, 0xBF58476D1CE4E5B9, mod, 'x0')})", f"x2 AS ({step.format(27, 0x94D049BB133111EB, mod, 'x1')})",
+            "uu AS (SELECT sid, t, (xor(x, x >> 31) >> 11)::DOUBLE / 9007199254740992 AS u FROM x2)",
+            "wt AS (SELECT sid, t, " + " + ".join(f"(u > {float(c)!r}::DOUBLE)::INT" for c in trees.POISSON) + " AS w FROM uu)"]
+
+
+def _stump(spark, base, p):
+    z, _ = C.scaled(C.hourly(spark, base))
+    fs = C.feat_split(z, CFG)
+    ref = C.reference_sid(z)
+    X = fs.filter(F.col("sid") == ref).select("t", F.array(*STUMP_FEATURES).alias("features"))
+    labels = fs.select("sid", "t", F.col("v").alias("label"), "split")
+    grown = trees.fit_trees(X, labels, p, _is("train")).filter(F.size("feature") == 3)
+    mean = labels.filter(_is("train")).groupBy("sid").agg(F.avg("label").alias("mean"))
+    lift = F.col("mean") if p.kind == "boost" else F.lit(0.0)
+    return grown.join(mean, "sid").select(
+        "sid", F.col("feature")[0].alias("idx"), F.col("threshold")[0].alias("threshold"),
+        *[(lift + F.col("value")[F.col(side)[0]]).alias(f"{side}_value") for side in ("left", "right")], F.col("gain")[0].alias("gain"))
+
+
+@register("boosted_stump", _stump_sql(0.5, ["wt AS (SELECT sid, t, 1.0 AS w FROM tr)"]))
+def q_boosted_stump(spark, base):
+    """M5 / M6: one round of depth 1 at rate 0.5 for every series."""
+    return _stump(spark, base, trees.TreeParams("boost", trees=1, depth=1, rate=0.5))
+
+
+@register("forest_stump", _stump_sql(1.0, _hashed_weights(CFG.seed, 0)))
+def q_forest_stump(spark, base):
+    """M4: a forest of one tree of depth 1, on its Poisson row weights, for every series."""
+    return _stump(spark, base, trees.TreeParams("forest", trees=1, depth=1, seed=CFG.seed))
+
+
 @register("train_all_series")
 def q_train_all(spark, base):
-    """M7: every v1 family for every series (linear ones from one Gram pass,
-    trees as Spark ML fits on a bounded thread pool); validation R^2."""
+    """M7: every family for every series, in one model table; validation R^2."""
     d = _design(spark, base)
-    lin = [f for f in V1.families if f in LINEAR]
-    trees = [f for f in V1.families if f not in LINEAR]
-    preds = _linear_preds(d, [(f, f, LINEAR[f]) for f in lin])
-    r2 = models.r2_table(preds)
-    if trees:
-        fitted = models.train_all_series(d.X, d.labels, trees, d.sids, CFG, _is("train"))
-        r2 = r2.unionByName(_val_r2(d, fitted))
-    return r2
+    return models.r2_table(model_table.predict_models(_models(spark, base), d.X, d.labels, _is("val")))
 
 
 @register("predict_series")
 def q_predict(spark, base):
-    """M8: Ridge predictions on validation and test rows."""
+    """M8: predictions of all six families on validation and test rows."""
     d = _design(spark, base)
-    return _linear_preds(d, [("Ridge", "Ridge", 1.0)], F.col("split").isin("val", "test"))
+    return model_table.predict_models(_models(spark, base), d.X, d.labels, F.col("split").isin("val", "test"))
 
 
 def _importances(spark, base):
-    """RandomForest importances of the reference series (T8); the fit is
-    shared within a run."""
+    """Importances of every series' random forest, unused features as 0."""
     d = _design(spark, base)
 
     def build():
-        ref = d.sids[0]
-        fitted = models.train_all_series(d.X, d.labels, ["RandomForest"], [ref], CFG, _is("train"))
-        return models.feature_importance(fitted, "RandomForest", ref)
+        m = model_table.fit_models(d.X, d.labels, ["RandomForest"], CFG, _is("train"))
+        return stored(model_table.importances(m), "importances")
+
+    used = C.shared(("rf_importance", base), build)
+    every = d.dictionary.select("idx").withColumn("sid", F.explode(F.array(*[F.lit(s) for s in d.sids])))
+    return d, every.join(used.drop("family"), ["sid", "idx"], "left").select("sid", "idx", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
 
-    return d, spark.createDataFrame(C.shared(("rf_importance", base), build), "idx int, importance double")
+def _first(d, imp):
+    """The reference selects on its first series."""
+    return imp.filter(F.col("sid") == d.sids[0]).drop("sid")
 
 
 @register("feature_importance")
 def q_feature_importance(spark, base):
-    """RandomForest importances of the reference series with names and groups."""
+    """Random forest importances of every series with names and groups."""
     d, imp = _importances(spark, base)
     return imp.join(d.dictionary, "idx")
 
 
+def _selected(spark, base, cfg):
+    """The design matrix on the features that X2 selects."""
+    d, imp = _importances(spark, base)
+    sel = select.select_by_importance(_first(d, imp), cfg.importance_threshold, cfg.min_features)
+    idx = sorted(r["idx"] for r in sel.select("idx").collect())
+    Xs = select.slice_features(d.X, idx).select("t", F.col("selected").alias("features"))
+    return d, Xs, idx
+
+
 @register("slice_features")
 def q_slice(spark, base):
     """Design matrix restricted to the features selected by X2 (0.80 / 20)."""
-    d, imp = _importances(spark, base)
-    sel = select.select_by_importance(imp, CFG.importance_threshold, CFG.min_features)
-    idx = sorted(r["idx"] for r in sel.select("idx").collect())
-    out = select.slice_features(d.X, idx)
     from pyspark.ml.functions import vector_to_array
-    return out.select("t", F.lit(len(idx)).cast("bigint").alias("n_selected"),
-                      vector_to_array("selected").alias("selected"))
+    _, Xs, idx = _selected(spark, base, CFG)
+    return Xs.select("t", F.lit(len(idx)).cast("bigint").alias("n_selected"), vector_to_array("features").alias("selected"))
+
+
+TUNED = "GradientBoosting"      # the winning family of both programs
+TUNED_PARAMS = sorted(models.GRIDS_V2[TUNED])
 
 
-def _tune(d, sids, grid_name, family="Ridge", grids=None, X=None):
-    """G2 for a linear family: expanding folds of the train rows, least mean
-    MSE per series (first grid point on ties)."""
-    grids = grids or models.GRIDS_V2
+def _tune(d, Xs, sids, grids):
+    """The reference's grid of the winning family over expanding folds of
+    the train rows; ``sid``, a column per parameter, ``cv_mse``."""
     fb = split.fold_bounds(d.labels.select("sid", "t").distinct(), CFG)
     folds = [(r["fold"], r["train_lo"], r["test_lo"], r["test_hi"]) for r in fb.collect()]
-    cv = linear.linear_grid_cv(X if X is not None else d.X, d.labels, sids, folds, family,
-                               grids[family]["alpha"])
-    best = tune.best_params(cv)
-    return [(r["sid"], float(r["alpha"]), float(r["cv_mse"])) for r in best.collect()]
+    points = models.grid_points(grids[TUNED])
+    errors = trees.grid_errors(Xs, d.labels.filter(F.col("sid").isin(list(sids))), TUNED, models.DEFAULTS[TUNED], points, folds, CFG.seed)
+    grid = Xs.sparkSession.createDataFrame([(i, *[float(q[k]) for k in TUNED_PARAMS]) for i, q in enumerate(points)],
+                                           ["point", *TUNED_PARAMS])
+    best = stored(trees.best_points(errors), "tuned")
+    return best.join(F.broadcast(grid), "point").select("sid", *TUNED_PARAMS, "cv_mse")     # a row per grid point
+
+
+def _as_params(rows):
+    """{sid: parameters} of tuned rows."""
+    whole = ("max_depth", "n_estimators")
+    return {r["sid"]: {k: int(r[k]) if k in whole else r[k] for k in TUNED_PARAMS} for r in rows}
 
 
 @register("tune_first_k")
 def q_tune_first_k(spark, base):
-    """G3 (v1): tune the first 3 series (Ridge grid of v1) over expanding folds."""
-    d = _design(spark, base)
-    rows = _tune(d, d.sids[:V1.tune_first_k], "v1", grids=models.GRIDS_V1)
-    return spark.createDataFrame(rows, "sid string, alpha double, cv_mse double")
+    """G3 (v1): the v1 grid of the winning family for the first 3 series, on the selected features."""
+    d, Xs, _ = _selected(spark, base, V1)
+    return _tune(d, Xs, d.sids[:V1.tune_first_k], models.GRIDS_V1)
 
 
 def _groups_hourly(spark, base):
@@ -241,60 +297,65 @@ def _groups_hourly(spark, base):
     return g
 
 
+def _tuned_groups(spark, base):
+    """G4 (v2): the representatives' parameters and every series' group."""
+    def build():
+        d, Xs, _ = _selected(spark, base, CFG)
+        g = _groups_hourly(spark, base)
+        reps = stored(cluster.group_representative(g), "representatives")
+        params = _tune(d, Xs, [r["representative"] for r in reps.collect()], models.GRIDS_V2)
+        members = g.join(reps.select("group_id", "representative"), "group_id")
+        return stored(tune.broadcast_group_params(members, params), "group_params")
+    return C.shared(("tuned_groups", base), build)
+
+
 @register("tune_per_group")
 def q_tune_per_group(spark, base):
-    """G4 (v2): tune each K-means group's representative, give it to the group."""
-    d = _design(spark, base)
-    g = _groups_hourly(spark, base)
-    reps = cluster.group_representative(g)
-    rep_ids = [r["representative"] for r in reps.collect()]
-    rows = _tune(d, rep_ids, "v2")
-    params = spark.createDataFrame(rows, "sid string, alpha double, cv_mse double")
-    members = g.join(reps.select("group_id", "representative"), "group_id")
-    return tune.broadcast_group_params(members, params)
+    """G4 (v2): the v2 grid for each K-means group's representative, given to the group."""
+    return _tuned_groups(spark, base)
 
 
 @register("tune_sampled")
 def q_tune_sampled(spark, base):
     """G5 (v2 without clusters): tune 5 seeded-random series; the others take
     the parameters of their most correlated sampled series (J5)."""
-    d = _design(spark, base)
+    d, Xs, _ = _selected(spark, base, CFG)
     h = C.hourly(spark, base)
     sampled = reshape.sample_series(h, CFG.tune_sample, CFG.seed).select("sid").distinct()
     ids = sorted(r["sid"] for r in sampled.collect())
-    params = spark.createDataFrame(_tune(d, ids, "v2"), "sid string, alpha double, cv_mse double")
+    params = _tune(d, Xs, ids, models.GRIDS_V2)
     near = correlation.nearest_series(correlation.corr_matrix(h), sampled)
-    others = near.join(params.withColumnRenamed("sid", "nearest"), "nearest").select("sid", "alpha", "cv_mse")
+    others = near.join(params.withColumnRenamed("sid", "nearest"), "nearest").select("sid", *TUNED_PARAMS, "cv_mse")
     return params.unionByName(others)
 
 
+def _optimized(spark, base):
+    """The winning family refitted with each series' tuned parameters on the selected features."""
+    d, Xs, _ = _selected(spark, base, CFG)
+    own = _as_params(_tuned_groups(spark, base).collect())      # a row per series
+    return d, Xs, model_table.fit_models(Xs, d.labels, [TUNED], CFG, _is("train"), own, "Optimized")
+
+
 @register("train_tuned")
 def q_train_tuned(spark, base):
-    """Ridge refit per series with its tuned alpha on the selected features."""
-    d, imp = _importances(spark, base)
-    sel = select.select_by_importance(imp, CFG.importance_threshold, CFG.min_features)
-    idx = sorted(r["idx"] for r in sel.select("idx").collect())
-    Xs = select.slice_features(d.X, idx).select("t", F.col("selected").alias("features")).cache()
-    tuned = {s: a for s, a, _ in _tune(d, d.sids, "v2", X=Xs)}
-    st = linear.gram_stats(Xs, d.labels, d.sids, _is("train"))
-    rows = []
-    for alpha in sorted(set(tuned.values())):
-        rows += [("Optimized", s, b0, c) for s, b0, c in linear.solve(st, "Ridge", alpha) if tuned[s] == alpha]
-    coefs = spark.createDataFrame(rows, linear.COEF_SCHEMA)
-    return models.r2_table(linear.predict_linear(Xs, d.labels, coefs, _is("val")))
+    """Validation R^2 of the tuned refit."""
+    d, Xs, m = _optimized(spark, base)
+    return models.r2_table(model_table.predict_models(m, Xs, d.labels, _is("val")))
 
 
 @register("stacking_ensemble")
 def q_stacking(spark, base):
-    """Per-series ridge (alpha 0.1) on the positive forecasters' validation
-    predictions, applied to the test rows."""
-    s, _ = C.scored(spark, base)
-    cands = [r["family"] for r in C.candidates(spark, base).collect()]
+    """Per-series ridge (alpha 0.1) on the validation predictions of up to
+    three trained families with positive mean R^2, applied to the test rows."""
+    d = _design(spark, base)
+    preds = stored(model_table.predict_models(_models(spark, base), d.X, d.labels, F.col("split").isin("val", "test")), "predictions")
+    avg = evaluate.macro_r2(evaluate.series_r2(preds.filter(_is("val"))))
+    cands = [r["family"] for r in reshape.positive_models(avg, list(CFG.families), 3, ("Optimized",), 2).collect()]
     if len(cands) < 2:
-        return s.limit(0).select("sid", "t", "y", "yhat")
-    fit = ensemble.stack_fit(s.filter(_is("val")).filter(F.col("family").isin(cands)), cands, models.STACK_ALPHA)
-    return ensemble.stack_predict(s.filter(F.col("split") == "test").filter(F.col("family").isin(cands)),
-                                  fit, cands).select("sid", "t", "y", "yhat")
+        return preds.limit(0).select("sid", "t", "y", "yhat")
+    some = preds.filter(F.col("family").isin(cands))
+    fit = ensemble.stack_fit(some.filter(_is("val")), cands, models.STACK_ALPHA)
+    return ensemble.stack_predict(some.filter(_is("test")), fit, cands).select("sid", "t", "y", "yhat")
 
 
 @register("write_reports", Q.ORACLE["select_by_importance"])
@@ -312,21 +373,20 @@ def q_write_reports(spark, base):
     return spark.read.parquet(root["selected_features"])
 
 
-@register("save_model", O.sql("SELECT DISTINCT sid, 0.0 AS max_abs_diff FROM hourly", ["sid", "max_abs_diff"],
-                              ["max_abs_diff"]))
+@register("save_model", O.sql("SELECT family, sid, 0.0 AS max_abs_diff FROM (SELECT DISTINCT sid FROM hourly), "
+                              "(SELECT unnest(['LinearRegression', 'Ridge', 'Lasso', 'RandomForest', 'GradientBoosting', 'XGBoost']) AS family)",
+                              ["family", "sid", "max_abs_diff"], ["max_abs_diff"]))
 def q_save_model(spark, base):
-    """Per-series Ridge models (coefficient table), scaler, feature
-    dictionary and config saved; the model is reloaded and its predictions
-    compared with the in-memory ones (max |diff| per series)."""
+    """The model table of all six families, scaler, feature dictionary and
+    configuration saved; the loaded models' predictions compared with those of
+    the models in memory (max |diff| per family and series)."""
     d = _design(spark, base)
-    st = linear.gram_stats(d.X, d.labels, d.sids, _is("train"))
-    coefs = linear.fit_linear(spark, st, [("Ridge", "Ridge", 1.0)])
-    root = scratch_path(spark, "saved_model")
-    sinks.save_model(spark, root, {}, {"coefficients": coefs, "scaler": d.stats, "dictionary": d.dictionary},
-                     {"n_lags": CFG.n_lags, "families": ["Ridge"], "alpha": 1.0})
-    loaded = spark.read.parquet(f"{root}/tables/coefficients")
+    m = _models(spark, base)
+    root = sinks.save_model(spark, scratch_path(spark, "saved_model"), {"models": m, "scaler": d.stats, "dictionary": d.dictionary},
+                            {"n_lags": CFG.n_lags, "families": list(CFG.families)})
+    loaded = spark.read.parquet(f"{root}/tables/models")
     rows = F.col("split").isin("val", "test")
-    a = linear.predict_linear(d.X, d.labels, coefs, rows).select("sid", "t", F.col("yhat").alias("p1"))
-    b = linear.predict_linear(d.X, d.labels, loaded, rows).select("sid", "t", F.col("yhat").alias("p2"))
-    return a.join(b, ["sid", "t"]).groupBy("sid").agg(
-        F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
+    a, b = (model_table.predict_models(x, d.X, d.labels, rows).select("family", "sid", "t", F.col("yhat").alias(n))
+            for x, n in ((m, "p1"), (loaded, "p2")))
+    return a.join(b, ["family", "sid", "t"], "full").groupBy("family", "sid").agg(
+        F.max(F.coalesce(F.abs(F.col("p1") - F.col("p2")), F.lit(1e300))).alias("max_abs_diff"))

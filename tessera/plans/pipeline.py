@@ -5,9 +5,8 @@
   (``V1`` / ``V2``): design matrix -> baselines -> selection -> tuning ->
   refit -> ensemble -> evaluation -> save.
 
-Every stage is a lazy DataFrame plan or a Spark ML / Gram job; the driver
-only holds O(series x families) report rows, coefficient vectors and
-parameter maps.
+Every stage is a lazy DataFrame plan or a job for all series; the driver only
+holds report rows, coefficient vectors and parameter maps, O(series x families).
 """
 
 from __future__ import annotations
@@ -18,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PanelConfig
-from ..operators import (cluster, correlation, ensemble, evaluate, linear, models, profile, reshape,
-                         select, split, tune)
+from ..operators import (cluster, correlation, ensemble, evaluate, linear, model_table, models, profile, reshape,
+                         select, split, trees, tune)
+from ..session import stored
 from ..sources import panels, sinks
 from .design import build_design
 
-LINEAR_DEFAULT_ALPHA = {"LinearRegression": 0.0, "Ridge": 1.0, "Lasso": 0.1}
 TREES = ("RandomForest", "GradientBoosting", "XGBoost")
 
 
@@ -52,32 +51,11 @@ def run_profile(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
 
 
 def _fit_predict(d, families, cfg, params=None, X=None, name=None):
-    """Baselines (or a refit): linear families from one Gram pass, trees as
-    Spark ML fits. Returns long predictions (family, sid, t, y, yhat, split),
-    the tree models and the linear coefficients."""
+    """Baselines (or a refit): the model table of all series, and its long
+    predictions (family, sid, t, y, yhat, split)."""
     X = X if X is not None else d.X
-    train = F.col("split") == "train"
-    evalrows = F.col("split").isin("val", "test")
-    parts, coefs = [], None
-    lin = [f for f in families if f in LINEAR_DEFAULT_ALPHA]
-    if lin:
-        st = linear.gram_stats(X, d.labels, d.sids, train)
-        rows = []
-        for f in lin:
-            per = (params or {})
-            alphas = {s: float(per.get(s, {}).get("alpha", LINEAR_DEFAULT_ALPHA[f])) for s in d.sids}
-            for a in sorted(set(alphas.values())):
-                rows += [(name or f, s, b0, c) for s, b0, c in linear.solve(st, f, a) if alphas[s] == a]
-        coefs = X.sparkSession.createDataFrame(rows, linear.COEF_SCHEMA)
-        parts.append(linear.predict_linear(X, d.labels, coefs, evalrows))
-    trees = [f for f in families if f not in LINEAR_DEFAULT_ALPHA]
-    fitted = {}
-    if trees:
-        fitted = models.train_all_series(X, d.labels, trees, d.sids, cfg, train, params)
-        if name:
-            fitted = {(name, s): m for (_, s), m in fitted.items()}
-        parts.append(models.predict_series(fitted, X, d.labels, evalrows))
-    return reshape.union_all(parts).cache(), fitted, coefs
+    table = stored(model_table.fit_models(X, d.labels, families, cfg, F.col("split") == "train", params, name), "models")
+    return model_table.predict_models(table, X, d.labels, F.col("split").isin("val", "test")).cache(), table
 
 
 def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
@@ -88,7 +66,7 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
     res["n_features"], res["k"] = d.n_features, d.k
     families = list(cfg.families)
     # stage 6: baselines
-    preds, fitted, coefs = _fit_predict(d, families, cfg)
+    preds, fitted = _fit_predict(d, families, cfg)
     val_r2 = evaluate.series_r2(preds.filter(F.col("split") == "val")).cache()
     avg = evaluate.macro_r2(val_r2)
     best = evaluate.best_model(avg, families).first()
@@ -103,14 +81,16 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
     selected = None
     if sel_family is not None:
         # compat (T8): the first series' model decides for all; "mean" averages every series
-        owners = [ref] if cfg.importance_source == "first" else list(d.sids)
-        missing = [s for s in owners if (sel_family, s) not in fitted]
-        if missing:
-            fitted.update(models.train_all_series(d.X, d.labels, [sel_family], missing, cfg,
-                                                  F.col("split") == "train"))
-        rows = [(s, i, v) for s in owners for i, v in models.feature_importance(fitted, sel_family, s)]
-        imp = spark.createDataFrame(rows, "sid string, idx int, importance double").groupBy("idx").agg(
-            F.avg("importance").alias("importance"))
+        source = fitted.filter(F.col("family") == sel_family)
+        if sel_family not in families:
+            source = stored(model_table.fit_models(d.X, d.labels, [sel_family], cfg, F.col("split") == "train"), "selector")
+        every = model_table.importances(source)
+        owners = every.filter(F.col("sid") == ref) if cfg.importance_source == "first" else every
+        # features that no tree uses count as 0
+        n_owners = owners.select(F.countDistinct("sid")).scalar()
+        imp = d.dictionary.select("idx").join(owners.groupBy("idx").agg(F.sum("importance").alias("total")), "idx", "left").select(
+            "idx", F.coalesce(F.col("total") / n_owners, F.lit(0.0)).alias("importance"))
+        imp = stored(imp, "importances")
         sel = select.select_by_importance(imp, cfg.importance_threshold, cfg.min_features)
         selected = sorted(r["idx"] for r in sel.select("idx").collect())
         res["selected_features"] = sel.join(d.dictionary, "idx")
@@ -133,13 +113,14 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
             sampled = reshape.sample_series(d.labels, cfg.tune_sample, cfg.seed).select("sid").distinct()
             targets = sorted(r["sid"] for r in sampled.collect())
         tuned = {}
-        if best_family in LINEAR_DEFAULT_ALPHA:
+        if best_family in model_table.LINEAR:
             cv = linear.linear_grid_cv(Xs, d.labels, targets, folds, best_family, grid["alpha"])
             tuned = {r["sid"]: {"alpha": r["alpha"]} for r in tune.best_params(cv).collect()}
         else:
-            fbd = spark.createDataFrame(folds, "fold bigint, train_lo bigint, test_lo bigint, test_hi bigint")
-            for s in targets:
-                tuned[s] = models.grid_search(Xs, d.labels, best_family, s, fbd, grid, cfg)[0]
+            points = models.grid_points(grid)
+            errors = trees.grid_errors(Xs, d.labels.filter(F.col("sid").isin(list(targets))), best_family,
+                                       models.DEFAULTS[best_family], points, folds, cfg.seed)
+            tuned = {r["sid"]: points[r["point"]] for r in trees.best_points(errors).collect()}   # a row per tuned series
         if cfg.tune_strategy == "first_k":  # A13: one consensus setting for every series
             first = tuned[min(tuned)]
             params = {s: first for s in d.sids}
@@ -155,7 +136,7 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
             params.update({r["sid"]: tuned[r["nearest"]] for r in near.collect() if r["nearest"] in tuned})
         res["params"] = params
     # stage 9: refit ("Optimized")
-    opt, opt_fitted, opt_coefs = _fit_predict(d, [best_family], cfg, params, Xs, name="Optimized")
+    opt, opt_fitted = _fit_predict(d, [best_family], cfg, params, Xs, name="Optimized")
     preds = preds.unionByName(opt)
     all_families = families + ["Optimized"]
     val_all = evaluate.series_r2(preds.filter(F.col("split") == "val"))
@@ -199,26 +180,22 @@ def run_pipeline(spark: SparkSession, base: str, cfg: PanelConfig, out: str,
         reports["selected_features"] = res["selected_features"].orderBy(F.desc("importance"))
     sinks.write_reports(spark, os.path.join(out, "reports"), reports)
     needed = set(members if chosen == "Ensemble" else [chosen])
-    trees = {k: m for k, m in {**fitted, **opt_fitted}.items() if k[0] in needed}
-    linear_parts = [c.filter(F.col("family").isin(*needed)) for c in (coefs, opt_coefs) if c is not None]
-    tables = {"scaler": d.stats, "dictionary": d.dictionary, "groups": res["profile"]["groups"]}
-    if linear_parts:
-        tables["coefficients"] = reshape.union_all(linear_parts)
+    tables = {"scaler": d.stats, "dictionary": d.dictionary, "groups": res["profile"]["groups"],
+              "models": fitted.unionByName(opt_fitted).filter(F.col("family").isin(*needed))}
     if chosen == "Ensemble":
         tables.update(side)
     if selected is not None:
         tables["selected"] = spark.createDataFrame([(i,) for i in selected], "idx int")
-    res["model_path"] = sinks.save_model(spark, os.path.join(out, "best_model"), trees, tables, {
-        "chosen": chosen, "members": members if chosen == "Ensemble" else [], "trees": sorted(map(list, trees)),
-        "tables": sorted(tables), "config": repr(cfg)})
+    res["model_path"] = sinks.save_model(spark, os.path.join(out, "best_model"), tables, {
+        "chosen": chosen, "members": members if chosen == "Ensemble" else [], "tables": sorted(tables), "config": repr(cfg)})
     res["chosen"], res["test_predictions"], res["design"] = chosen, test.filter(F.col("family") == chosen), d
     return res
 
 
 def load_and_predict(spark: SparkSession, root: str, X: DataFrame, labels: DataFrame, rows=None) -> DataFrame:
     """Predictions (family, sid, t, y, yhat) of a saved model on a design
-    matrix: trees and coefficients of the families it needs, the refit on the
-    selected features, then the ensemble's weights or meta-model."""
+    matrix: the models of the families it needs, the refit on the selected
+    features, then the ensemble's weights or meta-model."""
     cfg = sinks.load_config(spark, root)
     table = lambda n: spark.read.parquet(os.path.join(root, "tables", n))
     have = set(cfg["tables"])
@@ -227,18 +204,9 @@ def load_and_predict(spark: SparkSession, root: str, X: DataFrame, labels: DataF
         idx = sorted(r["idx"] for r in table("selected").collect())
         Xs = select.slice_features(X, idx).select("t", F.col("selected").alias("features"))
     lab = labels if rows is None else labels.filter(rows)
-    parts = []
-    fitted = sinks.load_trees(root, [tuple(k) for k in cfg["trees"]])
-    for optimized in (False, True):
-        x, is_opt = (Xs if optimized else X), F.col("family") == "Optimized"
-        some = {k: m for k, m in fitted.items() if (k[0] == "Optimized") == optimized}
-        if some:
-            parts.append(models.predict_series(some, x, lab).select("family", "sid", "t", "y", "yhat"))
-        if "coefficients" in have:
-            c = table("coefficients").filter(is_opt if optimized else ~is_opt)
-            if c.limit(1).count():
-                parts.append(linear.predict_linear(x, lab, c).select("family", "sid", "t", "y", "yhat"))
-    preds = reshape.union_all(parts)
+    m, is_opt = table("models"), F.col("family") == "Optimized"
+    preds = model_table.predict_models(m.filter(~is_opt), X, lab).unionByName(model_table.predict_models(m.filter(is_opt), Xs, lab))
+    preds = preds.select("family", "sid", "t", "y", "yhat")
     if "weights" in have:
         return ensemble.weighted_predictions(preds, table("weights"))
     if "meta" in have:

@@ -34,12 +34,9 @@ def write_reports(spark: SparkSession, root: str, tables: dict[str, DataFrame])
     return {k: write_table(v, spark, k, os.path.join(root, k)) for k, v in tables.items()}
 
 
-def save_model(spark: SparkSession, root: str, models: dict, tables: dict[str, DataFrame],
-               config: dict) -> str:
-    """Spark ML models per (family, sid) via their own writers, side
-    tables (scaler, weights, selection, groups) as Parquet, config as JSON."""
-    for (family, sid), m in models.items():  # one writer per model
-        m.write().overwrite().save(os.path.join(root, "models", family, str(sid)))
+def save_model(spark: SparkSession, root: str, tables: dict[str, DataFrame], config: dict) -> str:
+    """The model table and side tables (scaler, weights, selection, groups)
+    as Parquet, the configuration as JSON."""
     for k, v in tables.items():
         v.write.mode("overwrite").parquet(os.path.join(root, "tables", k))
     cfg = spark.createDataFrame([(json.dumps(config, default=str),)], "config string")
@@ -50,16 +47,3 @@ def save_model(spark: SparkSession, root: str, models: dict, tables: dict[str, D
 def load_config(spark: SparkSession, root: str) -> dict:
     """The configuration saved beside a model."""
     return json.loads(spark.read.schema("config string").json(os.path.join(root, "config")).head()[0])
-
-
-def load_trees(root: str, keys: list[tuple[str, str]]) -> dict:
-    """The saved tree models of (family, sid) keys."""
-    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-    from pyspark.ml.util import DefaultParamsReader
-
-    out = {}
-    for family, sid in keys:
-        path = os.path.join(root, "models", family, str(sid))
-        kind = DefaultParamsReader.loadMetadata(path, SparkSession.active())["class"].rpartition(".")[2]
-        out[family, sid] = {c.__name__: c for c in (GBTRegressionModel, RandomForestRegressionModel)}[kind].load(path)
-    return out
