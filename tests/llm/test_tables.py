@@ -122,6 +122,92 @@ def test_slots_of_few_pages_are_no_template(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("names", ["has-sidebar", "right-sidebar no-footer", "legal-news", "search-engine-review", "sidebar", ""])
+def test_names_on_ancestors_of_the_content_drop_nothing(spark, names):
+    rows = [(k, "http://a/", f"<html class='{names}'><body class='{names}'><article class='{names}'><p>story {k}</p></article></body></html>")
+            for k in range(6)]
+    rows += [(10 + k, "http://b/", f"<body class='{names}'><div class='{names}'><p>a long story about {k}</p></div></body>") for k in range(6)]
+    rows += [(20 + k, "http://c/", f"<body><div class='{names}'><article><p>story {k}</p></article></div></body>") for k in range(6)]
+    got = {r.page_id: r.text for r in wrapper.extract_text(pages_of(spark, rows)).collect()}
+    want = {k: f"story {k}" for k in (*range(6),)} | {20 + k: f"story {k}" for k in range(6)}
+    assert got == want | {10 + k: f"a long story about {k}" for k in range(6)}
+
+
+def test_named_parts_beside_the_content_go(spark):
+    rows = [(k, "http://a/", f"<body><div class='story'><p>{'long text ' * 20}{k}</p></div><div class='right-sidebar'>now {k}</div>"
+             f"<div class='comments'><p>first! {k}</p></div></body>") for k in range(6)]
+    rows += [(10 + k, "http://b/", f"<article><p>{'long text ' * 20}{k}</p><div id='comments-{k}'>I agree {k}</div></article>") for k in range(6)]
+    got = {r.page_id: r.text for r in wrapper.extract_text(pages_of(spark, rows)).collect()}
+    assert got == {i + k: "long text " * 20 + str(k) for i in (0, 10) for k in range(6)}
+
+
+def test_hostile_pages(spark):
+    """Deep nesting, unclosed tags and stray quotes: linear time, nothing lost but the open tag."""
+    import time
+    deep = "<div>" * 1500
+    rows = [(k, "http://deep/", f"<body>{deep}story {k}{'</div>' * 1500}</body>") for k in range(6)]
+    rows += [(10, "http://deep/", "<section><div>" * 700 + "mixed"), (11, "x", "<p title=don't>kept</p><p>too</p>"),
+             (12, "x2", "<a <b> text"), (13, "x3", "a < b and c <> d <"), (14, "x4", "<p>İ<script>if (a</b) x</script>after"),
+             (15, "x5", "<p a=\"x>y\" b='>'>in</p>"), (16, "x6", "<!-- open <p>gone")]
+    got = {r.page_id: r.text for r in wrapper.extract_text(pages_of(spark, rows)).collect()}
+    want = {k: f"story {k}" for k in range(6)} | {10: "mixed", 11: "kept\n\ntoo", 12: "text", 13: "a < b and c <> d", 14: "İafter",
+                                                  15: "in", 16: ""}
+    assert got == want
+    for bad in ("<a " * 300_000, "<p>" * 100_000, "<foo>" * 50_000 + "<p></p>" * 50_000, "<b>" * 100_000 + "x<br>" * 50_000,
+                "<a b=\"" * 100_000, "</x>" * 100_000, "<script>" * 50_000, "<" * 300_000, "&" * 100_000, "<!-" * 100_000):
+        t = time.time()
+        wrapper.page_blocks(bad)
+        assert time.time() - t < 5, bad[:20]
+
+
+def test_equals_brute_force_on_pages(spark):
+    """A plain extractor with xml.etree-like recursion over the given pages' articles."""
+    from conftest import SF_SMALL
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.on, self.skip, self.blocks, self.now = 0, 0, [], []
+
+        def cut(self):
+            text = " ".join("".join(self.now).split())
+            if text and self.on:
+                self.blocks.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in wrapper.RAW or tag in wrapper.NOT_TEXT:
+                self.skip += tag not in wrapper.VOID
+            if tag == "br":
+                self.now.append(" ")
+            elif tag not in wrapper.INLINE:
+                self.cut()
+            self.on += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in wrapper.INLINE and tag != "br":
+                self.cut()
+            self.on -= tag == "article"
+            if tag in wrapper.RAW or tag in wrapper.NOT_TEXT:
+                self.skip -= tag not in wrapper.VOID
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.now.append(data)
+
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    got = {r.page_id: r.text for r in wrapper.extract_text(pages).collect()}
+    same = 0
+    for r in pages.collect():
+        a = Article()
+        a.feed(r.html or "")
+        a.close()
+        a.cut()
+        same += got[r.page_id] == "\n\n".join(a.blocks)
+    assert same == len(got)
+
+
 def test_tree_matching_aligns_renamed_nodes():
     a = wrapper.fold(["html/body/div.x/p", "html/body/section/h2", "html/body/section/p"])
     b = wrapper.fold(["html/body/nav/a", "html/body/div.y/p", "html/body/section/p"])
