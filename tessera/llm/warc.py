@@ -19,9 +19,14 @@ it ends. Memory is bounded by a range and the longest record.
 Files are opened through ``pyarrow.fs``, by the scheme of the folder's URI, so
 the archives may lie in any store that the executors share.
 
+Ranges are dealt to as many tasks as there are ranges (``MOST_TASKS`` at most),
+a fixed number, because adaptive execution would merge their few bytes into one.
+
 Defined cases: a null payload is empty; pages without an id are always whole
 and read back with a null id; equal pages that share the smallest id are all
-whole; a null url has no target header; an empty table gives no files.
+whole; a null url has no target header; an empty table gives no files; a record
+without a usable Content-Length is read to its member's end and marked as not
+``well_formed``. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +49,7 @@ from .common import batches
 MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
+MOST_TASKS = 100_000
 #: duplicate digests that may be broadcast (about 80 bytes each)
 SMALL_DIGESTS = 200_000
 MAGIC = b"\x1f\x8b\x08"
@@ -118,9 +124,11 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
               .filter("n > 1").select("digest", "first_id"))
     first = stored(first, "digests")
     if first.count() <= SMALL_DIGESTS:
-        first = F.broadcast(first)
-    marked = p.join(first, "digest", "left").select(
-        "page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")))
+        marked = p.join(F.broadcast(first), "digest", "left")
+    else:   # digests meet without their pages; only ids of revisits come back, and no digest is a hot key for html
+        again = p.select("page_id", "digest").join(first, "digest").filter("page_id != first_id").distinct()
+        marked = p.join(again, ["page_id", "digest"], "left")
+    marked = marked.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")))
     return stored(marked.mapInArrow(_writer(folder, date), "path string, bytes long, records long"), "manifest")
 
 
@@ -170,15 +178,18 @@ def records_from(read, start: int, stop: int) -> Iterator[bytes]:
             yield record
 
 
-def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and payload of a response or revisit record."""
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes, bool]:
+    """Headers (lower-case names) and payload of a response or revisit record,
+    and whether its length was as stated."""
     head, _, rest = record.partition(b"\r\n\r\n")
     headers = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         headers[name.strip().lower()] = value.strip()
-    body = rest[:int(headers.get("content-length", 0))]
-    return headers, body.partition(b"\r\n\r\n")[2]
+    length = headers.get("content-length", "")
+    sound = length.isascii() and length.isdigit() and len(length) < 19 and int(length) <= len(rest)
+    body = rest[:int(length)] if sound else rest.removesuffix(b"\r\n\r\n")
+    return headers, body.partition(b"\r\n\r\n")[2], sound
 
 
 _PAGE = re.compile(r"<urn:x-page:(-?\d+)>")
@@ -190,7 +201,7 @@ def _page_of(name: str | None) -> int | None:
 
 
 FIELDS = ("page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, "
-          "stated_digest string, refers_to long, payload binary")
+          "stated_digest string, refers_to long, payload binary, well_formed boolean")
 
 
 def _reader(with_payload: bool):
@@ -203,11 +214,11 @@ def _reader(with_payload: bool):
                     read = lambda at, n: f.read_at(min(n, size - at), at) if at < size else b""  # noqa: B023, E731
                     rows, held = [], 0
                     for record in records_from(read, start, stop):
-                        h, payload = parse_record(record)
+                        h, payload, sound = parse_record(record)
                         rows.append((_page_of(h.get("warc-record-id")), h.get("warc-type"), h.get("warc-target-uri"),
                                      len(payload), hashlib.sha256(payload).hexdigest(),
                                      h.get("warc-payload-digest", "").removeprefix("sha256:"),
-                                     _page_of(h.get("warc-refers-to")), payload if with_payload else None))
+                                     _page_of(h.get("warc-refers-to")), payload if with_payload else None, sound))
                         held += len(payload) if with_payload else 200
                         if held > 8 << 20:
                             yield _rows(rows)
@@ -217,7 +228,7 @@ def _reader(with_payload: bool):
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
     cols = list(zip(*rows)) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)],
                                       names=[f.split()[0] for f in FIELDS.split(", ")])
@@ -229,7 +240,8 @@ def read_warc(manifest: DataFrame, folder: str, with_payload: bool = True) -> Da
     ranges = manifest.select("path", F.lit(folder).alias("scheme"), F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(RANGE_BYTES).cast("long"))).alias("start"), "bytes")
     ranges = ranges.select("path", "scheme", "start", F.least(F.col("start") + RANGE_BYTES, F.col("bytes")).alias("stop"))
-    spread = ranges.repartition(F.col("path"), F.col("start"))
+    tasks = manifest.agg(F.sum(F.ceil(F.col("bytes") / RANGE_BYTES))).first()[0] or 1
+    spread = ranges.repartition(min(int(tasks), MOST_TASKS))
     return spread.mapInArrow(_reader(with_payload), FIELDS)
 
 

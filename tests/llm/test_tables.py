@@ -51,6 +51,30 @@ def test_ranges_own_each_record_once(spark, monkeypatch, size):
     assert all(r.payload_digest == r.stated_digest for r in got if r.record_type == "response")
 
 
+def test_reader_is_split_over_tasks(spark, monkeypatch):
+    """As many tasks as ranges, although descriptors are a few bytes; the same records beyond the digest limit."""
+    monkeypatch.setattr(warc, "RANGE_BYTES", 3000)
+    rows = [(i, f"http://h/{i % 50}", "".join(map(str, np.random.default_rng(i % 50).integers(0, 10, 2000)))) for i in range(100)]
+    results = []
+    for limit in (200_000, 0):
+        monkeypatch.setattr(warc, "SMALL_DIGESTS", limit)
+        folder = scratch_path(spark, "warc-split")
+        manifest = warc.write_warc(pages_of(spark, rows), folder)
+        records = warc.read_warc(manifest, folder).cache()
+        ranges = sum(-(-r.bytes // 3000) for r in manifest.collect())
+        assert records.rdd.getNumPartitions() == ranges > 10
+        assert records.filter("page_id is null or not well_formed").count() == 0
+        results.append(sorted((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in warc.resolve_revisits(records).collect()))
+    assert results[0] == results[1] and sum(r[1] == "revisit" for r in results[0]) == 50
+
+
+def test_foreign_records_do_not_end_the_job():
+    for length in (b"x", b"", b"-5", b"99999999999999999999", b"400"):
+        record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + length + b"\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n"
+        headers, payload, sound = warc.parse_record(record)
+        assert payload == b"body" and not sound and headers["warc-type"] == "response"
+
+
 def test_reader_skips_false_magic_and_broken_members():
     good = warc.record_bytes(1, "u", b"data", "d", None, "1970-01-01T00:00:00Z")
     import gzip
