@@ -15,13 +15,14 @@ spelled or bracketed "at", so a window without such a cue (a spelled or
 bracketed "dot" is one too) has nothing to find and is not decoded. Around cues
 the text is cut into windows of ``WIDTH`` characters every ``STRIDE``
 characters, so that each span of up to ``LONGEST`` lies inside one. A span that several windows see is taken
-from the window whose middle it is nearest to; then all spans of a text are
-reconciled from left to right, those of higher confidence first.
+from the window whose middle it is nearest to: of overlapping spans of a text
+the one nearest to its window's middle stays.
 
-Plan: one pass over a sample of at most about ``SAMPLE_DOCS`` documents to
-collect at most ``SAMPLE_WINDOWS`` different windows, training on the driver (a few
-seconds, weights of a few KB, broadcast), one pass over all documents. No
-shuffle; a hot source stays spread over its tasks.
+Plan: one pass over a sample of about ``SAMPLE_DOCS`` documents (a share of all,
+by hash) to collect at most ``SAMPLE_WINDOWS`` different windows, training on the
+driver (some 20 seconds, whatever the corpus; weights of a few KB, broadcast),
+one pass over all documents. No shuffle; a hot source stays spread over its
+tasks. Weights of an earlier ``fit`` may be passed in instead.
 
 Defined cases: null and empty texts have no spans; repeated rows are tagged
 each by itself; a corpus without base spans trains on none and adds none; an
@@ -51,8 +52,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 # The contract's patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CUE = re.compile(r"[\d@]|(?<![A-Za-z])[aA][tT](?![A-Za-z])|\b[dD][oO][tT]\b|[(\[{<]\s*(?:[aA][tT]|[dD][oO][tT]|\.)\s*[)\]}>]")
@@ -91,13 +91,28 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ips(text: str) -> list[tuple[int, int]]:
+    """Matches of four dotted numbers of at most 255. A run of digits matches
+    from its first digit or not at all, so the leftmost matches in a dotted
+    chain are its numbers taken by fours, and no digit is read twice."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k:k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p) <= 3 and int(p) <= 255 for p in (q.lstrip("0") or "0" for q in four)):
+                out.append((at, end))
+            at = end + 1
+    return out
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the contract's matches, sorted."""
     if not text or not _ANY.search(text):
         return []
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text)
-            if all(len(p) < 40 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(s, 1, e) for s, e in ips(text)]
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         if 12 <= len(d) <= 19 and luhn(d):
@@ -376,11 +391,16 @@ def _sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["text", "spans"])
 
 
+def sample_of(docs: DataFrame, n: int) -> DataFrame:
+    """About SAMPLE_DOCS of ``n`` documents, all if there are fewer: those whose
+    hash, as one of 2^53 numbers, is below that share."""
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53)
+    return docs.filter(place < min(1.0, SAMPLE_DOCS / max(n, 1)))
+
+
 def fit(docs: DataFrame) -> dict[str, np.ndarray] | None:
     """Weights trained on a bounded sample; None where nothing is labelled."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    sample = sample_of(docs, docs.count()).select("text")
     rows = sample.mapInArrow(_sample, "text string, spans array<array<int>>").distinct()
     kept = rows.withColumn("_h", F.xxhash64("text", "spans")).orderBy("_h", "text").limit(SAMPLE_WINDOWS)
     windows = [(r.text, [tuple(s) for s in r.spans]) for r in kept.collect()]
@@ -478,9 +498,9 @@ def _tagger(weights):
     return run
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """Spans and counts for every row of ``docs (doc_id, text, ...)``; counts
-    and digest are of the base spans."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    weights = docs.sparkSession.sparkContext.broadcast(fit(d))
-    return d.mapInArrow(_tagger(weights), FOUND)
+    and digest are of the base spans. ``weights`` are those of an earlier fit."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(d) if weights is None else weights)
+    return d.mapInArrow(_tagger(shared), FOUND)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, linedup, minmax, packing, pii, toxicity
 
@@ -540,6 +541,89 @@ def test_sample_holds_different_windows(spark, private_docs, monkeypatch):
     assert len(windows) == len(set(windows)) > 300
 
 
+def test_base_patterns_equal_the_contract():
+    """All four kinds against the stated patterns on random texts."""
+    rules = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+                                     r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+    def plain(text):
+        out = []
+        for kind, rule in enumerate(rules):
+            for m in rule.finditer(text):
+                d = [int(c) for c in m.group() if c in "0123456789"]
+                luhn = sum(x * (1 + i % 2) - 9 * (x * (1 + i % 2) > 9) for i, x in enumerate(reversed(d))) % 10 == 0
+                if [True, all(int(x) <= 255 for x in m.group().split(".")) if kind == 1 else True,
+                        12 <= len(d) <= 19 and luhn, 9 <= len(d) <= 15][kind]:
+                    out.append((m.start(), kind, m.end()))
+        return sorted(out)
+
+    r = np.random.default_rng(8)
+    alphabets = ["0123456789.", "01 -+().", "4111 1-", "a@.b0", "25.+@ a-()", "٣1.2"]
+    for _ in range(6000):
+        letters = alphabets[r.integers(len(alphabets))]
+        t = "".join(letters[k] for k in r.integers(0, len(letters), r.integers(0, 45)))
+        assert pii.base_spans(t) == plain(t), t
+    zeros = "0" * 45 + "1.2.3.4"
+    assert pii.base_spans(zeros) == [(0, 1, len(zeros))] == plain(zeros)
+
+
+@pytest.mark.parametrize("unit", ["1", "1.", "1 ", "+1 (", "a@", "@a.", "(", "( ", "at ", "1a"])
+def test_long_texts_take_linear_time(unit):
+    import time
+    t = time.time()
+    pii.base_spans(unit * (1_000_000 // len(unit)))
+    assert time.time() - t < 4
+
+
+def test_sample_share_of_huge_corpora(spark):
+    """The share is never 0: of a corpus of 10^11 rows as many are taken as of a small one."""
+    docs = spark.range(4_000_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert 15 <= pii.sample_of(docs, 4 * 10 ** 9 // 1).count() <= 27
+    some = pii.sample_of(docs, 10 ** 11)._jdf.queryExecution().optimizedPlan().toString()
+    assert "2.0E-7" in some
+    assert pii.sample_of(docs.limit(100), 100).count() == 100
+
+
+def test_viterbi_equals_all_paths():
+    from itertools import product
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        e, trans = r.normal(size=(4, 2, 3)), r.normal(size=(3, 3))
+        got = pii.viterbi(e, trans)
+        for n in range(2):
+            best = max(product(range(3), repeat=4), key=lambda p: sum(e[i, n, k] for i, k in enumerate(p)) + sum(
+                trans[a, b] for a, b in zip(p, p[1:])))
+            assert tuple(got[:, n]) == best
+
+
+def test_recall_of_disguised_spans(spark):
+    """Disguised spans planted into the given documents: how many the model
+    finds; figures are in the README."""
+    from conftest import SF_MID
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text")
+    weights = pii.fit(docs)
+    r = np.random.default_rng(12)
+    clean = [t for _, t in docs.orderBy("doc_id").collect() if t and not pii.base_spans(t) and 200 < len(t) < 4000][:240]
+    rows, planted = [], []
+    for i, text in enumerate(clean):
+        kind = i % 4
+        span = [f"{['kim', 'jo.lee', 'a_smith'][r.integers(3)]}@{['host', 'mail'][r.integers(2)]}.{['org', 'com'][r.integers(2)]}",
+                ".".join(str(r.integers(256)) for _ in range(4)), ["4111111111111111", "5500005555555559"][r.integers(2)],
+                f"+1{r.integers(200, 999)}555{r.integers(1000, 9999)}"][kind]
+        form = pii.disguise(kind, span, r, re.findall("[a-z]{3,8}", text))
+        at = text.find(" ", r.integers(0, len(text) - 100))
+        rows.append((i, f"{text[:at]} {form} {text[at:]}"))
+        planted.append((at + 1, kind, at + 1 + len(form)))
+    assert pii.base_spans(" ".join(f for _, f in rows[:0])) == []
+    hit = [0] * 4
+    for row in pii.find_personal_data(docs_of(spark, rows), weights).collect():
+        s, k, e = planted[row.doc_id]
+        spans = [x.split(":") for x in row.spans.split(",") if x]
+        hit[k] += any(x[0] == pii.KINDS[k] and int(x[1]) < e and int(x[2]) > s for x in spans)
+    print("recall", {pii.KINDS[k]: hit[k] / 60 for k in range(4)})
+    assert sum(hit) >= 0.6 * len(rows), hit
+
+
 # --- the pipeline -------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, toxic_corpus, tmp_path):
