@@ -1,74 +1,139 @@
 """Cross-series correlation (A3, J3), correlation groups (A7), nearest series.
 
-No pair rows are ever materialised per time step: series are packed into one
-vector per ``t`` (a group of at most S values) and the S x S co-moments of
-values, squares and presence come from one Gram pass (per-partition partial
-sums, tree-reduced), so gaps and NULLs are pairwise complete. The result, like the reference's correlation matrix, is
-S x S; it is intended for S up to a few thousand series.
+A tiled Gram: series are numbered and cut into tiles of ``TILE``, steps into
+ranges of ``STEPS``; a (tile, range) is one packed row. Every pair of tiles is
+one key: its tasks multiply the two tiles' values, squares and presence range
+by range, partial sums (200 KB) meet in two steps per pair of tiles, and pairs
+of series come out there, so gaps and NULLs are pairwise complete and nothing
+of size series^2 is ever in one place. A threshold on |r| is applied inside the pair of tiles, so
+groups read only the links they need.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import threshold_pred
+from ..session import stored
+from ..sources.tables import row_index
 from .components import component_labels
 
+TILE = 64
+STEPS = 2048
+BUCKETS = 32
+
 
 def series_order(panel: DataFrame) -> list[str]:
     """Sorted series keys (O(series) to the driver)."""
     return [r[0] for r in panel.select("sid").distinct().orderBy("sid").collect()]
 
 
-def masked_gram(panel: DataFrame, value: str = "v") -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Series keys and, for every pair (i, j) over the steps where both are
-    present: n, sum of i, sum of squares of i, sum of products.
-
-    Per step the present values (less their series' mean, against
-    cancellation), their squares and the presence mask form one vector of
-    length 3S; its Gram matrix is summed in the JVM (partial sums, tree
-    reduced). Missing rows and NULL cells count as absent."""
-    sids = series_order(panel)
-    s = len(sids)
-    if s == 0:
-        return sids, *[np.zeros((0, 0))] * 4
+def _tiles(panel: DataFrame, value: str, tile: int, steps: int) -> tuple[DataFrame, DataFrame]:
+    """Packed cells ``tile, part, cells (place in tile, step, value)`` of values
+    less their series' mean (against cancellation), and each tile's keys."""
+    every = panel.select("sid").distinct()
+    place = row_index(every, "sid", "pos").withColumn("tile", F.floor(F.col("pos") / tile)).withColumn(
+        "at", (F.col("pos") % tile).cast("int"))
+    place = stored(place.drop("pos"), "series")
     mean = panel.groupBy("sid").agg(F.avg(value).alias("_mu"))
-    place = panel.sparkSession.createDataFrame(list(zip(sids, range(s))), "sid string, _pos int")
-    rows = (panel.join(mean, "sid").join(F.broadcast(place), "sid")  # one row per series
-            .filter(F.col(value).isNotNull()).select("t", "_pos", (F.col(value) - F.col("_mu")).alias("_d")))
-    packed = rows.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_d"))).alias("_m"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda i: F.try_element_at("_m", i))
-    vec = F.concat(F.transform(every, lambda d: F.coalesce(d, F.lit(0.0))),
-                   F.transform(every, lambda d: F.coalesce(d * d, F.lit(0.0))),
-                   F.transform(every, lambda d: F.when(d.isNull(), 0.0).otherwise(1.0)))
-    ml = packed.select(array_to_vector(vec).alias("v"))
-    g = RowMatrix(MLUtils.convertVectorColumnsFromML(ml, "v")).computeGramianMatrix().toArray()
-    d, q, m = slice(0, s), slice(s, 2 * s), slice(2 * s, 3 * s)
-    return sids, g[m, m], g[d, m], g[q, m], g[d, d]
-
-
-def pair_moments(panel: DataFrame, value: str = "v") -> DataFrame:
+    cells = (panel.filter(F.col(value).isNotNull()).join(mean, "sid").join(place, "sid")
+             .select("tile", F.floor(F.col("t") / steps).alias("part"), "at", F.pmod("t", F.lit(steps)).cast("int").alias("step"),
+                     (F.col(value) - F.col("_mu")).alias("d")))
+    packed = cells.groupBy("tile", "part").agg(F.collect_list(F.struct("at", "step", "d")).alias("c"))
+    packed = packed.select("tile", "part", F.col("c.at").alias("at"), F.col("c.step").alias("step"), F.col("c.d").alias("d"))
+    keys = place.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("at", "sid"))).alias("k")).select(
+        "tile", F.col("k.sid").alias("keys"))
+    return stored(packed, "tiles"), keys
+
+
+def _products(tile: int, steps: int):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _sums(it, tile, steps)
+    return run
+
+
+def _dense(at, step, d, tile: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    x, m = np.zeros((steps, tile)), np.zeros((steps, tile))
+    x[step, at] = d
+    m[step, at] = 1.0
+    return x, m
+
+
+def _sums(it: Iterator[pd.DataFrame], tile: int, steps: int) -> Iterator[pd.DataFrame]:
+    """Sums over a task's ranges, per pair of tiles: n, and for both sides the
+    sums and sums of squares over common steps, and the products."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    bucket = TaskContext.get().partitionId() % BUCKETS
+
+    def flush():
+        for k, v in held.items():
+            yield pd.DataFrame({"a": [k[0]], "b": [k[1]], "bucket": [bucket], "sums": [v.tobytes()]})
+        held.clear()
+
+    for pdf in it:
+        for r in pdf.itertuples():
+            (x, m), (y, n) = _dense(r.at, r.step, r.d, tile, steps), _dense(r.at_b, r.step_b, r.d_b, tile, steps)
+            g = np.stack([m.T @ n, x.T @ n, m.T @ y, (x * x).T @ n, m.T @ (y * y), x.T @ y])
+            if (r.a, r.b) in held:
+                held[r.a, r.b] += g
+            else:
+                held[r.a, r.b] = g
+            if len(held) > 128:
+                yield from flush()
+    yield from flush()
+
+
+def _added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"a": [key[0]], "b": [key[1]], "sums": [sum(np.frombuffer(s, np.float64) for s in pdf["sums"]).tobytes()]})
+
+
+def _pairs(tile: int, least: float | None, upper: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros(6 * tile * tile)
+        for s in pdf["sums"].dropna():
+            sums += np.frombuffer(s, np.float64)
+        k, sx, sy, sxx, syy, sxy = sums.reshape(6, tile, tile)
+        a, b = pdf["keys_a"].iloc[0], pdf["keys_b"].iloc[0]
+        i, j = np.triu_indices(tile, 1) if key[0] == key[1] else map(np.ravel, np.indices((tile, tile)))
+        inside = (i < len(a)) & (j < len(b))
+        i, j = i[inside], j[inside]
+        k, sx, sy, sxx, syy, sxy = (g[i, j] for g in (k, sx, sy, sxx, syy, sxy))
+        with np.errstate(all="ignore"):
+            c, vx, vy = sxy - sx * sy / k, sxx - sx * sx / k, syy - sy * sy / k
+            varies = (vx > 1e-12 * sxx) & (vy > 1e-12 * syy) & (k > 1)
+            r = np.where(varies, np.clip(c / np.sqrt(vx * vy), -1.0, 1.0), np.nan)
+            cov = np.where(k > 1, c / (k - 1), np.nan)
+            keep = np.ones(len(r), bool) if least is None else (np.abs(r) > least) & (np.abs(r) < upper)
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"sid_a": np.array(a, object)[i], "sid_b": np.array(b, object)[j], "n_common": k[keep].astype("int64"),
+                             "cov": cov[keep], "r": r[keep]})
+    return run
+
+
+def pair_moments(panel: DataFrame, value: str = "v", least: float | None = None, upper: float = 1.0,
+                 tile: int = TILE, steps: int = STEPS) -> DataFrame:
     """(sid_a, sid_b, n_common, cov, r) for every pair a < b over their common
-    steps; r is NULL where either is constant there (T19)."""
-    sids, n, total, square, product = masked_gram(panel, value)
-    i, j = np.triu_indices(len(sids), 1)
-    k, sx, sy = n[i, j], total[i, j], total[j, i]
-    with np.errstate(all="ignore"):
-        sxy = product[i, j] - sx * sy / k
-        sxx, syy = square[i, j] - sx * sx / k, square[j, i] - sy * sy / k
-        varies = (sxx > 1e-12 * square[i, j]) & (syy > 1e-12 * square[j, i]) & (k > 1)
-        r = np.clip(sxy / np.sqrt(sxx * syy), -1.0, 1.0)
-        cov = sxy / (k - 1)
-    keys = np.array(sids, object)
-    frame = pd.DataFrame({"sid_a": keys[i], "sid_b": keys[j], "n_common": k.astype("int64"),
-                          "cov": np.where(k > 1, cov, np.nan), "r": np.where(varies, r, np.nan)})
-    out = panel.sparkSession.createDataFrame(frame, "sid_a string, sid_b string, n_common long, cov double, r double")
+    steps; r is NULL where either is constant there (T19). With ``least`` only
+    pairs of least < |r| < upper."""
+    tiles, keys = _tiles(panel.select("sid", "t", value), value, tile, steps)
+    ka, kb = (keys.select(F.col("tile").alias(n), F.col("keys").alias(f"keys_{n}")) for n in "ab")
+    n_tiles = keys.count()
+    left = tiles.select(F.col("tile").alias("a"), "part", "at", "step", "d", F.explode(
+        F.sequence(F.col("tile"), F.lit(max(n_tiles - 1, 0)).cast("long"))).alias("b"))
+    right = tiles.select(F.col("tile").alias("b"), "part", *[F.col(c).alias(f"{c}_b") for c in ("at", "step", "d")])
+    sums = left.join(right, ["b", "part"]).mapInPandas(_products(tile, steps), "a long, b long, bucket int, sums binary")
+    sums = sums.groupBy("a", "b", "bucket").applyInPandas(_added, "a long, b long, sums binary")
+    # pairs of tiles without a common range have no row there, and no common step
+    every = ka.select("a", F.explode(F.sequence(F.col("a"), F.lit(max(n_tiles - 1, 0)).cast("long"))).alias("b"))
+    found = every.join(sums, ["a", "b"], "left").join(ka, "a").join(kb, "b")
+    out = found.groupBy("a", "b").applyInPandas(
+        _pairs(tile, least, upper), "sid_a string, sid_b string, n_common long, cov double, r double")
     null = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("sid_a", "sid_b", "n_common", null("cov"), null("r"))
 
@@ -98,8 +163,7 @@ def corr_groups(panel: DataFrame, threshold: float = 0.8, upper: float = 1.0,
     """Series linked when threshold < |r| < upper; groups are the
     connected components (T12 re-aimed); a series with fewer than
     ``min_degree`` links stays alone."""
-    r = corr_matrix(panel, value)
-    edges = r.filter(threshold_pred(F.col("r"), threshold, upper))
+    edges = pair_moments(panel, value, threshold, upper).filter(threshold_pred(F.col("r"), threshold, upper))
     if min_degree > 1:
         deg = edges.select(F.col("sid_a").alias("sid")).unionByName(
             edges.select(F.col("sid_b").alias("sid"))).groupBy("sid").count()
