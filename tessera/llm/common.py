@@ -34,6 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def fresh_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def byte_table(keep: bytes) -> bytes:
     """A translation table: A-Z to a-z, bytes of ``keep`` as they are, all
     others to a blank, so that ``translate().split()`` yields the words."""

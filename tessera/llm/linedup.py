@@ -22,7 +22,9 @@ Plan
 2. Keys with up to ``SMALL`` different lines give their candidate pairs. Larger
    ones only give (key, line) rows; such a unit is verified in pairs of blocks
    inside tasks, which emit link counts and joining links, never all pairs. A
-   pair that several units share counts in the smallest only.
+   pair that several units share counts in the smallest only. Inside a block
+   pair, lengths and counts of characters (which two edits change by four at
+   most) rule out nearly all pairs in bulk before any is verified.
 3. Components of the links, and one pass over the line occurrences.
 
 Line identities are 63-bit hashes of whole lines. The texts of candidate
@@ -49,7 +51,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
 from ..session import stored
-from .common import batches, link_rows, mix64
+from .common import batches, fresh_names, link_rows, mix64
 
 EDITS = 2
 MIN_CHARS = 6
@@ -59,6 +61,7 @@ SMALL = 12
 BLOCK = 256
 SMALL_IDS = 1_000_000
 SEEN_LINES = 1 << 17
+MOST_TASKS = 2000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -232,6 +235,19 @@ def _verify(edits: int):
     return run
 
 
+COUNTED = 64
+
+
+def char_counts(lines: list[str]) -> np.ndarray:
+    """Characters of each line by code point modulo COUNTED. One edit changes
+    two counts by one at most, so lines within k edits differ by 2 k in sum."""
+    out = np.zeros((len(lines), COUNTED), np.int16)
+    for i, t in enumerate(lines):
+        c = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % COUNTED, minlength=COUNTED)
+        out[i] = np.minimum(c, 30_000)      # cut counts differ by no more than whole ones
+    return out
+
+
 def unit_links(edits: int):
     """For one large key's pair of blocks: the number of links of each line,
     counted where the key is the smallest that both lines share, and links that
@@ -250,8 +266,11 @@ def unit_links(edits: int):
             return c
 
         out = []
+        counts = char_counts(text)
         for i in asks:
-            for k in data[np.abs(size[data] - size[i]) <= edits]:
+            near = data[np.abs(size[data] - size[i]) <= edits]
+            near = near[np.abs(counts[near] - counts[i]).sum(1, dtype=np.int32) <= 2 * edits]
+            for k in near:
                 a, b = ids[i], ids[k]
                 if a == b or min(units[i] & units[k]) != unit or not within(text[i], text[k], edits):
                     continue
@@ -266,17 +285,17 @@ def unit_links(edits: int):
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, text, id`` for each line; ``id`` is null for lines that
-    do not take part."""
+    """``doc_id, line, text, id`` for each line; ``id`` is null for empty lines."""
     d = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     d = d.withColumn("text", F.trim("text"))
-    return d.withColumn("id", F.when(F.char_length("text") >= MIN_CHARS, F.xxhash64("text").bitwiseAND(F.lit(-2))))
+    return d.withColumn("id", F.when(F.col("text") != "", F.xxhash64("text").bitwiseAND(F.lit(-2))))
 
 
 def link_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """(links ``a, b`` that span every class of near-equal lines, counts ``id,
     n_links``) of ``lines (id, text)``."""
+    lines = lines.filter(F.char_length("text") >= MIN_CHARS)
     rows = lines.filter("id is not null").select("id", "text").mapInArrow(_key_rows(edits), "key long, x long")
     found = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_matches, "unit long, a long, b long"),
                    "matches")
@@ -299,7 +318,10 @@ def link_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
     placed = (member.withColumns({"i": key, "j": each, "asks": F.lit(True)})
               .unionByName(member.withColumns({"j": key, "i": each, "asks": F.lit(False)}))
               .join(known.withColumnRenamed("text", "line"), "id"))
-    large = stored(placed.groupBy("unit", "i", "j").applyInPandas(unit_links(edits), "a long, b long, n long"), "links")
+    # a fixed number of tasks: the rows are few and small, the work on each block pair is not
+    n_pairs = size.agg(F.sum(F.col("blocks").cast("long") * F.col("blocks"))).first()[0] or 1
+    dealt = placed.repartition(max(1, min(int(n_pairs), MOST_TASKS)), "unit", "i", "j")
+    large = stored(dealt.groupBy("unit", "i", "j").applyInPandas(unit_links(edits), "a long, b long, n long"), "links")
     links = small.unionByName(large.filter("b is not null").select("a", "b"))
     counts = (small.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n"))
               .unionByName(large.filter("b is null").select(F.col("a").alias("id"), "n"))
@@ -313,11 +335,13 @@ def classify_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     other line texts within ``edits`` edits."""
     lines = document_lines(docs)
     links, counts = link_lines(lines, edits)
-    label = component_labels(links).withColumnRenamed("node", "id")
+    # written tables on both sides of the joins below, so that adaptive execution may split a hot class or line
+    label = stored(component_labels(links).withColumnRenamed("node", "id"), "labels")
     occurrences = stored(lines.select("doc_id", "line", "id"), "occurrences")
     named = (occurrences.filter("id is not null").join(label, "id", "left")
              .withColumn("class", F.coalesce("component", "id")))
-    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("k"))
+    first = stored(named.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("k")), "first")
+    counts = stored(counts, "counts")
     # a class of one occurrence needs no join
     many = named.join(first.filter("k > 1"), "class").join(counts, "id", "left").select(
         "doc_id", "line", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -338,20 +362,23 @@ def _removable(line):
 
 def remove_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` without the long lines that repeat an earlier one, columns unchanged."""
-    gone = classify_lines(docs, edits).filter("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_set("line").alias("_gone"))  # at most a document's own lines
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    by, gone, rest = fresh_names(docs, "_doc", "_gone", "_rest")
+    repeats = classify_lines(docs, edits).filter("not kept").groupBy(F.col("doc_id").alias(by)).agg(
+        F.collect_list("line").alias(gone))  # at most a document's own lines
+    kept = docs.join(repeats, F.col("doc_id").cast("long") == F.col(by), "left")
     lines = F.split("text", "\n")
-    rest = F.filter(lines, lambda x, i: ~(F.array_contains(F.col("_gone"), i) & _removable(x)))
-    touched = F.col("_gone").isNotNull() & F.col("text").isNotNull() & (F.size(rest) < F.size(lines))
-    out = kept.withColumn("_rest", F.when(touched, rest)).filter("_rest is null or size(_rest) > 0")
-    text = F.when(F.col("_rest").isNotNull(), F.array_join("_rest", "\n")).otherwise(F.col("text"))
+    out_of = F.filter(gone, lambda i: _removable(F.element_at(lines, i + 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out_of)      # by hash, not line by line
+    touched = F.col(gone).isNotNull() & F.col("text").isNotNull() & (F.size(out_of) > 0)
+    out = kept.withColumn(rest, F.when(touched, F.transform(left, lambda i: F.element_at(lines, i + 1)))).filter(
+        F.col(rest).isNull() | (F.size(rest) > 0))
+    text = F.when(F.col(rest).isNotNull(), F.array_join(rest, "\n")).otherwise(F.col("text"))
     cols = []
     for f in docs.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.name == "text":
             c = text
         elif f.name == "n_chars":
-            c = F.when(F.col("_rest").isNotNull(), F.char_length(text)).otherwise(c).cast(f.dataType)
+            c = F.when(F.col(rest).isNotNull(), F.char_length(text)).otherwise(c).cast(f.dataType)
         cols.append(c.alias(f.name))
     return out.select(*cols)
