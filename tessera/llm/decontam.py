@@ -3,8 +3,15 @@
 Method (after Lee et al., "Deduplicating Training Data Makes Language Models
 Better", ACL 2022): the corpus is cut into shards, every shard gets a suffix
 array over its words, every suffix of every test item is binary-searched in
-it, and each match is extended to its full length, which gives the longest
-verbatim matches and their places.
+it, and each place where a match begins is extended to its full length, which
+gives the longest verbatim matches and their places.
+
+Equal windows of several items are one class, searched once, and a match is
+extended in the items' own suffix array, where all suffixes that still agree
+are one range. So a prompt that thousands of items and documents share costs
+what one item's does: a row never holds a list by (document, item), but the key
+of a set of items. A task writes out each set once; the sets, as many as
+different combinations of matched classes, are joined by key afterwards.
 
 A shard is one Arrow batch (about ``SHARD_BYTES`` of text), so the whole search
 is one pass over the documents without a shuffle, a hot source or passage
@@ -14,8 +21,9 @@ ends every match, and a match of a whole window needs a run of at least
 ``min(window, shortest item)`` known words. Only such runs are sorted.
 
 The test items are the stated query set. They are sent to the tasks in blocks
-of at most ``BLOCK_BYTES`` of text; a larger benchmark takes several passes,
-whose matches are united per row, by row numbers in a written table.
+of at most ``BLOCK_BYTES`` of text, one block at a time; a larger benchmark
+takes several passes, whose matches are united per row, by row numbers in a
+written table.
 
 Defined cases: null and wordless texts have no words and are never
 contaminated; items without words match nothing; items that share an id are
@@ -37,14 +45,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import PLAIN_WORDS, batches
+from .common import PLAIN_WORDS, batches, fresh_names
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
+SEEN_SETS = 1 << 14
 
-MATCH = "struct<item_id:string,item_start:int,doc_start:int,n_words:int>"
-FOUND = f"struct<n_words:bigint,matches:array<{MATCH}>>"
+#: a match: its place in the document, its length, and one item (of all that hold it) with the place there
+MATCH = "struct<doc_start:int,n_words:int,item_id:string,item_start:int>"
+#: hits: the runs of hit words; items: the ids of a set, where a task meets it first
+FOUND = (f"struct<n_words:bigint,hits:array<struct<a:bigint,b:bigint>>,matches:array<{MATCH}>,item_set:string,"
+         "items:array<string>>")
 
 
 class TestItems:
@@ -75,9 +87,23 @@ class TestItems:
         # equal windows are searched once; `member` lists the suffixes of each
         keys = np.hstack([heads, length[:, None].astype(np.int32)])
         self.heads, group = np.unique(keys, axis=0, return_inverse=True) if len(item) else (keys, np.zeros(0, int))
-        order = np.argsort(group, kind="stable")
-        self.item, self.offset = item[order], offset[order]
+        # the suffixes of a class in the order of the items' suffix array
+        source = self.start[item] + offset if len(item) else np.zeros(0, np.int64)
+        rank = np.empty(len(self.words), np.int64)
+        rank[suffix_array(self.words, int(self.size.max(initial=0)) + 1)] = np.arange(len(self.words))
+        order = np.lexsort((rank[source], group)) if len(item) else np.zeros(0, np.int64)
+        self.item, self.offset, self.source = item[order], offset[order], source[order]
         self.first = np.searchsorted(group[order], np.arange(len(self.heads) + 1))
+        # the word before all of a class's windows, if it is the same one: 0 else
+        before = np.where(self.offset > 0, self.words[self.source - 1], 0) if len(item) else np.zeros(0, np.int32)
+        low, high = ((np.minimum.reduceat(before, self.first[:-1]), np.maximum.reduceat(before, self.first[:-1]))
+                     if len(item) else (before, before))
+        self.left = np.where(low == high, low, 0)
+
+    def ids_of(self, classes: np.ndarray) -> list[str]:
+        """The sorted different ids of all items that hold a window of these classes."""
+        _, s = _ranges(self.first[classes], self.first[classes + 1])
+        return sorted({self.ids[i] for i in np.unique(self.item[s]).tolist()})
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -128,69 +154,108 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of]
 
 
+def _narrow(items: TestItems, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ranges of suffixes, equal up to ``depth``, that go on with ``word``."""
+    ends = []
+    for upper in (False, True):
+        a, b = lo.copy(), hi.copy()
+        while (live := np.flatnonzero(a < b)).size:
+            mid = (a[live] + b[live]) >> 1
+            here = items.words[items.source[mid] + depth[live]]
+            right = (here <= word[live]) if upper else (here < word[live])
+            a[live[right]] = mid[right] + 1
+            b[live[~right]] = mid[~right]
+        ends.append(a)
+    return ends[0], ends[1]
+
+
 def search_shard(texts: list[bytes | None], items: TestItems, window: int = WINDOW
-                 ) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Word counts, and all maximal matches as arrays (document, item,
-    item_start, doc_start, n_words), of one shard."""
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of one shard: word counts; the runs of hit words (document, first, end);
+    the classes of matched windows (document, class), each once; and where
+    matches begin: (document, place, length, item, place in it)."""
     get, coded, n_words = items.vocabulary.get, [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         w = [] if t is None else t.translate(PLAIN_WORDS).split()
         n_words[i] = len(w)
         coded.append(np.fromiter(map(get, w, repeat(0)), np.int32, len(w)))
         coded.append(np.zeros(1, np.int32))
-    none = [np.zeros(0, np.int64)] * 5
+    none = n_words, np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64), [np.zeros(0, np.int64)] * 5
     if not items.shortest:
-        return n_words, none
+        return none
     flat = np.concatenate([np.zeros(1, np.int32), *coded])  # a 0 before, between and after the texts
     edge = np.flatnonzero(np.diff((flat > 0).astype(np.int8)))  # word runs are (edge[2k], edge[2k + 1]]
     a, b = edge[0::2] + 1, edge[1::2] + 2  # with the 0 behind the run
     long = b - a > items.shortest
     _, place = _ranges(a[long], b[long])
     if len(place) == 0:
-        return n_words, none
+        return none
     text = flat[place]
     order = suffix_array(text, window)
     order = order[text[order] > 0]
     lo = _bounds(text, order, items.heads, window, False)
     hi = _bounds(text, order, items.heads, window, True)
-    of, at = _ranges(lo, hi)
-    p, win = order[at], of
-    # every suffix with that window; keep a match only where it begins
-    k, s = _ranges(items.first[win], items.first[win + 1])
-    p, item, offset = p[k], items.item[s], items.offset[s]
-    source = items.start[item] + offset
-    begins = (offset == 0) | (flat[place[p] - 1] != items.words[source - 1])
-    p, item, offset, source = p[begins], item[begins], offset[begins], source[begins]
-    length = np.minimum(items.size[item], window)
-    grow = np.arange(len(p))
+    win, at = _ranges(lo, hi)
+    where = place[order[at]]                                        # in `flat`
+    begin = np.concatenate([[0], np.cumsum(n_words + 1)]) + 1       # first word of each text in `flat`
+    doc = np.searchsorted(begin, where, "right") - 1
+    size = items.heads[win, window].astype(np.int64)
+    cover = np.zeros(len(flat) + 1, np.int32)
+    np.add.at(cover, where, 1)
+    np.add.at(cover, where + size, -1)
+    hit = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])))
+    first, end = hit[0::2], hit[1::2]                               # runs never reach over a text's end
+    of = np.searchsorted(begin, first, "right") - 1
+    runs = np.stack([of, first - begin[of], end - begin[of]], 1) if len(first) else none[1]
+    classes = np.unique(np.stack([doc, win], 1), axis=0)
+    # a window whose predecessors all agree with the text goes on from the place before
+    starts = (items.left[win] == 0) | (items.left[win] != flat[where - 1])
+    win, where, doc, size = win[starts], where[starts], doc[starts], size[starts]
+    lo, hi, length = items.first[win], items.first[win + 1], size.copy()
+    grow = np.flatnonzero(flat[where + length] > 0)
     while len(grow):
-        nxt = items.words[source[grow] + length[grow]]
-        grow = grow[(nxt > 0) & (flat[place[p[grow]] + length[grow]] == nxt)]
+        x, y = _narrow(items, lo[grow], hi[grow], length[grow], flat[where[grow] + length[grow]])
+        grow, x, y = grow[x < y], x[x < y], y[x < y]
+        lo[grow], hi[grow] = x, y
         length[grow] += 1
-    begin = np.concatenate([[0], np.cumsum(n_words + 1)]) + 1  # first word of each text in `flat`
-    doc = np.searchsorted(begin, place[p], "right") - 1
-    return n_words, [doc, item, offset, place[p] - begin[doc], length]
+        grow = grow[flat[where[grow] + length[grow]] > 0]
+    return n_words, runs, classes, [doc, where - begin[doc], length, items.item[lo], items.offset[lo]]
+
+
+def _lists(doc: np.ndarray, n: int, fields: dict[str, pa.Array]) -> pa.ListArray:
+    """Rows sorted by ``doc`` as one list of structs for each of ``n`` documents."""
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
 
 
-def _searcher(shared, index: int, keep: list[int]):
+def _searcher(shared, block: int, index: int, keep: list[int]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = None
-        ids = None
+        items, seen = None, set()
         for b in batches(it, SHARD_BYTES):
             if items is None:
                 items = TestItems(shared.value)
                 ids = np.array(items.ids, object)
-            n_words, (doc, item, off, at, length) = search_shard(
+            n_words, runs, classes, (doc, at, length, item, off) = search_shard(
                 b.column(index).cast(pa.binary()).to_pylist(), items)
-            order = np.lexsort((item, at, doc))
-            offsets = np.searchsorted(doc[order], np.arange(b.num_rows + 1))
-            m = pa.StructArray.from_arrays(
-                [pa.array(ids[item[order]], pa.string()), pa.array(off[order], pa.int32()),
-                 pa.array(at[order], pa.int32()), pa.array(length[order], pa.int32())],
-                names=["item_id", "item_start", "doc_start", "n_words"])
+            order = np.lexsort((length, at, doc))
+            keys, lists = [None] * b.num_rows, [None] * b.num_rows
+            cut = np.searchsorted(classes[:, 0], np.arange(b.num_rows + 1))
+            for i in np.flatnonzero(np.diff(cut)):
+                own = classes[cut[i]:cut[i + 1], 1]
+                keys[i] = f"{block}:{hashlib.md5(own.tobytes()).hexdigest()}"
+                if keys[i] not in seen:
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+                    seen.add(keys[i])
+                    lists[i] = items.ids_of(own)
             found = pa.StructArray.from_arrays(
-                [pa.array(n_words), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), m)],
-                names=["n_words", "matches"])
+                [pa.array(n_words),
+                 _lists(runs[:, 0], b.num_rows, {"a": pa.array(runs[:, 1]), "b": pa.array(runs[:, 2])}),
+                 _lists(doc[order], b.num_rows, {"doc_start": pa.array(at[order], pa.int32()), "n_words": pa.array(length[order], pa.int32()),
+                                                 "item_id": pa.array(ids[item[order]], pa.string()),
+                                                 "item_start": pa.array(off[order], pa.int32())}),
+                 pa.array(keys, pa.string()), pa.array(lists, pa.list_(pa.string()))],
+                names=["n_words", "hits", "matches", "item_set", "items"])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), found],
                                              names=[str(i) for i in range(len(keep) + 1)])
     return run
@@ -209,8 +274,10 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
 def find_matches(docs: DataFrame, benchmark: DataFrame, into: str = "found",
                  columns: list[str] | None = None) -> DataFrame:
     """The ``columns`` (default: all) of ``docs (text, ...)`` and a column
-    ``into``: the word count and all maximal verbatim matches that hold a
-    whole window of an item."""
+    ``into``: word count, runs of hit words, the longest verbatim match at each
+    place where one begins, and ``sets``, the keys of the sets of items found
+    (one for each block of the benchmark), with their ids where they are met
+    first (``items_of``)."""
     spark = docs.sparkSession
     index = docs.columns.index("text")
     columns = docs.columns if columns is None else columns
@@ -219,38 +286,52 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, into: str = "found",
     found = T.StructField("found", T._parse_datatype_string(FOUND))
     blocks = _blocks(benchmark)
 
-    def search(rows: DataFrame, block: DataFrame, index: int, keep: list[int], fields: list[T.StructField]) -> DataFrame:
-        shared = spark.sparkContext.broadcast([(r[0], None if r[1] is None else bytes(r[1])) for r in block.collect()])
-        return rows.mapInArrow(_searcher(shared, index, keep), T.StructType([*fields, found]))
+    def search(rows: DataFrame, number: int, index: int, keep: list[int], fields: list[T.StructField]):
+        items = [(r[0], None if r[1] is None else bytes(r[1])) for r in blocks[number].collect()]   # BLOCK_BYTES at most
+        shared = spark.sparkContext.broadcast(items)
+        return rows.mapInArrow(_searcher(shared, number, index, keep), T.StructType([*fields, found])), shared
 
+    sets = lambda one: F.array_compact(F.array(one["item_set"]))
     if len(blocks) == 1:
-        return search(docs, blocks[0], index, keep, fields).toDF(*columns, into)
-    # several passes: unite the matches of each row by its number in a written table
+        one, _ = search(docs, 0, index, keep, fields)
+        f = F.col("found")
+        return one.select(*(F.col(str(i)) for i in range(len(keep))), F.struct(
+            f["n_words"].alias("n_words"), f["hits"].alias("hits"), f["matches"].alias("matches"), sets(f).alias("sets"),
+            F.array(f["items"]).alias("items")).alias("found")).toDF(*columns, into)
+    # several passes, one after the other: unite the matches of each row by its number in a written table
     numbered = stored(docs.toDF(*(str(i) for i in range(len(docs.columns)))).withColumn(
         "row", F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select("row", str(index))
     whole = None
-    for block in blocks:
-        p = search(texts, block, 1, [0], [T.StructField("row", T.LongType())])
+    for number in range(len(blocks)):
+        p, shared = search(numbered.select("row", str(index)), number, 1, [0], [T.StructField("row", T.LongType())])
+        p = stored(p.toDF("row", "found"), "pass")
+        shared.unpersist()
         whole = p if whole is None else whole.unionByName(p)
-    one = whole.groupBy("row").agg(F.first("found.n_words").alias("n_words"),  # the same in all passes
-                                   F.array_distinct(F.flatten(F.collect_list("found.matches"))).alias("matches"))
-    united = one.select("row", F.struct("n_words", "matches").alias("found"))
+    f = F.col("found")
+    parts = whole.groupBy("row").agg(F.max(f["n_words"]).alias("n_words"), F.flatten(F.collect_list(f["hits"])).alias("hits"),
+                                     F.flatten(F.collect_list(f["matches"])).alias("matches"),
+                                     F.array_sort(F.collect_list(f["item_set"])).alias("sets"),
+                                     F.array_sort(F.collect_list(F.struct(f["item_set"].alias("k"), f["items"].alias("v")))).alias("pairs"))
+    united = parts.select("row", F.struct("n_words", "hits", "matches", "sets", F.transform(
+        F.filter("pairs", lambda e: e["k"].isNotNull()), lambda e: e["v"]).alias("items")).alias("found"))
     return numbered.select("row", *(str(k) for k in keep)).join(united, "row").drop("row").toDF(*columns, into)
 
 
-def _unique_name(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
+def items_of(found: DataFrame, column: str = "found") -> DataFrame:
+    """``sets, items``: the sorted ids of every combination of sets in a written
+    table of ``find_matches``."""
+    f = F.col(column)
+    pairs = found.select(F.explode(F.arrays_zip(f["sets"].alias("k"), f["items"].alias("v"))).alias("p"))
+    known = pairs.filter("p.k IS NOT NULL AND p.v IS NOT NULL").groupBy(F.col("p.k").alias("k")).agg(F.first("p.v").alias("v"))
+    combos = found.select(f["sets"].alias("sets")).distinct()
+    joined = combos.select("sets", F.explode("sets").alias("k")).join(known, "k")
+    return joined.groupBy("sets").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("items"))
 
 
-def _hit_words(matches):
-    """Number of words inside any match: the union of the spans."""
-    spans = F.array_sort(F.transform(matches, lambda m: F.struct(
-        m["doc_start"].cast("long").alias("a"), (m["doc_start"] + m["n_words"]).cast("long").alias("b"))))
+def _hit_words(hits):
+    """Number of words inside any run: the union of the runs."""
     return F.aggregate(
-        spans, F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end")),
+        F.array_sort(hits), F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end")),
         lambda u, x: F.struct((u["hit"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], u["end"]))).alias("hit"),
                               F.greatest(u["end"], x["b"]).alias("end")), lambda u: u["hit"])
 
@@ -259,23 +340,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs (doc_id, text)``: words, hit words, items found,
     their digest, the longest match and the verdict: contaminated when at
     least one word in twenty is hit."""
-    found = find_matches(docs.select("doc_id", "text"), benchmark, columns=["doc_id"])
-    m = F.col("found.matches")
-    items = F.array_sort(F.array_distinct(F.transform(m, lambda x: x["item_id"])))
-    d = found.select("doc_id", F.col("found.n_words").alias("n_words"), _hit_words(m).alias("n_hit"),
-                     items.alias("items"), F.array_max(F.transform(m, lambda x: x["n_words"])).alias("longest"))
-    return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                    ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
-                    F.coalesce("longest", F.lit(0)).cast("long").alias("longest_match"))
+    found = stored(find_matches(docs.select("doc_id", "text"), benchmark, columns=["doc_id"]), "contamination")
+    f = F.col("found")
+    items = items_of(found).select("sets", F.size("items").cast("long").alias("n_items"),
+                                   F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    d = found.select("doc_id", f["n_words"].alias("n_words"), _hit_words(f["hits"]).alias("n_hit"), f["sets"].alias("sets"),
+                     F.array_max(F.transform(f["matches"], lambda x: x["n_words"])).alias("longest"))
+    return d.join(items, "sets", "left").select(
+        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest_match"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns unchanged."""
-    into = "_found"
-    while into in docs.columns:
-        into += "_"
+    (into,) = fresh_names(docs, "_found")
     found = find_matches(docs, benchmark, into)
-    hit = _hit_words(F.col(f"{into}.matches"))
+    hit = _hit_words(F.col(f"{into}.hits"))
     kept = found.filter(~((hit > 0) & (hit * 20 >= F.col(f"{into}.n_words"))))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import PLAIN_WORDS, batches
+from .common import PLAIN_WORDS, batches, fresh_names
 
 MAX_POSITIVE = 4000
 MAX_NEGATIVE = 8000
@@ -418,8 +418,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, columns unchanged."""
-    into = "_score"
-    while into in docs.columns:
-        into += "_"
+    (into,) = fresh_names(docs, "_score")
     s = _scored(docs, labels, docs.columns, into)
     return s.filter(F.col(into) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

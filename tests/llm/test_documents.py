@@ -67,6 +67,42 @@ def test_contamination_equals_brute_force(spark, monkeypatch, block):
     assert next(r.longest_match for r in got if r.doc_id == 13) >= 13
 
 
+def test_longest_matches_equal_brute_force(spark):
+    """Random items over few words: every document's longest match, its places, and shared beginnings."""
+    r = np.random.default_rng(21)
+    say = lambda n: " ".join(f"v{k}" for k in r.integers(0, 3, n))
+    shared = say(15)
+    items = [(k, f"{shared} {say(r.integers(0, 12))}") for k in range(12)] + [(50 + k, say(r.integers(1, 30))) for k in range(8)]
+    rows = [(k, f"{say(r.integers(0, 20))} {shared} {say(10)} {items[k % 20][1]} {say(4)}") for k in range(25)] + [(90, say(60)), (91, "")]
+    found = decontam.find_matches(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    text, item = {i: plain_words(t) for i, t in rows}, {str(i): plain_words(t) for i, t in items}
+    for row in found.collect():
+        w, best = text[row.doc_id], 0
+        for i in range(len(w)):
+            for x in item.values():
+                for j in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                        n += 1
+                    best = max(best, n if n >= min(13, len(x)) else 0)
+        assert max((m.n_words for m in row.found.matches), default=0) == best
+        for m in row.found.matches:
+            assert w[m.doc_start:m.doc_start + m.n_words] == item[m.item_id][m.item_start:m.item_start + m.n_words]
+
+
+def test_shared_prompts_stay_flat():
+    """2,000 items and 20,000 documents with one prompt: a row per document, not per pair."""
+    import time
+    prompt = " ".join(f"p{k}" for k in range(13))
+    items = decontam.TestItems([(k, f"{prompt} tail{k} more{k}".encode()) for k in range(2000)])
+    docs = [f"{prompt} own{k % 100}".encode() for k in range(20_000)]
+    t = time.time()
+    _, runs, classes, begins = decontam.search_shard(docs, items)
+    assert time.time() - t < 30
+    assert len(runs) == len(classes) == len(begins[0]) == 20_000
+    assert len(items.ids_of(classes[:1, 1])) == 2000
+
+
 def test_passes_judge_rows_not_ids(spark, monkeypatch):
     """Different texts under one id, or without an id, are judged one by one when the benchmark takes several passes."""
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 30)
@@ -369,7 +405,8 @@ def line_rows():
                 at = int(r.integers(0, len(line)))
                 line = line[:at] + "xyz"[r.integers(3)] + line[at + r.integers(0, 2):]
             lines.append(line)
-        rows.append((i, "\n".join([*lines, "short", ""])))
+        short = ["short", "ab", "café 1", "cafe 12"][r.integers(4)]
+        rows.append((i, "\n".join([*lines, short, "short", ["", "x", "word 17", "words 71"][r.integers(4)]])))
     return rows
 
 
@@ -379,7 +416,7 @@ def test_line_classes_equal_brute_force(spark, monkeypatch, small, block):
     monkeypatch.setattr(linedup, "BLOCK", block)
     rows = line_rows()
     lines = {(i, k): x.strip(" ") for i, t in rows for k, x in enumerate(t.split("\n"))}
-    texts = sorted({x for x in lines.values() if x.count(" ") >= 4})
+    texts = sorted({x for x in lines.values() if x})
     root, links = {x: x for x in texts}, dict.fromkeys(texts, 0)
 
     def top(x):
@@ -389,7 +426,7 @@ def test_line_classes_equal_brute_force(spark, monkeypatch, small, block):
 
     for k, a in enumerate(texts):
         for b in texts[k + 1:]:
-            if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+            if min(len(a), len(b)) >= linedup.MIN_CHARS and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
                 links[a] += 1
                 links[b] += 1
                 root[top(a)] = top(b)
@@ -423,6 +460,35 @@ def test_lines_without_blanks_take_part(spark):
                     3: "z" * 40 + "\nAll rights reservd\nPage up"}  # 18 code points are left
 
 
+def test_lines_with_one_common_beginning(spark):
+    """A segment that 10,000 unrelated lines share: seconds, not the square of the group in Python."""
+    import time
+    r = np.random.default_rng(2)
+    rows = [(i, "the same beginning of every line, some 40 characters " + "".join(chr(97 + c) for c in r.integers(0, 26, 40)))
+            for i in range(10_000)]
+    rows += [(20_000 + i, rows[i][1][:-1] + "#") for i in range(50)]
+    t = time.time()
+    got = {x.doc_id: x for x in linedup.classify_lines(docs_of(spark, rows)).collect()}
+    assert time.time() - t < 150
+    assert all(got[20_000 + i].first_doc_id == i and got[i].n_links == 1 for i in range(50))
+    assert sum(x.kept for x in got.values()) == 10_000
+
+
+def test_stages_with_clashing_names(spark):
+    """Helper columns clash with no column of the input, in any case."""
+    texts = [(1, "a line of some words that is long enough"), (2, "a line of some words that is long enough"), (3, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2.0, "r", 3, "k") for i, t in texts],
+                                 "doc_id long, text string, _FOUND int, _Score string, _gone double, _Doc string, _REST int, _gone_ string")
+    bench = spark.createDataFrame([("b", "nothing of this kind stands anywhere")], "item_id string, text string")
+    kept = decontam.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == 3
+    left = linedup.remove_repeated_lines(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 4)], "doc_id long, quality int, toxic int")
+    scored = toxicity.remove_toxic(docs, lab)
+    assert scored.columns == docs.columns and scored.count() <= 3
+
+
 def test_repeated_lines_go(spark):
     a, b, c = "the first line of many words", "the second line of many words", "something else with a few words"
     rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{c}\nok"), (3, f"{b[:-1]}\n{a}"), (4, f"ok\n{c}"), *APART]
