@@ -64,6 +64,8 @@ BLOCK = 256
 UNIT_ROWS = 8192
 #: pairs that may be broadcast (16 bytes each)
 SMALL_PAIRS = 250_000
+#: wanted ids that may be broadcast (8 bytes each)
+SMALL_IDS = 1_000_000
 WORD_CACHE = 1 << 17
 
 _RNG = np.random.default_rng(20240917)
@@ -216,14 +218,16 @@ def _finish(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int)
     m = stored(m.join(open_, "band"), "members")
     unit = component_labels(m.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     m = m.join(unit.select(F.col("node").alias("id"), F.col("component").alias("unit")), "id")
-    large = m.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > UNIT_ROWS * BANDS)
+    # the small sides of the joins on units are written tables, so that adaptive execution may split a hot unit
+    m = stored(m, "members")
+    large = stored(m.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > UNIT_ROWS * BANDS), "large")
     m = m.join(large.withColumnRenamed("k", "_k"), "unit", "left").withColumn(
         "unit", F.when(F.col("_k").isNull(), F.col("unit")).otherwise(F.xxhash64("band")))
     m = stored(m.select("unit", "id", "comp").distinct(), "units")
     top = (m.groupBy("unit", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("unit")
             .agg(F.max(F.struct("k", "comp")).alias("t"), F.sum("k").alias("size"))
             .select("unit", F.col("t.comp").alias("main"), "size", (F.col("size") - F.col("t.k")).alias("apart")))
-    rows = m.join(top, "unit")
+    rows = m.join(stored(top, "units"), "unit")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
     key = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     data = rows.withColumns({"j": (key % blocks("size")).cast("int"),
@@ -255,9 +259,11 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = stored(buckets, "buckets")
     shared = banded.join(buckets.select("band", "a"), "band")
     members = stored(shared.select("band", "id", "a"), "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(docs.hint("merge").join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-                  .mapInArrow(_sets, "id long, s array<long>"), "sets")
+    wanted = stored(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    # few wanted ids go to the texts; many meet them in a shuffle
+    some = (docs.join(F.broadcast(wanted), "doc_id", "left_semi") if wanted.count() <= SMALL_IDS
+            else docs.hint("merge").join(wanted, "doc_id", "left_semi"))
+    sets = stored(some.select("doc_id", "text").mapInArrow(_sets, "id long, s array<long>"), "sets")
     half = lambda side: reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"),
                                     F.col("n_shingles").alias(f"n_{side}"))
     stars = members.filter("id > a").select("a", F.col("id").alias("b")).distinct()
