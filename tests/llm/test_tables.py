@@ -281,6 +281,23 @@ def test_graph_finds_all_links(spark, monkeypatch, cap):
     assert flatgraph.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_scale(spark):
+    """Cosine does not depend on scale: components of 1e200 and 1e-200 neither overflow nor vanish."""
+    r = np.random.default_rng(6)
+    base = [r.normal(size=8) for _ in range(6)]
+    rows = [(3 * k + i, (b * s).tolist()) for k, b in enumerate(base) for i, s in enumerate((1.0, 1e200, 1e-200))]
+    got = {x.vec_id: x for x in flatgraph.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(x.n_links == 2 and x.component_id == i // 3 * 3 for i, x in got.items())
+
+
+def test_audit_counts_vectors_not_weights(spark):
+    """A heavy vector that was found does not hide many that were not."""
+    nodes = spark.createDataFrame([(i, 1_000_000 if i == 0 else 1, [1.0, i * 1e-4]) for i in range(50)],
+                                  "rep long, weight long, x array<double>")
+    counts = spark.createDataFrame([(i, 1) for i in range(50)], "rep long, n long")
+    assert abs(flatgraph.audit(nodes, counts, 0.95) - 1 / 49) < 1e-9
+
+
 # --- operator 9 ---------------------------------------------------------------------------------
 
 def chat_rows():
