@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import pct_improvement
 from ..functions.stats import count_if, r2_from_sums
 from .reshape import family_order
 
@@ -137,9 +138,14 @@ def errors_original_scale(scored: DataFrame, stats: DataFrame) -> DataFrame:
     return pooled_errors(inv).join(pooled_r2(inv), "family")
 
 
-def final_summary(scored_test: DataFrame, chosen: DataFrame, stats: DataFrame) -> DataFrame:
+#: fixed value: the R^2 of the reference's earlier run that its summary compares with
+PREVIOUS_R2 = 0.947
+
+
+def final_summary(scored_test: DataFrame, chosen: DataFrame, stats: DataFrame, previous_r2: float = PREVIOUS_R2) -> DataFrame:
     """One row for the chosen family: R^2, RMSE, MAE (scaled and
-    original), pooled original-scale R^2 and accuracy."""
+    original), pooled original-scale R^2, accuracy, and the improvement of R^2
+    over an earlier run in percent (F7)."""
     fam = chosen.select("best_family").scalar()
     s = scored_test.filter(F.col("family") == fam)
     scaled = model_comparison(s)
@@ -148,4 +154,4 @@ def final_summary(scored_test: DataFrame, chosen: DataFrame, stats: DataFrame) -
         F.col("mae").alias("mae_orig"), F.col("r2_pooled").alias("r2_pooled_orig"))
     return scaled.join(orig, "family").select(
         "family", "avg_r2", "mse", "rmse", "mae", "mse_orig", "rmse_orig", "mae_orig",
-        "r2_pooled_orig", accuracy().alias("accuracy"))
+        "r2_pooled_orig", accuracy().alias("accuracy"), pct_improvement("avg_r2", F.lit(previous_r2)).alias("improvement_pct"))

@@ -13,6 +13,13 @@ counts, never by rows). Each series is then a p x p solve on the driver:
 * Lasso covariance-form coordinate descent on (1/2n)||y - Xb||^2 + alpha|b|_1
   (sklearn objective)
 
+Where the rows are few against the features (rows x features up to
+``LOCAL_CELLS``, as in the reference's 289 x 1,546), nothing of size p^2 is
+made: ``fit_series`` groups the series by ``SERIES_GROUP``, and a task per
+group has X once, solves OLS and every Ridge alpha from one thin SVD, and Lasso
+by coordinate descent on residuals. Only coefficients leave the tasks. Longer
+inputs take the Gram pass, up to ``GRAM_WIDTH`` features.
+
 Predictions are a join of the label rows with the (series, coefficients)
 table and a JVM-side dot product; no per-series Spark job is launched.
 """
@@ -20,13 +27,20 @@ table and a JVM-side dot product; no per-series Spark job is launched.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+LOCAL_CELLS = 1 << 23
+GRAM_WIDTH = 4096
+SERIES_GROUP = 64
+
+
 class GramStats:
     """Centred cross-products of X and every series' label on a row set."""
 
@@ -116,6 +130,101 @@ def fit_linear(spark, stats: GramStats, fits: list[tuple[str, str, float]]) -> D
     return spark.createDataFrame(rows, COEF_SCHEMA)
 
 
+def solve_rows(X: np.ndarray, Y: np.ndarray, fits: list[tuple[str, str, float]]) -> dict[tuple[str, str, float], tuple]:
+    """(intercepts, coefficients p x S) of each fit from rows in memory."""
+    n, p = X.shape
+    mx, my = X.mean(0), Y.mean(0)
+    Xc, Yc = X - mx, Y - my
+    out, thin = {}, None
+    for fit in fits:
+        _, family, alpha = fit
+        if family == "Lasso":
+            beta = (_lasso(Xc.T @ Xc, Xc.T @ Yc, alpha, n) if p <= 2 * n else _lasso_rows(Xc, Yc, alpha))
+        else:
+            if thin is None:
+                thin = np.linalg.svd(Xc, full_matrices=False)
+            u, d, vt = thin
+            if family == "LinearRegression":    # minimum norm: directions without variance get no weight
+                scale = np.where(d > d.max(initial=0.0) * max(n, p) * np.finfo(float).eps, 1 / np.where(d > 0, d, 1), 0.0)
+            elif family == "Ridge":
+                scale = d / (d * d + alpha) if alpha > 0 else np.where(d > 0, 1 / np.where(d > 0, d, 1), 0.0)
+            else:
+                raise ValueError(f"not a linear family: {family!r}")
+            beta = vt.T @ (scale[:, None] * (u.T @ Yc))
+        out[fit] = (my - mx @ beta, beta)
+    return out
+
+
+def _lasso_rows(x: np.ndarray, y: np.ndarray, alpha: float, max_sweeps=10000, tol=1e-12) -> np.ndarray:
+    """Coordinate descent on residuals, all series at once; needs no p x p array."""
+    x = np.asfortranarray(x)
+    n, p = x.shape
+    beta, rest = np.zeros((p, y.shape[1])), y.copy()
+    diag, lam = (x * x).sum(0), alpha * n
+    for _ in range(max_sweeps):
+        delta = 0.0
+        for j in np.flatnonzero(diag > 0):
+            rho = x[:, j] @ rest + diag[j] * beta[j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - lam, 0.0) / diag[j]
+            d = new - beta[j]
+            if np.any(d != 0):
+                rest -= np.outer(x[:, j], d)
+                beta[j] = new
+                delta = max(delta, float(np.max(np.abs(d))))
+        if delta < tol:
+            return beta
+    raise RuntimeError(f"lasso: no convergence to {tol} in {max_sweeps} sweeps (last step {delta})")
+
+
+def fit_series(X: DataFrame, labels: DataFrame, fits: list[tuple[str, str, dict[str, float] | float]], rows=None,
+               features: str = "features", local_cells: int | None = None) -> DataFrame:
+    """Coefficients (COEF_SCHEMA) of ``fits`` = [(name, family, alpha, or alpha
+    by series)] for every series."""
+    limit = LOCAL_CELLS if local_cells is None else local_cells
+    lab = (labels if rows is None else labels.filter(rows)).filter("label IS NOT NULL")
+    sids = [r[0] for r in lab.select("sid").distinct().orderBy("sid").collect()]
+    values = vector_to_array(features) if isinstance(X.schema[features].dataType, VectorUDT) else F.col(features)
+    size = X.select(F.size(values).alias("p")).first()
+    n = lab.select(F.countDistinct("t")).first()[0]
+    by = [(name, family, a if isinstance(a, dict) else dict.fromkeys(sids, float(a))) for name, family, a in fits]
+    if size is None or n * size["p"] > limit:
+        if size is not None and size["p"] > GRAM_WIDTH:
+            raise ValueError(f"{size['p']} features of {n} rows: beyond {limit} cells at most {GRAM_WIDTH} features are solved")
+        st = gram_stats(X, labels, sids, rows, features)
+        solved = []
+        for name, family, alpha in by:
+            for a in sorted(set(alpha.values())):
+                solved += [(name, s, b0, c) for s, b0, c in solve(st, family, a) if alpha[s] == a]
+        return X.sparkSession.createDataFrame(solved, COEF_SCHEMA)
+    place = {s: i for i, s in enumerate(sids)}
+    groups = -(-len(sids) // SERIES_GROUP)
+    keys = X.sparkSession.createDataFrame([(s, i // SERIES_GROUP) for s, i in place.items()], "sid string, g int")
+    packed = lab.join(F.broadcast(keys), "sid").groupBy("g", "t").agg(      # a row per series, as many as coefficients
+        F.map_from_entries(F.collect_list(F.struct("sid", F.col("label").cast("double")))).alias("y"))
+    data = packed.join(X.select("t", values.alias("x")), "t")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x, mine = np.stack(pdf["x"].to_numpy()), sids[key[0] * SERIES_GROUP:(key[0] + 1) * SERIES_GROUP]
+        y = np.array([[dict(m).get(s, np.nan) for s in mine] for m in pdf["y"]])
+        out = []
+        present = ~np.isnan(y)
+        for pattern in {c.tobytes() for c in present.T}:        # series with the same rows are solved together
+            rows_ = np.frombuffer(pattern, bool)
+            cols = [k for k in range(len(mine)) if present[:, k].tobytes() == pattern]
+            wanted = sorted({(name, family, alpha[mine[k]]) for name, family, alpha in by for k in cols})
+            if not rows_.any():
+                continue
+            found = solve_rows(x[rows_], y[np.ix_(rows_, cols)], wanted)
+            for name, family, alpha in by:
+                for i, k in enumerate(cols):
+                    b0, beta = found[name, family, alpha[mine[k]]]
+                    out.append((name, mine[k], float(b0[i]), beta[:, i].tolist()))
+        return pd.DataFrame(out, columns=["family", "sid", "intercept", "coef"])
+
+    return data.repartition(max(1, groups), "g").groupBy("g").applyInPandas(run, COEF_SCHEMA)
+
+
 def predict_linear(X: DataFrame, labels: DataFrame, coefs: DataFrame, rows=None,
                    features: str = "features") -> DataFrame:
     """(family, sid, t, y, yhat[, split]) for the label rows in ``rows``."""

@@ -54,13 +54,8 @@ def fit_models(X: DataFrame, labels: DataFrame, families, cfg: PanelConfig, rows
     flat = [f for f in families if f in LINEAR]
     if flat:
         sids = [r[0] for r in labels.select("sid").distinct().orderBy("sid").collect()]
-        st = linear.gram_stats(X, labels, sids, rows)
-        solved = []
-        for f in flat:
-            alpha = {s: float(params.get(s, {}).get("alpha", DEFAULTS[f].get("alpha", 0.0))) for s in sids}
-            for a in sorted(set(alpha.values())):
-                solved += [(name or f, s, b0, c) for s, b0, c in linear.solve(st, f, a) if alpha[s] == a]
-        parts.append(linear_models(X.sparkSession.createDataFrame(solved, linear.COEF_SCHEMA)))
+        fits = [(name or f, f, {s: float(params.get(s, {}).get("alpha", DEFAULTS[f].get("alpha", 0.0))) for s in sids}) for f in flat]
+        parts.append(linear_models(linear.fit_series(X, labels, fits, rows)))
     for f in families:
         if f not in LINEAR:
             own = {s: trees.family_params(f, {**DEFAULTS[f], **q}, cfg.seed) for s, q in params.items()}

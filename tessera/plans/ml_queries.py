@@ -73,6 +73,21 @@ def q_svd_norms(spark, base):
     return d.scores.select("t", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("norm2"))
 
 
+@register("svd_orthogonal", O.sql(
+    "SELECT a.j AS i, b.j AS j, 0.0 AS cosine FROM (SELECT unnest(range(k)) AS j FROM kk) a "
+    "JOIN (SELECT unnest(range(k)) AS j FROM kk) b ON a.j < b.j", ["i", "j", "cosine"], ["cosine"],
+    ["kk AS (SELECT least((SELECT count(*) FROM inputs i WHERE i.t IN (SELECT t FROM hourly)) - 1, max(len(x)), "
+     f"{CFG.n_components}) AS k FROM inputs)"]))
+def q_svd_orthogonal(spark, base):
+    """Score columns are at right angles; with ``svd_norms`` that fixes the axes up to sign."""
+    s = _design(spark, base).scores.select("t", F.posexplode("x").alias("j", "v"))
+    other = s.select("t", F.col("j").alias("k"), F.col("v").alias("w"))
+    size = s.groupBy("j").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+    dot = s.join(other, "t").filter("j < k").groupBy("j", "k").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    both = dot.join(size, "j").join(size.select(F.col("j").alias("k"), F.col("size").alias("size_k")), "k")
+    return both.select(F.col("j").alias("i"), F.col("k").alias("j"), F.try_divide("dot", F.col("size") * F.col("size_k")).alias("cosine"))
+
+
 @register("explained_variance", O.sql(
     "SELECT CASE WHEN least((SELECT count(*) FROM inputs i WHERE i.t IN (SELECT t FROM hourly)), max(len(x)), "
     f"{CFG.n_components}) = max(len(x)) THEN 1.0 END AS explained_variance, "
@@ -110,6 +125,37 @@ def q_linear_one_feature(spark, base):
     return coefs.select("family", "sid", "intercept", F.col("coef")[0].alias("slope"))
 
 
+TWO = [
+    "x2 AS (SELECT t, lag1 AS a, rollmean7 AS b FROM fs WHERE sid = (SELECT min(sid) FROM scaled))",
+    "m2 AS (SELECT sid, regr_sxx(v, a) AS saa, regr_sxx(v, b) AS sbb, covar_pop(a, b) * count(*) AS sab, "
+    "regr_sxy(v, a) AS say, regr_sxy(v, b) AS sby, avg(a) AS ma, avg(b) AS mb, avg(v) AS my, count(*) AS n "
+    "FROM fs JOIN x2 USING (t) WHERE split = 'train' GROUP BY sid)",
+    # coordinate descent: each round updates both coefficients
+    "cd(sid, k, ba, bb) AS (SELECT sid, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM m2 UNION ALL "
+    "SELECT c.sid, c.k + 1, na, sign(sby - sab * na) * greatest(abs(sby - sab * na) - 0.1 * n, 0.0) / sbb "
+    "FROM (SELECT c.*, m.*EXCLUDE (sid), sign(say - sab * bb) * greatest(abs(say - sab * bb) - 0.1 * n, 0.0) / saa AS na "
+    "FROM cd c JOIN m2 m ON m.sid = c.sid WHERE c.k < 400) c)",
+    "s2 AS (SELECT 'LinearRegression' AS family, sid, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ba, "
+    "(sby * saa - say * sab) / (saa * sbb - sab * sab) AS bb FROM m2 UNION ALL "
+    "SELECT 'Ridge', sid, (say * (sbb + 1) - sby * sab) / ((saa + 1) * (sbb + 1) - sab * sab), "
+    "(sby * (saa + 1) - say * sab) / ((saa + 1) * (sbb + 1) - sab * sab) FROM m2 UNION ALL "
+    "SELECT 'Lasso', sid, ba, bb FROM cd WHERE k = 400)"]
+
+
+@register("linear_two_features", O.sql(
+    "SELECT s2.family, s2.sid, my - ba * ma - bb * mb AS intercept, ba AS slope_a, bb AS slope_b FROM s2 JOIN m2 USING (sid)",
+    ["family", "sid", "intercept", "slope_a", "slope_b"], ["intercept", "slope_a", "slope_b"], TWO))
+def q_linear_two_features(spark, base):
+    """M1-M3 on two features (the first series' lag 1 and mean of 7), every
+    series, as ``fit_*`` solve them: from the rows, without a Gram matrix."""
+    z, _ = C.scaled(C.hourly(spark, base))
+    fs = C.feat_split(z, CFG)
+    X = fs.filter(F.col("sid") == C.reference_sid(z)).select("t", F.array("lag1", "rollmean7").alias("features"))
+    labels = fs.select("sid", "t", F.col("v").alias("label"), "split")
+    coefs = linear.fit_series(X, labels, [(f, f, a) for f, a in LINEAR.items()], _is("train"))
+    return coefs.select("family", "sid", "intercept", F.col("coef")[0].alias("slope_a"), F.col("coef")[1].alias("slope_b"))
+
+
 @register("kmeans_sizes", O.sql(
     "SELECT greatest(3, least(5, count(DISTINCT sid) // 3)) AS n_groups, count(DISTINCT sid) AS n_series FROM monthly",
     ["n_groups", "n_series"], []))
@@ -128,6 +174,15 @@ def q_csv_panel(spark, base):
     return tables.wide_to_long(tables.read_wide_csv(spark, path), sids, "t")
 
 
+@register("csv_array_panel", O.sql("SELECT sid, t, v FROM monthly", ["sid", "t", "v"], ["v"]))
+def q_csv_array_panel(spark, base):
+    """S1 + S2 + P1 as for thousands of columns: the same file read as one array column."""
+    m = C.monthly(spark, base)
+    path = sinks.write_table(reshape.pivot_panel(m, correlation.series_order(m)), spark, "wide_csv", fmt="csv")
+    wide, names = tables.read_wide_array(spark, path)
+    return tables.wide_array_to_long(wide, names, "t")
+
+
 @register("kmeans_groups")
 def q_kmeans(spark, base):
     """K-means on the monthly series features, k = max(3, min(5, n // 3)), 10 restarts."""
@@ -373,6 +428,27 @@ def q_write_reports(spark, base):
     return spark.read.parquet(root["selected_features"])
 
 
+_REPORTS = (
+    "SELECT 'selected_features' AS report, idx::VARCHAR AS key, importance AS value FROM ({sel}) UNION ALL "
+    "SELECT 'model_summary', family, avg_r2 FROM avgr2 WHERE split = 'test' UNION ALL "
+    "SELECT 'difficult_series', sid, max(r2) FROM r2 WHERE split = 'val' AND family = 'persist' GROUP BY sid HAVING max(r2) < 0")
+
+
+@register("write_reports_all", O.sql(_REPORTS.format(sel=Q.ORACLE["select_by_importance"]), ["report", "key", "value"], ["value"]))
+def q_write_reports_all(spark, base):
+    """All three report tables written and read back, as (report, key, value)."""
+    s, _ = C.scored(spark, base)
+    sel = select.select_by_importance(Q._importance(spark, base), CFG.importance_threshold, CFG.min_features)
+    root = sinks.write_reports(spark, scratch_path(spark, "reports"), {
+        "selected_features": sel.orderBy(F.desc("importance")),
+        "model_summary": evaluate.model_comparison(s.filter(F.col("split") == "test")),
+        "difficult_series": evaluate.difficult_series(evaluate.series_r2(s.filter(_is("val") & (F.col("family") == "persist"))))})
+    back = {k: spark.read.parquet(p) for k, p in root.items()}
+    column = {"selected_features": ("idx", "importance"), "model_summary": ("family", "avg_r2"), "difficult_series": ("sid", "best_r2")}
+    return reshape.union_all([back[k].select(F.lit(k).alias("report"), F.col(a).cast("string").alias("key"), F.col(b).alias("value"))
+                              for k, (a, b) in column.items()])
+
+
 @register("save_model", O.sql("SELECT family, sid, 0.0 AS max_abs_diff FROM (SELECT DISTINCT sid FROM hourly), "
                               "(SELECT unnest(['LinearRegression', 'Ridge', 'Lasso', 'RandomForest', 'GradientBoosting', 'XGBoost']) AS family)",
                               ["family", "sid", "max_abs_diff"], ["max_abs_diff"]))

@@ -827,7 +827,7 @@ def q_r2_matrix(spark, base):
 
 @register("final_summary", O.sql(
     "SELECT e.family, a.avg_r2, e.mse, sqrt(e.mse) AS rmse, e.mae, o.mse_orig, sqrt(o.mse_orig) AS rmse_orig, "
-    "o.mae_orig, o.r2_pooled_orig, greatest(0.0, 1 - e.mae) AS accuracy FROM "
+    "o.mae_orig, o.r2_pooled_orig, greatest(0.0, 1 - e.mae) AS accuracy, (a.avg_r2 - 0.947) / 0.947 * 100 AS improvement_pct FROM "
     f"(SELECT family, avg((y - yhat) * (y - yhat)) AS mse, avg(abs(y - yhat)) AS mae FROM {_TEST} GROUP BY family) e "
     f"JOIN (SELECT family, avg_r2 FROM avgr2 WHERE {STEST}) a USING (family) "
     "JOIN (SELECT family, avg((y - yhat) * (y - yhat)) AS mse_orig, avg(abs(y - yhat)) AS mae_orig, "
@@ -835,8 +835,8 @@ def q_r2_matrix(spark, base):
     f"FROM {_ORIG} GROUP BY family) o USING (family) "
     "WHERE e.family = (SELECT arg_max(family, struct_pack(r := avg_r2, o := -ord)) FROM avgr2 JOIN fam USING (family) "
     f"WHERE {SVAL})",
-    ["family", "avg_r2", "mse", "rmse", "mae", "mse_orig", "rmse_orig", "mae_orig", "r2_pooled_orig", "accuracy"],
-    ["avg_r2", "mse", "rmse", "mae", "mse_orig", "rmse_orig", "mae_orig", "r2_pooled_orig", "accuracy"]))
+    ["family", "avg_r2", "mse", "rmse", "mae", "mse_orig", "rmse_orig", "mae_orig", "r2_pooled_orig", "accuracy", "improvement_pct"],
+    ["avg_r2", "mse", "rmse", "mae", "mse_orig", "rmse_orig", "mae_orig", "r2_pooled_orig", "accuracy", "improvement_pct"]))
 def q_final_summary(spark, base):
     """V10 for the family chosen on validation R^2."""
     s, st = C.scored(spark, base)

@@ -35,6 +35,28 @@ def read_wide_csv(spark: SparkSession, path: str, schema: T.StructType | None =
     return r.csv(path)
 
 
+def read_wide_array(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """S1 for files of thousands of columns: header CSV of plain numbers as one
+    array column ``x``, and the column names. One expression reads a line,
+    however many columns it has; empty cells are NULL. The header line of each
+    file is left out."""
+    lines = spark.read.text(path)
+    head = lines.first()
+    names = head[0].split(",") if head else []
+    cells = F.transform(F.split("value", ",", -1), lambda c: F.when(c != "", c.cast("double")))
+    return lines.filter(F.col("value") != F.lit(head[0] if head else "")).select(cells.alias("x")), names
+
+
+def wide_array_to_long(wide: DataFrame, names: list[str], order_by: str | None = None) -> DataFrame:
+    """P1 for an array column: the long panel ``(sid, t, v)``; steps are rows in
+    the order of the column ``order_by``, which is no series, or of the file."""
+    at = names.index(order_by) if order_by is not None else None
+    src = wide if at is None else wide.withColumn("_o", F.col("x")[at])
+    keys = F.array(*[F.lit(n) for n in names])
+    long = row_index(src, None if at is None else "_o").select("t", F.posexplode("x").alias("_i", "v"), keys.alias("_k"))
+    return long.filter(F.col("_i") != (-1 if at is None else at)).select(F.col("_k")[F.col("_i")].alias("sid"), "t", "v")
+
+
 def row_index(df: DataFrame, order_col: str | None = None, name: str = "t") -> DataFrame:
     """Dense 0-based row number without a one-partition sort.
 

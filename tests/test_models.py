@@ -185,3 +185,66 @@ def test_grid_search_over_expanding_folds(spark, design):
     win = min(rows, key=lambda r: (r[1], r[0]))
     assert abs(mse - win[1]) < 1e-12
     assert best == models.grid_points(grid)[win[0]]
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 0])
+def test_series_solved_from_rows_equal_the_gram_pass(spark, design, cells):
+    """OLS, Ridge and Lasso with p > n: a task's SVD and residual descent, or the Gram pass."""
+    X, Y, xdf, lab, sids = design
+    fits = [("o", "LinearRegression", 0.0), ("r", "Ridge", {"a": 1.0, "b": 2.0, "c": 1.0}), ("l", "Lasso", 0.1)]
+    got = {(r.family, r.sid): r for r in linear.fit_series(xdf, lab, fits, local_cells=cells).collect()}
+    st = linear.gram_stats(xdf, lab, sids)
+    for name, family, alpha in fits:
+        for s in sids:
+            want = {r[0]: r for r in linear.solve(st, family, alpha[s] if isinstance(alpha, dict) else alpha)}[s]
+            assert abs(got[name, s].intercept - want[1]) < 1e-6
+            assert np.max(np.abs(np.array(got[name, s].coef) - np.array(want[2]))) < 1e-6
+
+
+def test_series_with_own_rows(spark, design):
+    """A series that lacks steps is solved on its own rows."""
+    X, Y, xdf, lab, sids = design
+    some = lab.filter("sid != 'b' OR t % 3 != 0")
+    got = {r.sid: r for r in linear.fit_series(xdf, some, [("r", "Ridge", 1.0)]).collect()}
+    keep = np.array([t for t in range(60) if t % 3])
+    Xc, yc = _centered(X[keep], Y["b"][keep])
+    b = np.linalg.solve(Xc.T @ Xc + np.eye(X.shape[1]), Xc.T @ yc)
+    assert np.max(np.abs(np.array(got["b"].coef) - b)) < 1e-6
+
+
+def test_randomized_svd_of_wide_inputs(spark):
+    """The range finder: same singular values and scores (up to sign) on a decaying spectrum."""
+    rng = np.random.default_rng(1)
+    u, v = np.linalg.qr(rng.normal(size=(120, 120)))[0], np.linalg.qr(rng.normal(size=(300, 300)))[0]
+    A = u[:, :60] * 0.7 ** np.arange(60) @ v[:60]
+    inp = spark.createDataFrame([(t, A[t].tolist()) for t in range(120)], "t bigint, x array<double>").repartition(5).cache()
+    scores, s = reduce.svd_reduce(inp, 10, gram_width=100)
+    assert np.allclose(s, 0.7 ** np.arange(10), atol=1e-8)
+    S = np.array([r["x"] for r in scores.orderBy("t").collect()])
+    assert np.allclose(np.abs(S), np.abs(u[:, :10] * 0.7 ** np.arange(10)), atol=1e-6)
+    again = reduce.svd_reduce(inp.repartition(2), 10, gram_width=100)[1]
+    assert np.allclose(s, again, atol=1e-12)
+
+
+def test_kmeans_cost_is_that_of_its_groups(spark):
+    from tessera.operators.profile import CLUSTER_FEATURES, cluster_features
+    feats = cluster_features(panels.monthly(spark, SF_SMALL)).cache()
+    groups, cost = cluster.kmeans_groups(feats, 3, seed=1, restarts=3)
+    pdf = feats.join(groups, "sid").toPandas()
+    x = pdf[CLUSTER_FEATURES].to_numpy()
+    want = sum(((x[pdf.group_id == g] - x[pdf.group_id == g].mean(0)) ** 2).sum() for g in set(pdf.group_id))
+    assert abs(cost - want) < 1e-9 and pdf.group_id.nunique() == 3
+    assert cluster.kmeans_groups(feats.limit(0), 3)[0].count() == 0
+
+
+def test_wide_file_as_one_array_column(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    width = 4000
+    rows = [[str(r * 0.5 + c) if (r + c) % 7 else "" for c in range(width)] for r in range(6)]
+    path.write_text("\n".join([",".join(f"c{c}" for c in range(width)), *map(",".join, rows)]) + "\n")
+    wide, names = tables.read_wide_array(spark, str(path))
+    assert len(names) == width and wide.count() == 6
+    long = tables.wide_array_to_long(wide, names)
+    assert len(long._jdf.queryExecution().analyzed().toString()) < 1_000_000
+    got = {(r.sid, r.t): r.v for r in long.filter("sid in ('c0', 'c13', 'c3999')").collect()}
+    assert got == {(f"c{c}", r): (r * 0.5 + c if (r + c) % 7 else None) for c in (0, 13, 3999) for r in range(6)}

@@ -62,3 +62,14 @@ def test_registry_imports_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_other_queries_without_a_corpus_dependency():
+    """A missing library of the corpus operators takes only them away."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); sys.modules['xxhash'] = None; import __spark_entry__ as E; "
+            "q = E.queries(); assert len(q) > 90 and not any(k.startswith('op') or k == 'pipeline' for k in q), sorted(q); E.oracle_sql()")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
