@@ -9,9 +9,10 @@ sequences to a common pool, the pool is dealt out anew and packed again; this
 goes on while it saves sequences.
 
 Documents are tokenized where they lie; the text is never shuffled. Only
-(key, length) rows move, in partitions of about ``PART_ROWS`` pieces, so the
-memory of a task is bounded whatever the table's size. Every round is a table
-in the shared folder. A document's key numbers the rows of the written piece
+(key, length) rows move, in partitions of about ``PART_ROWS`` pieces, packed one
+after the other by at most ``MOST_TASKS`` tasks, so the memory of a task is
+bounded whatever the table's size. Every round is a table in the shared folder;
+``certificates`` gives the count and the bound of every partition. A document's key numbers the rows of the written piece
 table, so repeated rows and null ids need no care.
 
 Tokens: a byte-level BPE. Its rank form is what packs quickly; texts that hold
@@ -44,6 +45,7 @@ from .common import batches
 CAPACITY = 2048
 END_ID = 0
 PART_ROWS = 50_000
+MOST_TASKS = 20_000
 #: deals of a pool that may save nothing before the exchange ends
 PATIENCE = 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -196,7 +198,7 @@ def _packed(rows: DataFrame, seed: int) -> DataFrame:
     n = rows.count()
     parts = max(1, -(-n // PART_ROWS))
     dealt = rows.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(parts)).alias("part"))
-    return stored(dealt.repartition(parts, "part").groupBy("part").applyInPandas(_pack_part, PLACED), "packed")
+    return stored(dealt.repartition(min(parts, MOST_TASKS), "part").groupBy("part").applyInPandas(_pack_part, PLACED), "packed")
 
 
 def _bin_count(placed: DataFrame) -> int:
@@ -207,10 +209,29 @@ def _bin_count(placed: DataFrame) -> int:
 def place(pieces: DataFrame) -> DataFrame:
     """``uid, sequence_id, offset`` for ``pieces (uid, length)``: distinct
     uids, lengths from 1 to CAPACITY. Full pieces are sequences of their own."""
+    return _exchanged(pieces)[0]
+
+
+def certificates(pieces: DataFrame) -> DataFrame:
+    """``turn, part, bins, bound, exchanged``: how many sequences each partition
+    took, how many its pieces need at least, and how many of its sequences went
+    into the next turn. A partition with bins = bound is proven best."""
+    return _exchanged(pieces)[1]
+
+
+def _certified(placed: DataFrame, turn: int) -> DataFrame:
+    return placed.filter("offset = 0").groupBy(F.shiftright("bin", 32).alias("part")).agg(
+        F.max("bins").alias("bins"), F.max("bound").alias("bound"), F.count_if("loose").alias("loose")).select(
+            F.lit(turn).alias("turn"), "part", "bins", "bound", "loose")
+
+
+def _exchanged(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places, and the certificates of all turns."""
     full = pieces.filter(F.col("length") == CAPACITY).select("uid", (-F.col("uid") - 1).alias("sequence_id"),
                                                              F.lit(0).cast("long").alias("offset"))
     now = _packed(pieces.filter(F.col("length") < CAPACITY).select("uid", F.col("length").cast("int").alias("length")), 0)
     done, turn, deal, idle = [], 0, 0, 0
+    proofs = None
     while idle < PATIENCE:
         pool = now.filter("loose")
         before = _bin_count(pool)
@@ -223,12 +244,16 @@ def place(pieces: DataFrame) -> DataFrame:
             continue
         idle = 0
         done.append(now.filter("not loose").select("uid", F.lit(turn).alias("turn"), "bin", "offset"))
+        proof = _certified(now, turn).withColumnRenamed("loose", "exchanged")
+        proofs = proof if proofs is None else proofs.unionByName(proof)
         now, turn = again, turn + 1
     out = now.select("uid", F.lit(turn).alias("turn"), "bin", "offset")
     for d in done:
         out = out.unionByName(d)
+    last = _certified(now, turn).withColumn("loose", F.lit(0).cast("long")).withColumnRenamed("loose", "exchanged")
     return full.unionByName(out.select(
-        "uid", (F.shiftleft(F.col("turn").cast("long"), 56) + F.col("bin")).alias("sequence_id"), "offset"))
+        "uid", (F.shiftleft(F.col("turn").cast("long"), 56) + F.col("bin")).alias("sequence_id"), "offset")), (
+            last if proofs is None else proofs.unionByName(last))
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -335,6 +335,20 @@ def test_packing_round_trip(spark, monkeypatch):
     assert packing.pack_documents(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_certificates_of_partitions(spark, monkeypatch):
+    """Counts and bounds by partition and turn add up to the sequences in use."""
+    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    monkeypatch.setattr(packing, "MOST_TASKS", 3)
+    r = np.random.default_rng(2)
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(r.integers(1, 2048, 400))], "uid long, length long").cache()
+    proofs = packing.certificates(pieces).collect()
+    used = packing.place(pieces).select("sequence_id").distinct().count()
+    assert all(p.bound <= p.bins and 0 <= p.exchanged <= p.bins for p in proofs)
+    assert sum(p.bins - p.exchanged for p in proofs) == used
+    assert len({p.part for p in proofs if p.turn == 0}) == 8
+    assert packing.certificates(pieces.limit(0)).count() == 0
+
+
 def test_packed_sequences_hold_the_ids(spark):
     rows = [(1, "a b c"), (2, None), (3, LONG)]
     out = packing.packed_sequences(docs_of(spark, rows)).collect()
