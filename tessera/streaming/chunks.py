@@ -3,15 +3,15 @@
 The reference reads its input in chunks and concatenates them; here new
 event files are picked up as micro-batches (``maxFilesPerTrigger``), hourly
 cells are kept as streaming aggregation state per (event hour, series), and
-every batch rewrites the cells table with ``foreachBatch`` (idempotent per
-batch id, restartable from the checkpoint in the shared folder). The state
-is bounded by series x hours, never by raw rows.
+every batch writes the cells that it changed to a folder of its own, named by
+the batch, with ``foreachBatch`` (idempotent per batch id, restartable from the
+checkpoint in the shared folder). No written cell is ever rewritten, so a
+reader never meets half a table; it takes the latest value of each cell. The
+state is bounded by series x hours, never by raw rows.
 """
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from ..sources.tables import table_path
 def stream_hourly_cells(spark: SparkSession, base: str, sink: str | None = None,
                         checkpoint: str | None = None, files_per_trigger: int = 1) -> str:
     """Run the stream until the available files are consumed; returns the
-    path of the (hour, sid, v) cells table."""
+    path of the changed cells (hour, sid, v) by batch (``read_cells``)."""
     src_path = table_path(base, "events")
     schema = spark.read.parquet(src_path).schema
     sink = sink or scratch_path(spark, "stream_hourly_cells")
@@ -38,17 +38,23 @@ def stream_hourly_cells(spark: SparkSession, base: str, sink: str | None = None,
         F.sum("value").alias("v"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    q = (cells.writeStream.outputMode("complete").foreachBatch(write)
+    q = (cells.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
 
 
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(hour, sid, v): the latest value of every cell."""
+    changed = spark.read.parquet(path)
+    return changed.groupBy("hour", "sid").agg(F.max_by("v", "batch").alias("v"))
+
+
 def cells_to_panel(spark: SparkSession, path: str) -> DataFrame:
     """(sid, t, v) with t = hours since the first hour of the stream."""
-    cells = spark.read.parquet(path)
+    cells = read_cells(spark, path)
     origin = cells.select(F.min("hour")).scalar()
     return cells.select("sid", F.timestamp_diff("HOUR", origin, F.col("hour")).cast("bigint").alias("t"), "v")
 
