@@ -156,6 +156,34 @@ def q_linear_two_features(spark, base):
     return coefs.select("family", "sid", "intercept", F.col("coef")[0].alias("slope_a"), F.col("coef")[1].alias("slope_b"))
 
 
+@register("predict_linear_models", O.sql(
+    "SELECT s2.family, s2.sid, f.t, f.v AS y, my + ba * (a - ma) + bb * (b - mb) AS yhat, f.split FROM s2 JOIN m2 USING (sid) "
+    "JOIN fs f ON f.sid = s2.sid JOIN x2 ON x2.t = f.t WHERE f.split IN ('val', 'test')",
+    ["family", "sid", "t", "y", "yhat", "split"], ["y", "yhat"], TWO))
+def q_predict_linear_models(spark, base):
+    """M7 / M8 of the linear families on two features: one model table, written
+    and read again, and its predictions on validation and test rows."""
+    z, _ = C.scaled(C.hourly(spark, base))
+    fs = C.feat_split(z, CFG)
+    X = fs.filter(F.col("sid") == C.reference_sid(z)).select("t", array_to_vector(F.array("lag1", "rollmean7")).alias("features"))
+    labels = fs.select("sid", "t", F.col("v").alias("label"), "split")
+    m = stored(model_table.fit_models(X, labels, list(LINEAR), CFG, _is("train")), "models")
+    return model_table.predict_models(m, X, labels, F.col("split").isin("val", "test"))
+
+
+@register("slice_selected", O.sql(
+    "SELECT a.t, s.place, a.value FROM asm a JOIN (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS place FROM "
+    f"({{sel}})) s USING (idx)".format(sel=Q.ORACLE["select_by_importance"]), ["t", "place", "value"], ["value"], Q.IMP_CTES))
+def q_slice_selected(spark, base):
+    """P8 on stand-in importances: the assembled features that X2 selects, in their order."""
+    a, _ = Q._assembled(spark, base)
+    sel = select.select_by_importance(Q._importance(spark, base), CFG.importance_threshold, CFG.min_features)
+    idx = sorted(r["idx"] for r in sel.select("idx").collect())     # as many as features are selected
+    out = select.slice_features(a, idx)
+    from pyspark.ml.functions import vector_to_array
+    return out.select("t", F.posexplode(vector_to_array("selected")).alias("place", "value"))
+
+
 @register("kmeans_sizes", O.sql(
     "SELECT greatest(3, least(5, count(DISTINCT sid) // 3)) AS n_groups, count(DISTINCT sid) AS n_series FROM monthly",
     ["n_groups", "n_series"], []))
