@@ -311,16 +311,17 @@ def link_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
     apart = pairs.join(side("a"), "a").join(side("b"), "b").filter(
         ~F.coalesce(F.arrays_overlap("ua", "ub"), F.lit(False)))
     small = stored(apart.select("a", "b", "ta", "tb").mapInPandas(_verify(edits), "a long, b long"), "links")
-    size = units.groupBy("unit").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
-    member = units.join(size, "unit")
+    size = units.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).withColumn(
+        "blocks", F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK)).cast("int"))
+    member = units.join(size.drop("k"), "unit")
     key = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = (member.withColumns({"i": key, "j": each, "asks": F.lit(True)})
               .unionByName(member.withColumns({"j": key, "i": each, "asks": F.lit(False)}))
               .join(known.withColumnRenamed("text", "line"), "id"))
     # a fixed number of tasks: the rows are few and small, the work on each block pair is not
-    n_pairs = size.agg(F.sum(F.col("blocks").cast("long") * F.col("blocks"))).first()[0] or 1
-    dealt = placed.repartition(max(1, min(int(n_pairs), MOST_TASKS)), "unit", "i", "j")
+    work = size.agg(F.sum(F.col("k") * F.col("blocks"))).first()[0] or 1
+    dealt = placed.repartition(max(1, min(int(work) // BLOCK, MOST_TASKS)), "unit", "i", "j")
     large = stored(dealt.groupBy("unit", "i", "j").applyInPandas(unit_links(edits), "a long, b long, n long"), "links")
     links = small.unionByName(large.filter("b is not null").select("a", "b"))
     counts = (small.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n"))
@@ -360,18 +361,23 @@ def _removable(line):
     return (F.char_length(t) >= REMOVED_CHARS) | (F.char_length(t) - F.char_length(F.replace(t, F.lit(" "))) >= MIN_WORDS - 1)
 
 
+def _without(lines, gone):
+    """The lines without the removable ones among those numbered in ``gone``."""
+    out_of = F.filter(gone, lambda i: _removable(F.element_at(lines, i + 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out_of)
+    return F.transform(left, lambda i: F.element_at(lines, i + 1))
+
+
 def remove_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` without the long lines that repeat an earlier one, columns unchanged."""
     by, gone, rest = fresh_names(docs, "_doc", "_gone", "_rest")
     repeats = classify_lines(docs, edits).filter("not kept").groupBy(F.col("doc_id").alias(by)).agg(
         F.collect_list("line").alias(gone))  # at most a document's own lines
     kept = docs.join(repeats, F.col("doc_id").cast("long") == F.col(by), "left")
-    lines = F.split("text", "\n")
-    out_of = F.filter(gone, lambda i: _removable(F.element_at(lines, i + 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out_of)      # by hash, not line by line
-    touched = F.col(gone).isNotNull() & F.col("text").isNotNull() & (F.size(out_of) > 0)
-    out = kept.withColumn(rest, F.when(touched, F.transform(left, lambda i: F.element_at(lines, i + 1)))).filter(
-        F.col(rest).isNull() | (F.size(rest) > 0))
+    # the text is split once, and its lines are a variable of the expression; gone lines leave by hash, not line by line
+    held = F.transform(F.array(F.split("text", "\n")), lambda lines: _without(lines, F.col(gone)))[0]
+    touched = F.col(gone).isNotNull() & F.col("text").isNotNull()
+    out = kept.withColumn(rest, F.when(touched, held)).filter(F.col(rest).isNull() | (F.size(rest) > 0))
     text = F.when(F.col(rest).isNotNull(), F.array_join(rest, "\n")).otherwise(F.col("text"))
     cols = []
     for f in docs.schema.fields:
