@@ -48,6 +48,8 @@ WIDTH = 160
 STRIDE = 72  # less than WIDTH - LONGEST
 LONGEST = 80
 TRAIN_WIDTH = 96
+DISGUISED = 6_000
+VARIANTS = 40
 KINDS = ("email", "ip", "card", "phone")
 
 # The contract's patterns.
@@ -343,11 +345,13 @@ def training_windows(windows: list[tuple[str, list[tuple[int, int, int]]]], seed
                 for i in r.integers(0, len(words), r.integers(0, 8))] if words else []
         return " ".join(pick)
 
+    # few spans are disguised more often, so that every form is seen with many contexts
+    variants = max(3, min(VARIANTS, DISGUISED // max(1, sum(len(spans) for _, spans in windows))))
     for text, spans in windows:
         add(text, spans)
         names = re.findall(r"[A-Za-z]{3,10}", text)
         for s, k, e in spans:
-            for _ in range(3):
+            for _ in range(variants):
                 new = "".join(str(r.integers(10)) if c.isdigit() and k else c for c in text[s:e])
                 if k == 1:
                     new = ".".join(str(r.integers(256)) for _ in range(4))

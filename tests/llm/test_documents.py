@@ -51,9 +51,10 @@ def brute_contamination(text, items):
     return len(w), sum(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 60])
-def test_contamination_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,sets", [(decontam.BLOCK_BYTES, 50_000), (60, 50_000), (60, 0)])
+def test_contamination_equals_brute_force(spark, monkeypatch, block, sets):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "SMALL_SETS", sets)
     words = [f"q{i % 17}" for i in range(40)]
     items = [(1, " ".join(words[:20])), (2, "Alpha beta"), (3, None), (4, "..."), (5, " ".join(words[3:25])), (2, "gamma delta x")]
     rows = [(10, "zz " + " ".join(words) + " end"), (11, "alpha, BETA alpha beta"), (12, " ".join(words[:12])),
@@ -701,7 +702,7 @@ def test_recall_of_disguised_spans(spark):
         spans = [x.split(":") for x in row.spans.split(",") if x]
         hit[k] += any(x[0] == pii.KINDS[k] and int(x[1]) < e and int(x[2]) > s for x in spans)
     print("recall", {pii.KINDS[k]: hit[k] / 60 for k in range(4)})
-    assert sum(hit) >= 0.6 * len(rows), hit
+    assert sum(hit) >= 0.85 * len(rows), hit
 
 
 # --- the pipeline -------------------------------------------------------------------------------
