@@ -51,6 +51,8 @@ WINDOW = 13
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
 SEEN_SETS = 1 << 14
+#: sets of items whose digests may be broadcast (some 150 bytes each)
+SMALL_SETS = 50_000
 
 #: a match: its place in the document, its length, and one item (of all that hold it) with the place there
 MATCH = "struct<doc_start:int,n_words:int,item_id:string,item_start:int>"
@@ -342,11 +344,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least one word in twenty is hit."""
     found = stored(find_matches(docs.select("doc_id", "text"), benchmark, columns=["doc_id"]), "contamination")
     f = F.col("found")
-    items = items_of(found).select("sets", F.size("items").cast("long").alias("n_items"),
-                                   F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    items = stored(items_of(found).select("sets", F.size("items").cast("long").alias("n_items"),
+                                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "item_sets")
     d = found.select("doc_id", f["n_words"].alias("n_words"), _hit_words(f["hits"]).alias("n_hit"), f["sets"].alias("sets"),
                      F.array_max(F.transform(f["matches"], lambda x: x["n_words"])).alias("longest"))
-    return d.join(items, "sets", "left").select(
+    if items.count() <= SMALL_SETS:
+        known = d.join(F.broadcast(items), "sets", "left")
+    else:   # rows without a set need no join and would be one hot key
+        nothing = d.filter(F.size("sets") == 0).withColumns({"n_items": F.lit(0).cast("long"), "items_sha256": F.lit(None).cast("string")})
+        known = d.filter(F.size("sets") > 0).join(items, "sets").unionByName(nothing)
+    return known.select(
         "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
