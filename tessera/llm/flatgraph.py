@@ -51,7 +51,6 @@ DEGREE = 24
 ALPHA = 1.2
 EXPANSIONS = 32
 AUDIT_QUERIES = 200
-SALTS = 16
 RECALL = 0.99
 LEAST_RECALL = 0.9
 
@@ -311,11 +310,9 @@ def link_vectors(vectors: DataFrame, radius: float = 0.95) -> DataFrame:
     of = (nodes.join(counts, "rep", "left").join(label, "rep", "left")
           .select("x", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
                   F.coalesce("component", "rep").alias("component_id")))
-    # ids meet on a hash of their vector with salted copies of the node, so a vector that many rows share is no hot key
-    code = F.xxhash64("x")
-    salted = of.withColumns({"code": code, "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
-    rows = good.withColumns({"code": code, "salt": F.pmod("vec_id", F.lit(SALTS)).cast("int")})
-    linked = rows.join(salted, ["code", "salt", "x"]).select("vec_id", "n_links", "component_id")
+    # a written table on the small side, so that adaptive execution may split a vector that many rows share
+    of = stored(of.withColumn("code", F.xxhash64("x")), "labelled")
+    linked = good.withColumn("code", F.xxhash64("x")).join(of, ["code", "x"]).select("vec_id", "n_links", "component_id")
     rest = v.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).select(
         "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
