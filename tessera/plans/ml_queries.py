@@ -222,14 +222,15 @@ def q_kmeans(spark, base):
     return groups
 
 
-STUMP_FEATURES = ("lag2", "rollmean3", "rollstd7")
+# features without window sums: equal steps have equal values to the last bit, in either engine
+STUMP_FEATURES = ("lag2", "lag5", "diff3")
 # a series' best cut: running sums over each feature in value order, cuts half way between neighbouring values
 STUMP = [
-    "tr AS (SELECT f.sid, f.t, f.v AS y, x.lag2, x.rollmean3, x.rollstd7 FROM fs f JOIN fs x ON x.t = f.t "
+    "tr AS (SELECT f.sid, f.t, f.v AS y, x.lag2, x.lag5, x.diff3 FROM fs f JOIN fs x ON x.t = f.t "
     "AND x.sid = (SELECT min(sid) FROM scaled) WHERE f.split = 'train')",
     "mn AS (SELECT sid, avg(y) AS mean FROM tr GROUP BY sid)",
-    "lg AS (SELECT sid, t, 0 AS idx, lag2 AS x, y FROM tr UNION ALL SELECT sid, t, 1, rollmean3, y FROM tr "
-    "UNION ALL SELECT sid, t, 2, rollstd7, y FROM tr)"]
+    "lg AS (SELECT sid, t, 0 AS idx, lag2 AS x, y FROM tr UNION ALL SELECT sid, t, 1, lag5, y FROM tr "
+    "UNION ALL SELECT sid, t, 2, diff3, y FROM tr)"]
 
 
 def _stump_sql(rate, weights):
