@@ -13,6 +13,8 @@ gives none.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ MODEL_SCHEMA = f"family string, sid string, intercept double, coef array<double>
 NODE_ARRAYS = ("feature", "threshold", "left", "right", "value", "n", "gain", "depth")
 LINEAR = ("LinearRegression", "Ridge", "Lasso")
 #: label rows of one series that are joined with its model at once
-PREDICT_ROWS = 512
+PREDICT_ROWS = 2048
 
 
 def linear_models(coefs: DataFrame) -> DataFrame:
@@ -50,18 +52,22 @@ def fit_models(X: DataFrame, labels: DataFrame, families, cfg: PanelConfig, rows
     """Every family for every series. ``params`` maps a series to its
     own hyper-parameters; ``name`` replaces the family's name in the table."""
     params = params or {}
-    parts = []
-    flat = [f for f in families if f in LINEAR]
-    if flat:
+
+    def lines(flat: list[str]) -> DataFrame:
         sids = [r[0] for r in labels.select("sid").distinct().orderBy("sid").collect()]
         fits = [(name or f, f, {s: float(params.get(s, {}).get("alpha", DEFAULTS[f].get("alpha", 0.0))) for s in sids}) for f in flat]
-        parts.append(linear_models(linear.fit_series(X, labels, fits, rows)))
-    for f in families:
-        if f not in LINEAR:
-            own = {s: trees.family_params(f, {**DEFAULTS[f], **q}, cfg.seed) for s, q in params.items()}
-            grown = trees.fit_trees(X, labels, trees.family_params(f, DEFAULTS[f], cfg.seed), rows, per_series=own)
-            parts.append(tree_models(name or f, grown, f == "RandomForest"))
-    return union_all(parts)
+        return linear_models(linear.fit_series(X, labels, fits, rows))
+
+    def grown(f: str) -> DataFrame:
+        own = {s: trees.family_params(f, {**DEFAULTS[f], **q}, cfg.seed) for s, q in params.items()}
+        return tree_models(name or f, trees.fit_trees(X, labels, trees.family_params(f, DEFAULTS[f], cfg.seed), rows, per_series=own),
+                           f == "RandomForest")
+
+    flat = [f for f in families if f in LINEAR]
+    jobs = [(lines, flat)] * bool(flat) + [(grown, f) for f in families if f not in LINEAR]
+    # a boosted family has a task a series, a forest many: side by side they leave no core idle
+    with ThreadPoolExecutor(max_workers=max(1, min(cfg.fit_parallelism, len(jobs)))) as pool:
+        return union_all(list(pool.map(lambda job: job[0](job[1]), jobs)))
 
 
 def _tree_value(tree: Column, x: Column) -> Column:

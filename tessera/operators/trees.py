@@ -8,7 +8,8 @@ Two ways lead to the same trees, chosen by the checked size of a series:
 
 * up to ``LOCAL_CELLS`` cells (rows x features) a series is one group of a
   grouped map: all rounds of its model are grown in one task, and all series
-  and all blocks of forest trees side by side, in one job;
+  and all blocks of forest trees side by side, in one job; large nodes are cut
+  by sums by bin, without sorting a row, small ones in value order;
 * larger series are cut into blocks of ``BLOCK_ROWS`` steps and grown level by
   level: tasks sum gradients, weights and counts by (series, tree, node,
   feature, bin) over their blocks, one shuffle adds these histograms, prefix
@@ -38,12 +39,17 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
 
-LOCAL_CELLS = 1 << 23
+#: cells (rows x features, two bytes each) of a series that is grown in a task
+LOCAL_CELLS = 1 << 26
+#: cells of a series whose grid search is a task for every (fold, growth), with a copy each
+GRID_CELLS = 1 << 23
 BLOCK_ROWS = 4096
 #: trees of a forest grown in one task, and features whose histograms are merged in one
-TREE_BLOCK = 20
+TREE_BLOCK = 10
 FEATURE_BLOCK = 64
-CHUNK_CELLS = 1 << 19
+CHUNK_CELLS = 1 << 17
+#: nodes up to this many rows are cut in value order, larger ones by sums by bin
+SORTED_ROWS = 1024
 TIE = 1e-10
 TREE_SCHEMA = ("sid string, tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
                "value array<double>, n array<bigint>, gain array<double>, depth int")
@@ -130,9 +136,22 @@ class Tree:
         self.left[node], self.right[node] = self.add(*left), self.add(*right)
         return self.left[node], self.right[node]
 
+    def split_all(self, nodes: np.ndarray, feature: np.ndarray, cut: np.ndarray, gain: np.ndarray, value: np.ndarray) -> int:
+        """Split several nodes; their children, two by two, have the values
+        ``value``. Returns the first child's number."""
+        first, more = len(self.feature), 2 * len(nodes)
+        for column, x in ((self.feature, -1), (self.cut, 0), (self.left, -1), (self.right, -1), (self.n, 0), (self.gain, 0.0)):
+            column.extend([x] * more)
+        self.value.extend(value.tolist())
+        for i, (node, f, c, g) in enumerate(zip(nodes.tolist(), feature.tolist(), cut.tolist(), gain.tolist())):
+            self.feature[node], self.cut[node], self.gain[node] = f, c, g
+            self.left[node], self.right[node] = first + 2 * i, first + 2 * i + 1
+        return first
+
     def row(self, edges: list[np.ndarray]) -> tuple:
-        cut = [float(edges[f][c]) if f >= 0 else 0.0 for f, c in zip(self.feature, self.cut)]
-        return self.feature, cut, self.left, self.right, self.value, self.n, self.gain, max(self.depths())
+        cut = np.array([edges[f][c] if f >= 0 else 0.0 for f, c in zip(self.feature, self.cut)], np.float64)
+        feature, left, right = (np.array(x, np.int32) for x in (self.feature, self.left, self.right))
+        return feature, cut, left, right, np.array(self.value, np.float64), np.array(self.n, np.int64), np.array(self.gain, np.float64), max(self.depths())
 
     def depths(self) -> list[int]:
         """The depth of every node; children stand behind their parent."""
@@ -143,112 +162,200 @@ class Tree:
         return deep
 
 
-def value_order(bins: np.ndarray) -> np.ndarray:
-    """Row numbers by bin, for every feature (features x rows)."""
-    return np.argsort(bins, axis=1, kind="stable").astype(np.int32)
-
-
-def grow(bins: np.ndarray, order: np.ndarray, y: np.ndarray, w: np.ndarray, p: TreeParams, use: np.ndarray) -> tuple[Tree, np.ndarray]:
-    """One tree on ``y`` with row weights ``w``, level by level; all nodes of a
-    level at once, from running sums in value order. ``bins`` and ``order`` are
-    features x rows. Returns the tree and the leaf of every row, rows of weight
+def value_order(bins: np.ndarray) -> np.ndarray | None:
+    """Row numbers by bin, for every feature (features x rows); None where the
+    first node is too large to need them."""
+    return np.argsort(bins, axis=1, kind="stable").astype(np.int32) if bins.shape[1] <= SORTED_ROWS else None
+
+
+def _first_cuts(score: np.ndarray, bound: np.ndarray, which: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For every node the first place where its row ``which`` of ``score`` reaches
+    ``bound``; ``node`` numbers the places' nodes, in order. Nodes without any keep 0."""
+    hit = np.flatnonzero(score[which[node], np.arange(len(node))] >= bound[node])
+    first = np.zeros(len(which), np.int64)
+    at = node[hit]
+    new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
+    first[at[new]] = hit[new]
+    return first
+
+
+def _take_better(best: tuple, at: np.ndarray, most: np.ndarray, enough: np.ndarray, found: tuple) -> None:
+    """Put the nodes ``at`` whose best score beats the features before into ``best``
+    (score, feature, cut, left sum, left weight)."""
+    better = enough > best[0][at]
+    for old, new in zip(best, (most, *found)):
+        old[at[better]] = new[better]
+
+
+def _sorted_cuts(best: tuple, at: np.ndarray, cur: np.ndarray, bins: np.ndarray, wy: np.ndarray, w: np.ndarray, unit: bool,
+                 counts: np.ndarray, sums: np.ndarray, weights: np.ndarray, p: TreeParams, use: np.ndarray) -> None:
+    """The best cuts of the nodes ``at`` from running sums over ``cur``, their
+    rows in value order, node after node."""
+    starts = np.r_[0, np.cumsum(counts)[:-1]]
+    m = int(counts.sum())
+    node = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(m) - starts[node] + 1                 # rows to the left, this one included
+    behind = counts[node] - place
+    allowed = (place >= p.min_leaf) & (behind >= max(p.min_leaf, 1))
+    G, W = sums[node], weights[node]
+    step = max(1, CHUNK_CELLS // max(m, 1))
+
+    def running(x: np.ndarray, o: np.ndarray) -> np.ndarray:
+        total = x.take(o)
+        np.cumsum(total, axis=1, out=total)
+        total -= np.where(starts > 0, total[:, starts - 1], 0.0).take(node, axis=1)
+        return total
+
+    for lo in range(0, len(cur), step):
+        o = cur[lo:lo + step].astype(np.intp)
+        b = np.empty(o.shape, bins.dtype)
+        for i, f in enumerate(use[lo:lo + step]):
+            b[i] = bins[f].take(o[i])
+        gl = running(wy, o)
+        wl = place[None, :].astype(np.float64) if unit else running(w, o)
+        ok = np.empty(b.shape, bool)
+        np.not_equal(b[:, :-1], b[:, 1:], out=ok[:, :-1])
+        ok[:, -1] = False
+        ok &= allowed
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = gl * gl
+            score /= wl + p.penalty
+            rest = G - gl
+            rest *= rest
+            rest /= W - wl + p.penalty
+            score += rest
+        np.copyto(score, -np.inf, where=~ok)
+        top = np.maximum.reduceat(score, starts, axis=1)
+        most = top.max(0)
+        enough = most - TIE * np.abs(np.where(np.isfinite(most), most, 0.0))
+        which = (top >= enough).argmax(0)
+        i = _first_cuts(score, enough, which, node)
+        _take_better(best, at, most, enough, (use[lo + which], b[which, i], gl[which, i], wl[np.zeros_like(which) if unit else which, i]))
+
+
+def _counted_cuts(best: tuple, at: np.ndarray, rows: np.ndarray, slot: np.ndarray, bins: np.ndarray, wy: np.ndarray, w: np.ndarray,
+                  unit: bool, counts: np.ndarray, sums: np.ndarray, weights: np.ndarray, p: TreeParams, use: np.ndarray,
+                  n_bins: int) -> None:
+    """The best cuts of the nodes ``at`` from sums by bin; ``slot`` is each of
+    the ``rows``' number in ``at``. No row is sorted."""
+    size = len(at) * n_bins
+    base, g_of, w_of = slot * n_bins, wy[rows], w[rows]
+    every = len(rows) == bins.shape[1]
+    G, W, C = sums[:, None], weights[:, None], counts[:, None]
+    for f in use:
+        flat = base + (bins[f] if every else bins[f].take(rows))
+        gl = np.cumsum(np.bincount(flat, g_of, size).reshape(-1, n_bins), axis=1)
+        cl = wl = np.cumsum((np.bincount(flat, None, size) if unit else np.bincount(flat, w_of, size)).reshape(-1, n_bins), axis=1)
+        if not unit and p.min_leaf > 1:
+            cl = np.cumsum(np.bincount(flat, None, size).reshape(-1, n_bins), axis=1)
+            ok = (cl >= p.min_leaf) & (C - cl >= p.min_leaf)
+        elif unit:
+            ok = (cl >= max(p.min_leaf, 1)) & (C - cl >= max(p.min_leaf, 1))
+        else:
+            ok = (wl > 0) & (W - wl > 0)                    # whole weights: none is lost in a sum
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = gl * gl
+            score /= wl + p.penalty
+            rest = G - gl
+            rest *= rest
+            rest /= W - wl + p.penalty
+            score += rest
+        np.copyto(score, -np.inf, where=~ok)
+        most = score.max(1)
+        enough = most - TIE * np.abs(np.where(np.isfinite(most), most, 0.0))
+        better = np.flatnonzero(enough > best[0][at])
+        if len(better):
+            cut = (score[better] >= enough[better, None]).argmax(1)
+            _take_better(best, at[better], most[better], enough[better],
+                         (np.full(len(better), f), cut, gl[better, cut], wl[better, cut].astype(np.float64)))
+
+
+def grow(bins: np.ndarray, order: np.ndarray | None, y: np.ndarray, w: np.ndarray, p: TreeParams, use: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """One tree on ``y`` with row weights ``w``, level by level, all nodes of a
+    level at once: those of more than SORTED_ROWS rows from sums by bin, the
+    others from running sums in value order. ``bins`` and ``order`` (None: rows
+    are put in order where they are needed) are features x rows. Returns the tree and the leaf of every row, rows of weight
     0 included."""
     tree, at = Tree(), np.zeros(len(y), np.int64)
     wy = w * y
     total, weight = float(wy.sum()), float(w.sum())
-    rows = int(np.count_nonzero(w))
+    inside = w > 0
+    rows = int(np.count_nonzero(inside))
     tree.add(total / (weight + p.penalty) if weight else 0.0, rows)
     least = 1e-13 * float((wy * y).sum()) + 1e-300
-    cur = order if len(use) == len(order) else order[use]
-    if rows < len(y):
-        keep = w > 0
-        cur = cur[keep[cur]].reshape(len(cur), rows)
-    nodes, counts = [0], np.array([rows])
+    unit = bool((w[inside] == 1).all())
+    n_bins = int(bins.max(initial=0)) + 1 if rows > SORTED_ROWS else 0
+    enough_rows = max(p.min_split, 2 * p.min_leaf, 2)
+
+    def in_order(some: np.ndarray) -> np.ndarray:
+        """The rows ``some`` in value order, for every used feature."""
+        if order is not None and len(use) == len(order) and some.all():
+            return order
+        rows = np.flatnonzero(some).astype(np.int32)
+        out = np.empty((len(use), len(rows)), np.int32)
+        for i, f in enumerate(use):
+            out[i] = rows[bins[f].take(rows).argsort(kind="stable")] if order is None else order[f][some[order[f]]]
+        return out
+
+    # rows in nodes that are still split: their node's number among those; in value order where the node is small
+    nodes, counts = np.array([0]), np.array([rows])
     sums, weights = np.array([total]), np.array([weight])
-    unit = bool((w[w > 0] == 1).all())
+    slot = np.where(inside, 0, -1)
+    small = counts <= SORTED_ROWS
+    cur = in_order(inside) if small[0] else np.zeros((len(use), 0), np.int32)
     depth = 0
-    while nodes and depth < p.depth and counts.max() >= max(p.min_split, 2 * p.min_leaf, 2):
-        starts = np.r_[0, np.cumsum(counts)[:-1]]
-        ends = starts + counts
-        m = int(counts.sum())
-        place = np.arange(m) - np.repeat(starts, counts) + 1          # rows to the left, this one included
-        behind = np.repeat(counts, counts) - place
-        allowed = (place >= p.min_leaf) & (behind >= max(p.min_leaf, 1))
-        G, W = np.repeat(sums, counts), np.repeat(weights, counts)
-        parent = sums ** 2 / (weights + p.penalty)
-        best, winner = np.full(len(nodes), -np.inf), np.zeros(len(nodes), np.int64)
-        cuts, lefts, left_w = np.zeros(len(nodes), np.int64), np.zeros(len(nodes)), np.zeros(len(nodes))
-        step = max(1, CHUNK_CELLS // max(m, 1))
-        for lo in range(0, len(cur), step):
-            o = cur[lo:lo + step]
-            b = np.take_along_axis(bins[use[lo:lo + step]], o, 1)
-            gl = np.cumsum(wy[o], axis=1)
-            before = np.where(starts > 0, gl[:, starts - 1], 0.0)
-            gl -= np.repeat(before, counts, axis=1)
-            if unit:
-                wl = place[None, :].astype(np.float64)
-            else:
-                wl = np.cumsum(w[o], axis=1)
-                wl -= np.repeat(np.where(starts > 0, wl[:, starts - 1], 0.0), counts, axis=1)
-            ok = np.empty(b.shape, bool)
-            ok[:, :-1] = b[:, :-1] != b[:, 1:]
-            ok[:, -1] = False
-            ok &= allowed
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = gl * gl / (wl + p.penalty) + (G - gl) ** 2 / (W - wl + p.penalty)
-            score[~ok] = -np.inf
-            top = np.maximum.reduceat(score, starts, axis=1)
-            most = top.max(0)
-            enough = most - TIE * np.abs(np.where(np.isfinite(most), most, 0.0))
-            which = (top >= enough).argmax(0)
-            for j in np.flatnonzero(enough > best):
-                f = which[j]
-                i = starts[j] + int((score[f, starts[j]:ends[j]] >= enough[j]).argmax())
-                best[j], winner[j], cuts[j], lefts[j] = most[j], use[lo + f], b[f, i], gl[f, i]
-                left_w[j] = wl[0 if unit else f, i]
-        gains = best - parent
-        open_, local = [], np.full(len(tree.feature) + 2 * len(nodes), -1, np.int64)
-        new_counts, new_sums, new_weights = [], [], []
-        splits = [j for j in range(len(nodes)) if gains[j] > least and counts[j] >= p.min_split]
-        if not splits:
+    while len(nodes) and depth < p.depth and counts.max() >= enough_rows:
+        k = len(nodes)
+        best = (np.full(k, -np.inf), np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k), np.zeros(k))
+        if small.any():
+            j = np.flatnonzero(small)
+            _sorted_cuts(best, j, cur, bins, wy, w, unit, counts[j], sums[j], weights[j], p, use)
+        if not small.all():
+            j = np.flatnonzero(~small)
+            some = np.flatnonzero((slot >= 0) & ~small[slot])
+            number = np.cumsum(~small) - 1
+            _counted_cuts(best, j, some, number[slot[some]], bins, wy, w, unit, counts[j], sums[j], weights[j], p, use, n_bins)
+        top, winner, cuts, lefts, left_w = best
+        gains = top - sums ** 2 / (weights + p.penalty)
+        split = np.flatnonzero((gains > least) & (counts >= p.min_split))
+        if not len(split):
             break
-        feature = np.full(len(tree.feature), -1, np.int64)
-        cut, left = np.zeros(len(tree.feature), np.int64), np.zeros(len(tree.feature), np.int64)
-        for j in splits:
-            feature[nodes[j]], cut[nodes[j]] = winner[j], cuts[j]
-            a, b_ = tree.split(nodes[j], winner[j], cuts[j], gains[j], (0.0, 0), (0.0, 0))
-            left[nodes[j]] = a
-            for node, g, h in ((a, lefts[j], left_w[j]), (b_, sums[j] - lefts[j], weights[j] - left_w[j])):
-                tree.value[node] = float(g / (h + p.penalty))
-                local[node] = len(open_)
-                open_.append(node)
-                new_sums.append(g)
-                new_weights.append(h)
+        new_sums = np.stack([lefts[split], sums[split] - lefts[split]], 1).ravel()
+        new_weights = np.stack([left_w[split], weights[split] - left_w[split]], 1).ravel()
+        first = tree.split_all(nodes[split], winner[split], cuts[split], gains[split], new_sums / (new_weights + p.penalty))
         # every row goes to its child; the right one stands behind the left one
+        feature = np.full(first, -1, np.int64)
+        cut, left = np.zeros(first, np.int64), np.zeros(first, np.int64)
+        feature[nodes[split]], cut[nodes[split]] = winner[split], cuts[split]
+        left[nodes[split]] = first + 2 * np.arange(len(split))
         f = feature[at]
         moving = np.flatnonzero(f >= 0)
         old = at[moving]
         at[moving] = left[old] + (bins[f[moving], moving] > cut[old])
-        inside = local[at]
-        new_counts = np.bincount(inside[(inside >= 0) & (w > 0)], minlength=len(open_))
-        for k, node in enumerate(open_):
-            tree.n[node] = int(new_counts[k])
+        child = np.where(inside & (at >= first), at - first, -1)
+        new_counts = np.bincount(child[child >= 0], minlength=2 * len(split))
+        tree.n[first:] = new_counts.tolist()
         depth += 1
-        alive = (new_counts >= max(p.min_split, 2 * p.min_leaf, 2)) & (depth < p.depth)
+        alive = (new_counts >= enough_rows) & (depth < p.depth)
         if not alive.any():
             break
-        number = np.where(alive, np.cumsum(alive) - 1, int(alive.sum()))
-        where = np.where(inside >= 0, number[inside], int(alive.sum()))
-        m = int(new_counts[alive].sum())
-        kind = np.uint16 if alive.sum() < 65_000 else np.int64
+        was_small = np.r_[small, True][slot]                # rows of no node do not matter
+        number = np.where(alive, np.cumsum(alive) - 1, -1)
+        slot = np.where(child >= 0, number[child], -1)
+        nodes = first + np.flatnonzero(alive)
+        counts, sums, weights = new_counts[alive], new_sums[alive], new_weights[alive]
+        small = counts <= SORTED_ROWS
+        sorted_now = np.r_[small, False][slot]
+        fresh = sorted_now & ~was_small
+        if fresh.any():
+            cur = np.concatenate([cur, in_order(fresh)], axis=1)
+        # value order within each node: a stable sort by the small nodes' numbers
+        m, n_small = int(counts[small].sum()), int(small.sum())
+        where = np.where(sorted_now, (np.cumsum(small) - 1)[slot], n_small).astype(np.uint16 if n_small < 65_000 else np.int64)
         after = np.empty((len(cur), m), np.int32)
-        for lo in range(0, len(cur), step):
-            o = cur[lo:lo + step]
-            by = np.argsort(where[o].astype(kind), axis=1, kind="stable")[:, :m]
-            after[lo:lo + step] = np.take_along_axis(o, by, 1)
+        for i, o in enumerate(cur):
+            after[i] = o.take(where.take(o).argsort(kind="stable")[:m])
         cur = after
-        nodes = [n for n, a in zip(open_, alive) if a]
-        counts, sums, weights = new_counts[alive], np.array(new_sums)[alive], np.array(new_weights)[alive]
     return tree, at
 
 
@@ -707,7 +814,7 @@ def grid_errors(X: DataFrame, labels: DataFrame, family: str, defaults: dict, po
     ``labels``, every grid point and every fold (fold, train_lo, test_lo,
     test_hi). Features are binned once; points that differ in what can be read
     off a grown model share its growth. A group is (series, fold, growth)."""
-    limit = LOCAL_CELLS if local_cells is None else local_cells
+    limit = GRID_CELLS if local_cells is None else local_cells
     kind = family_params(family, {**defaults, **points[0]}).kind
     shared_by: dict[tuple, list[tuple[int, dict]]] = {}
     for i, q in enumerate(points):

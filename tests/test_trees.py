@@ -198,3 +198,49 @@ def test_grid_of_a_large_series(spark, data):
         xdf, lab, "GradientBoosting", DEFAULTS["GradientBoosting"], points, folds, local_cells=c).collect()} for c in (1 << 20, 0)]
     assert set(errors[0]) == set(errors[1]) and len(errors[0]) == 4
     assert near((errors[0][k], errors[1][k]) for k in errors[0]) < 1e-9
+
+
+@pytest.mark.parametrize("kind", list(PARAMS))
+def test_nodes_cut_by_counts_equal_sorted_ones(monkeypatch, kind):
+    """Large nodes from sums by bin, small ones in value order: the same trees
+    wherever the border lies, with ties, repeated values and rows of weight 0."""
+    rng = np.random.default_rng(3)
+    n, p = 400, PARAMS[kind]
+    bins = np.stack([rng.integers(0, k, n) for k in (2, 7, 40, 300, 1000)] + [np.zeros(n, int)]).astype(np.uint16)
+    y, t = rng.normal(size=n) + bins[2] / 20, np.arange(n)
+
+    def structure(border):
+        monkeypatch.setattr(trees, "SORTED_ROWS", border)
+        some = trees.forest(bins, y, t, p, range(p.trees)) if p.kind == "forest" else trees.boost(bins, y, t, p)
+        return [(k, g.feature, g.cut, g.left, g.right, g.n, np.round(g.value, 9).tolist()) for k, g in some]
+
+    want = structure(n)
+    for border in (0, 5, 60):
+        assert structure(border) == want
+
+
+def test_large_nodes_need_no_sorted_rows(monkeypatch):
+    """Boosting a long series to a small depth sorts none of its rows."""
+    rng = np.random.default_rng(4)
+    bins, y, t = rng.integers(0, 50, (3, 20_000)).astype(np.uint16), rng.normal(size=20_000), np.arange(20_000)
+    y += bins[0] + 30 * (bins[1] > 25)
+    assert trees.value_order(bins) is None
+    monkeypatch.setattr(trees, "_sorted_cuts", None)
+    p = trees.TreeParams("boost", trees=3, depth=2)
+    assert [max(g.depths()) for _, g in trees.boost(bins, y, t, p)] == [0, 2, 2, 2]
+
+
+def test_families_are_fitted_side_by_side(data, monkeypatch):
+    """Boosted families have a task a series and would leave cores idle one after another."""
+    import threading
+    _, _, xdf, lab = data
+    meet, fit = threading.Barrier(3, timeout=60), trees.fit_trees
+
+    def together(X, labels, p, *rest, **more):
+        meet.wait()
+        return fit(X, labels, trees.replace(p, trees=2, depth=2), *rest, **more)
+
+    monkeypatch.setattr(trees, "fit_trees", together)
+    order = ["RandomForest", "Ridge", "GradientBoosting", "XGBoost"]
+    m = model_table.fit_models(xdf, lab, order, V2, F.col("split") == "train")
+    assert sorted((r.family, r.sid) for r in m.collect()) == sorted((f, s) for f in order for s in "ab")
